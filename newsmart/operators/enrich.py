@@ -159,8 +159,8 @@ def second_pass(retried: DataFrame, answers: DataFrame) -> DataFrame:
     """Outcome of the single retries: recovered, or dlq with its reason."""
     parsed = parse_answers(answers).withColumn(
         "_hit",
-        F.element_at(
-            F.filter(F.coalesce("results", F.array()), lambda r: r["article_id"] == F.col("article_id")), 1
+        F.try_element_at(
+            F.filter(F.coalesce("results", F.array()), lambda r: r["article_id"] == F.col("article_id")), F.lit(1)
         ),
     )
     fields = ("sentiment_score", "summary", "entities_list", "locations_list")

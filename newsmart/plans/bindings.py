@@ -92,8 +92,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("image_url", F.concat(F.lit("https://img.example/"), F.col("pos").cast("string"), F.lit(".jpg")))
 
 
-def with_text(articles_: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds title, whole text and the stored snippet from documents."""
+def with_text(articles_: DataFrame, spark: SparkSession, sf_dir: str, **derived: Column) -> DataFrame:
+    """Adds title, whole text and the stored snippet from documents. ``derived`` columns are computed once
+    per document (from title, scraped_text, content_snippet) before the text meets its many articles."""
     docs = table(spark, sf_dir, "documents")
     text = docs.select(
         F.col("doc_id").alias("_doc"),
@@ -101,6 +102,7 @@ def with_text(articles_: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
         F.col("text").alias("scraped_text"),
         F.substring("text", 1, S.SNIPPET_CHARS).alias("content_snippet"),
     )
+    text = text.withColumns(derived) if derived else text
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     return articles_.withColumn("_doc", F.col("pos") % n_docs).join(text, "_doc", "left").drop("_doc")
 

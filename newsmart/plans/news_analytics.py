@@ -13,7 +13,7 @@ from newsmart.operators import regions as R
 from newsmart.operators.history import aggregated_runs
 from newsmart.operators.retrieval import corpus_summary
 from newsmart.plans.bindings import (
-    NEWS, RUNS_NEWS, articles, executions, full_articles, sql, table,
+    NEWS, RUNS_NEWS, article_keys, articles, executions, full_articles, sql, table, with_text,
 )
 from newsmart.plans.catalog import query
 
@@ -293,10 +293,12 @@ SELECT article_id, execution_id, length(scraped_text) AS n_chars, length(content
        len(regexp_extract_all(content_snippet, '[^\\s]+'))::INT AS snippet_words FROM articles"""))
 def text_measures(spark, sf):
     """Words of the whole text and of the stored snippet (the measure of the fact table)."""
-    return full_articles(spark, sf).select(
-        "article_id", "execution_id", F.length("scraped_text").cast("long").alias("n_chars"),
-        F.length("content_snippet").cast("long").alias("snippet_chars"),
-        word_count(F.col("scraped_text")).alias("words"), word_count(F.col("content_snippet")).alias("snippet_words"))
+    measured = with_text(
+        article_keys(spark, sf), spark, sf,
+        n_chars=F.length("scraped_text").cast("long"), snippet_chars=F.length("content_snippet").cast("long"),
+        words=word_count(F.col("scraped_text")), snippet_words=word_count(F.col("content_snippet")),
+    )
+    return measured.select("article_id", "execution_id", "n_chars", "snippet_chars", "words", "snippet_words")
 
 
 @query("located_runs", sql(*NEWS, body="""

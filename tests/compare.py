@@ -72,7 +72,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
         a, b = rows_of(df.columns, got), rows_of(columns, want)
         if a != b:
             diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
-            problems.append(f"rows {len(a)} vs {len(b)}; columns {sorted(columns)}; first differences {diff}")
+            problems.append(f"rows {len(a)} vs {len(b)}; columns {sorted(columns)}; first differences {str(diff)[:900]}")
     if not got:
         problems.append("no rows")
     return took, len(got), problems
@@ -86,7 +86,7 @@ def session():
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
