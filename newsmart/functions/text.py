@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from newsmart import schemas as S
 
 WORD = r"[\p{L}\p{N}_]"
-# What Python's str.split() treats as white space.
-BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-NON_BLANK_RUN = f"[^{BLANKS}]+"
+# White space beyond blank, tab and line ends, as Python's str.split() sees it.
+RARE_BLANKS = r"[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 # Accented letters and their plain forms, position by position.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -23,7 +22,8 @@ def blank_to_null(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of white-space separated words, 0 for NULL."""
-    return F.coalesce(F.regexp_count(c, F.lit(NON_BLANK_RUN)), F.lit(0))
+    text = F.btrim(F.regexp_replace(c, RARE_BLANKS, " "), F.lit(" \t\n\r\f"))
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, r"\s+")))
 
 
 def fold(c: Column) -> Column:

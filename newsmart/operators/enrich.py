@@ -248,7 +248,7 @@ def enrich(batched: DataFrame, model: ModelCall, text: str = "content_snippet")
     """The whole flow with a real model function. Model answers are written to the checkpoint folder
     once: they are read by several branches and must not be asked for twice."""
     answers = durable(call_model(request_rows(batched, text), model))
-    first = first_pass(batched, answers)
+    first = durable(first_pass(batched, answers))
     return settle(first, lambda q: durable(call_model(request_rows(q, text, single=True), model)))
 
 

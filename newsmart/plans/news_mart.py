@@ -15,14 +15,20 @@ from newsmart.plans.bindings import (
 )
 from newsmart.plans.catalog import query
 from newsmart.plans.news_analytics import region_table
+from newsmart.sources.versions import durable
 
 CUT = "1998-01-01"  # articles up to here were loaded earlier
 
 
+def first_pass(spark, sf):
+    """Articles with their batch answers. Batches and the outcome of the pass are read by several
+    branches, so each is written once."""
+    batched = durable(batched_articles(spark, sf))
+    return durable(E.first_pass(batched, responses(batched)))
+
+
 def settled_articles(spark, sf):
-    batched = batched_articles(spark, sf)
-    first = E.first_pass(batched, responses(batched))
-    return E.settle(first, retry_responses)
+    return E.settle(first_pass(spark, sf), retry_responses)
 
 
 def article_metrics(spark, sf):
@@ -77,15 +83,14 @@ def dim_date_table(spark, sf):
     return M.merge_dim_date(first, rows)
 
 
-def fact_table(spark, sf):
+def fact_table(spark, sf, sources=None):
     """First load without measures, then the measures of all articles that got a result."""
-    sources = dim_source_table(spark, sf)
-    bare = articles(spark, sf).select(
-        "article_id", "execution_id", "date", "source",
-        *[F.lit(None).alias(c) for c in ("word_count", "entity_count", "sentiment_score")])
-    measured = article_metrics(spark, sf).select(
-        "article_id", "execution_id", "date", "source", "word_count", "entity_count", "sentiment_score")
-    return M.upsert(M.fact_rows(bare, sources), M.fact_rows(measured, sources), M.KEYS)
+    sources = durable(dim_source_table(spark, sf)) if sources is None else sources
+    columns = ["article_id", "execution_id", "date", "source"]
+    measures = ["word_count", "entity_count", "sentiment_score"]
+    bare = articles(spark, sf).select(*columns, *[F.lit(None).alias(c) for c in measures])
+    measured = article_metrics(spark, sf).select(*columns, *measures)
+    return M.upsert(M.fact_rows(bare, sources), durable(M.fact_rows(measured, sources)), M.KEYS)
 
 
 @query("batch_assign", sql(*BATCHED, body="SELECT article_id, execution_id, batch_no FROM batched"))
@@ -135,8 +140,7 @@ def validate_metrics(spark, sf):
 SELECT execution_id, article_id, CASE retry_reason WHEN 'missed' THEN 0 ELSE 1 END AS retry_order
 FROM outcomes WHERE retry_reason IS NOT NULL"""))
 def retry_queue(spark, sf):
-    batched = batched_articles(spark, sf)
-    queue = E.retry_queue(E.first_pass(batched, responses(batched)))
+    queue = E.retry_queue(first_pass(spark, sf))
     return queue.select("execution_id", "article_id", "retry_order")
 
 
@@ -206,9 +210,8 @@ def enrich_update(spark, sf):
 SELECT article_id, execution_id, CASE WHEN outcome = 'dlq' AND retry_reason IS NULL THEN '[]' ELSE geodata END AS geodata
 FROM outcomes"""))
 def geodata_fallback(spark, sf):
-    batched = batched_articles(spark, sf)
-    failed = E.first_pass(batched, responses(batched)).filter(F.col("state") == "failed")
-    return E.geodata_fallback(batched, failed).select("article_id", "execution_id", "geodata")
+    first = first_pass(spark, sf)
+    return E.geodata_fallback(first, first.filter(F.col("state") == "failed")).select("article_id", "execution_id", "geodata")
 
 
 @query("dim_date", sql(*NEWS, body="""
@@ -234,8 +237,8 @@ SELECT year(date_key)::INT AS year, source_name, count(*) AS n_articles, sum(wor
        sum(entity_count)::BIGINT AS entities, sum(sentiment_score)::DOUBLE / count(*) AS avg_sentiment
 FROM fact LEFT JOIN dim_source USING (source_id) GROUP BY 1, 2"""))
 def star_report(spark, sf):
-    return M.star_report(fact_table(spark, sf), dim_date_table(spark, sf), dim_source_table(spark, sf),
-                         ["year", "source_name"])
+    sources = durable(dim_source_table(spark, sf))
+    return M.star_report(fact_table(spark, sf, sources), dim_date_table(spark, sf), sources, ["year", "source_name"])
 
 
 @query("avg_sentiment", sql(*MART, body="""
@@ -343,10 +346,9 @@ UNION ALL SELECT 'target', count(*) FROM outcomes
 UNION ALL SELECT retry_reason, count(*) FROM outcomes WHERE retry_reason IS NOT NULL GROUP BY retry_reason"""))
 def funnel(spark, sf):
     """Counters of an enrichment pass: target, missed, invalid, and the three outcomes."""
-    batched = batched_articles(spark, sf)
-    first = E.first_pass(batched, responses(batched))
+    first = first_pass(spark, sf)
     counted = lambda df, c: df.groupBy(F.col(c).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-    target = batched.agg(F.count(F.lit(1)).alias("n")).select(F.lit("target").alias("stage"), "n")
+    target = first.agg(F.count(F.lit(1)).alias("n")).select(F.lit("target").alias("stage"), "n")
     return (
         counted(E.settle(first, retry_responses), "outcome").unionByName(target)
         .unionByName(counted(E.retry_queue(first), "state"))
@@ -370,8 +372,8 @@ def export_rows(spark, sf):
 def enrich_batches(spark, sf):
     """The whole flow with the offline model, called once per batch of five in Arrow batches."""
     places = [r[0] for r in region_table(spark, sf).orderBy("pos").select("state_name").limit(10_000).collect()]
-    batched = with_text(batched_articles(spark, sf), spark, sf).withColumn(
-        "content_snippet", F.concat_ws(" ", "content_snippet", F.array_join("places", ", ")))
+    batched = durable(with_text(batched_articles(spark, sf), spark, sf).withColumn(
+        "content_snippet", F.concat_ws(" ", "content_snippet", F.array_join("places", ", "))))
     done = E.enrich(batched, E.lexicon_model(places))
     return done.select(
         "article_id", "execution_id", "outcome", F.col("sentiment_score").cast("double").alias("sentiment_score"),
