@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
+from newsmart.functions.text import strip
 
 
 def json_strings(c: Column) -> Column:
@@ -28,7 +29,7 @@ def places_or_none(places: Column) -> Column:
 
 def named_places(places: Column) -> Column:
     """As places_or_none, with blank names dropped first."""
-    return places_or_none(F.filter(places, lambda p: F.trim(p) != ""))
+    return places_or_none(F.filter(places, lambda p: strip(p) != ""))
 
 
 def run_country(filters: Column) -> Column:

@@ -16,20 +16,25 @@ ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(strip(c) != "", c)
 
 
 def word_count(c: Column) -> Column:
     """Number of white-space separated words, 0 for NULL."""
-    text = F.btrim(F.regexp_replace(c, RARE_BLANKS, " "), F.lit(" \t\n\r\f"))
+    text = strip(F.regexp_replace(c, RARE_BLANKS, " "))
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, r"\s+")))
 
 
 def fold(c: Column) -> Column:
     """Lower-cased, trimmed, without diacritics: composed Latin letters and combining marks."""
     composed = F.translate(F.coalesce(c, F.lit("")), ACCENTED, PLAIN)
-    return F.trim(F.lower(F.regexp_replace(composed, r"[\x{300}-\x{36f}]", "")))
+    return strip(F.lower(F.regexp_replace(composed, r"[\x{300}-\x{36f}]", "")))
 
 
 def percent_encode(c: Column) -> Column:
@@ -79,13 +84,13 @@ def strip_tags(c: Column) -> Column:
 
 def clean_payload(c: Column) -> Column:
     """Payload text without tags and without javascript: prefixes."""
-    return F.trim(F.regexp_replace(strip_tags(c), r"(?i)javascript:", ""))
+    return strip(F.regexp_replace(strip_tags(c), r"(?i)javascript:", ""))
 
 
 def clean_question(c: Column) -> Column:
     """Chat question: trimmed, no tags, no NUL, known attack phrases masked, cut to the fixed length."""
     phrases = "|".join(p.replace(r"\b", rf"(?!{WORD})") for p in S.INJECTION_PHRASES)
-    text = F.regexp_replace(strip_tags(F.trim(c)), r"\x00", "")
+    text = F.regexp_replace(strip_tags(strip(c)), r"\x00", "")
     return F.substring(F.regexp_replace(text, rf"(?i)({phrases})", "[REDACTED]"), 1, S.QUESTION_CHARS)
 
 
@@ -114,15 +119,15 @@ def citations(c: Column) -> Column:
 def fenced_sql(c: Column) -> Column:
     """SQL of the first ```sql block; bare text that starts with select; else NULL."""
     block = F.regexp_extract(c, r"(?is)```sql\s*(.*?)\s*```", 1)
-    bare = F.trim(c)
-    return F.when(c.rlike(r"(?is)```sql\s*.*?\s*```"), F.trim(block)).when(
+    bare = strip(c)
+    return F.when(c.rlike(r"(?is)```sql\s*.*?\s*```"), strip(block)).when(
         F.lower(bare).startswith("select"), bare
     )
 
 
 def first_object(c: Column) -> Column:
     """The {...} part of free text once code fences are gone."""
-    bare = F.trim(F.replace(F.replace(c, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+    bare = strip(F.replace(F.replace(c, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     return blank_to_null(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
 
 

@@ -86,7 +86,11 @@ def value_counts(articles: DataFrame, pick: Selection = Selection(), blank_place
 
 def kpis(articles: DataFrame, pick: Selection = Selection()) -> DataFrame:
     """Total, number of places, most frequent place and source (ties by name)."""
-    counts = value_counts(articles, pick)
+    return kpis_of(value_counts(articles, pick))
+
+
+def kpis_of(counts: DataFrame) -> DataFrame:
+    """KPIs out of (kind, value, n) counts."""
     is_ = lambda kind: F.col("kind") == kind
     top = lambda kind: F.coalesce(
         F.min_by(F.when(is_(kind), F.col("value")), F.when(is_(kind), F.struct(-F.col("n"), F.col("value")))),

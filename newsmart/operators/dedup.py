@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
+from newsmart.functions.text import strip
 from newsmart.operators.ranking import first_rows, numbered_first_rows
 
 
@@ -29,7 +30,7 @@ def skip_seen(items: DataFrame, stored: DataFrame, keys: Sequence[str] = ("execu
 
 
 def quality_gate(articles: DataFrame, text: str = "scraped_text", least: int = S.MIN_ARTICLE_CHARS) -> DataFrame:
-    return articles.filter(F.length(F.trim(F.col(text))) > least)
+    return articles.filter(F.length(strip(F.col(text))) > least)
 
 
 def dedup_url(articles: DataFrame, scope: Sequence[str], url: Column, order: Sequence[Column]) -> DataFrame:

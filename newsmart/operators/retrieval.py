@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException, ParseException
 
 from newsmart import schemas as S
 from newsmart.functions import crypto
-from newsmart.functions.text import citations, question_keywords
+from newsmart.functions.text import citations, question_keywords, strip
 from newsmart.operators.analytics import most_frequent
 from newsmart.operators.ranking import first_rows, numbered_first_rows
 
@@ -62,7 +62,7 @@ def search_many(questions: DataFrame, articles: DataFrame, k: int = 8) -> DataFr
 
 def evidence_lines(place_text: str = "geodata") -> Column:
     """Text block of one article."""
-    text = F.trim(F.coalesce(F.when(F.col("content_snippet") != "", F.col("content_snippet")),
+    text = strip(F.coalesce(F.when(F.col("content_snippet") != "", F.col("content_snippet")),
                              F.lit("No text available")))
     part = lambda c: F.coalesce(F.col(c), F.lit("None"))
     return F.concat(
@@ -119,7 +119,7 @@ def chat_memory(turns: DataFrame, key: Column, keep: int = S.CHAT_TURNS, prompt:
     """Per conversation the newest turns, oldest first, as one text, and the part used for the prompt.
     Blank turns drop out after the cut."""
     newest = numbered_first_rows(turns, ["execution_id"], [F.col("timestamp").desc(), F.col("id").desc()], "_rn", keep)
-    plain = newest.withColumn("content", F.trim(crypto.decrypt_text(F.col("encrypted_content"), key)))
+    plain = newest.withColumn("content", strip(crypto.decrypt_text(F.col("encrypted_content"), key)))
     line = F.struct((-F.col("_rn")).alias("o"), F.concat_ws(": ", "role", "content").alias("line"), "content")
     lines = F.filter(F.array_sort(F.collect_list(line)), lambda x: F.coalesce(x["content"], F.lit("")) != "")
     listed = plain.groupBy("execution_id").agg(lines.alias("_l"))
@@ -157,12 +157,13 @@ def ongoing_runs(runs: DataFrame) -> DataFrame:
 
 def summary_text(articles: DataFrame, runs: DataFrame) -> DataFrame:
     """Lines of the corpus summary; read them by (section, line_key)."""
+    row = lambda section, key, *parts: F.struct(
+        F.lit(section).alias("section"), F.lit(key).alias("line_key"), F.concat(*parts).alias("line")
+    )
     head = corpus_summary(articles).select(F.inline(F.array(
-        F.struct(F.lit(1).alias("section"), F.lit("1").alias("line_key"),
-                 F.concat(F.lit("  - Total scraped articles: "), "total").alias("line")),
-        F.struct(F.lit(1), F.lit("2"),
-                 F.concat(F.lit("  - Detected date range: "), "first_date", F.lit(" to "), "last_date")),
-        F.struct(F.lit(1), F.lit("3"), F.concat(F.lit("  - Articles with geographic location: "), "with_geodata")),
+        row(1, "1", F.lit("  - Total scraped articles: "), "total"),
+        row(1, "2", F.lit("  - Detected date range: "), "first_date", F.lit(" to "), "last_date"),
+        row(1, "3", F.lit("  - Articles with geographic location: "), "with_geodata"),
     )))
 
     def counted(df: DataFrame, name: str, section: int) -> DataFrame:
@@ -206,12 +207,11 @@ def sql_result_text(result: DataFrame, most: int = S.SQL_ROWS) -> DataFrame:
         (F.monotonically_increasing_id() + 1).alias("line_no"), F.concat_ws(", ", *cells).alias("line")
     )
     total = result.agg(F.count(F.lit(1)).alias("n"))
+    row = lambda no, text: F.struct(F.lit(no).cast("long").alias("line_no"), text.alias("line"))
+    note = F.concat(F.lit(f"... (truncado a {most} resultados de "), F.col("n"), F.lit(")"))
     edges = total.select(F.inline(F.array(
-        F.struct(F.lit(0).cast("long").alias("line_no"),
-                 F.when(F.col("n") == 0, "No results found.").otherwise(", ".join(result.columns)).alias("line")),
-        F.struct(F.lit(most + 1).cast("long"),
-                 F.when(F.col("n") > most,
-                        F.concat(F.lit(f"... (truncado a {most} resultados de "), F.col("n"), F.lit(")")))),
+        row(0, F.when(F.col("n") == 0, "No results found.").otherwise(", ".join(result.columns))),
+        row(most + 1, F.when(F.col("n") > most, note)),
     ))).filter(F.col("line").isNotNull())
     return head.unionByName(edges)
 
@@ -219,9 +219,11 @@ def sql_result_text(result: DataFrame, most: int = S.SQL_ROWS) -> DataFrame:
 def answer_sql(spark: SparkSession, text: str | None) -> DataFrame:
     """safe_sql and its text; a refused or failing statement becomes one error line."""
     try:
-        return sql_result_text(safe_sql(spark, text))
+        result = safe_sql(spark, text)
     except ValueError as exc:
         message = str(exc)
     except (AnalysisException, ParseException) as exc:
         message = f"Database error during execution: {exc}"
+    else:
+        return sql_result_text(result)
     return spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit(message).alias("line"))

@@ -382,14 +382,14 @@ def strip_nulls(spark, sf):
 
 def candidates(spark, sf):
     """Scraped candidates of each run in feed order; every third one has no resolved address."""
-    rows = with_text(article_keys(spark, sf), spark, sf, n_chars=F.length(F.trim("scraped_text")))
+    rows = with_text(article_keys(spark, sf), spark, sf, n_chars=F.length(X.strip(F.col("scraped_text"))))
     return rows.withColumn("real_url", F.when(F.col("pos") % 3 == 0, "").otherwise(
         F.concat(F.lit("https://r.example/"), (F.expr("pos div 9")).cast("string"))))
 
 
 _CANDIDATES_SQL = f"""
 candidates AS (SELECT *, CASE WHEN pos % 3 = 0 THEN url ELSE 'https://r.example/' || (pos // 9) END AS link FROM articles),
-gated AS (SELECT * FROM candidates WHERE length(trim(scraped_text, ' ')) > {S.MIN_ARTICLE_CHARS}),
+gated AS (SELECT * FROM candidates WHERE length(trim(scraped_text, chr(32) || chr(9) || chr(10) || chr(13))) > {S.MIN_ARTICLE_CHARS}),
 unique_url AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY execution_id, link ORDER BY pos) AS rn FROM gated) WHERE rn = 1),
 chosen AS (SELECT * FROM (SELECT execution_id, article_id, url, link, pos, row_number() OVER (PARTITION BY execution_id ORDER BY pos) AS rank
              FROM unique_url) WHERE rank <= 3 + CAST(execution_id AS INT) % 5)"""

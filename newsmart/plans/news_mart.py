@@ -144,7 +144,7 @@ def retry_queue(spark, sf):
     return queue.select("execution_id", "article_id", "retry_order")
 
 
-_DLQ_SQL = f"""
+DLQ_SQL = f"""
 dlq AS (
   SELECT article_id, execution_id,
          CASE WHEN retry_reason IS NULL THEN coalesce(batch_raw, 'None') ELSE coalesce(retry_response, '') END AS raw_response,
@@ -154,7 +154,7 @@ dlq AS (
   FROM outcomes WHERE outcome = 'dlq')"""
 
 
-@query("dlq_rows", sql(*ANSWERED, _DLQ_SQL, body="SELECT * FROM dlq"))
+@query("dlq_rows", sql(*ANSWERED, DLQ_SQL, body="SELECT * FROM dlq"))
 def dlq_rows(spark, sf):
     return E.dead_letters(settled_articles(spark, sf))
 
