@@ -7,6 +7,8 @@ around it (batching, parsing, validation, retry queue, dead letters, merging) is
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -93,58 +95,71 @@ def answer_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def answer_problems() -> Column:
+def answer_problems(r: Callable[[str], Column]) -> Column:
     """Names of the fields that fail the record rule: all fields present, the score a number (text of a
-    number counts) that fits the measure, every entity complete. The score has no range rule."""
+    number counts) that fits the measure, every entity complete. The score has no range rule.
+    ``r`` gives a field of the record by name."""
     problem = lambda bad, name: F.when(bad, F.lit(name))
-    entity = F.exists("entities_list", lambda e: e["entity_text"].isNull() | e["entity_type"].isNull())
-    place = F.exists("locations_list", lambda p: p.isNull())
-    return F.filter(
-        F.array(
-            problem(F.col("article_id").isNull(), "article_id"),
-            problem(F.col("sentiment_score").try_cast("decimal(5,2)").isNull(), "sentiment_score"),
-            problem(F.col("summary").isNull(), "summary"),
-            problem(F.col("entities_list").isNull() | F.coalesce(entity, F.lit(False)), "entities_list"),
-            problem(F.col("locations_list").isNull() | F.coalesce(place, F.lit(False)), "locations_list"),
-        ),
-        lambda p: p.isNotNull(),
+    entity = F.exists(r("entities_list"), lambda e: e["entity_text"].isNull() | e["entity_type"].isNull())
+    place = F.exists(r("locations_list"), lambda p: p.isNull())
+    return F.array_compact(F.array(
+        problem(r("article_id").isNull(), "article_id"),
+        problem(r("sentiment_score").try_cast("decimal(5,2)").isNull(), "sentiment_score"),
+        problem(r("summary").isNull(), "summary"),
+        problem(r("entities_list").isNull() | F.coalesce(entity, F.lit(False)), "entities_list"),
+        problem(r("locations_list").isNull() | F.coalesce(place, F.lit(False)), "locations_list"),
+    ))
+
+
+def checked_record(r: Callable[[str], Column]) -> Column:
+    """Record with its problems and the score as a number, rounded half up from its text."""
+    return F.struct(
+        r("article_id").alias("article_id"), answer_problems(r).alias("problems"),
+        r("sentiment_score").try_cast("decimal(5,2)").alias("sentiment_score"),
+        *[r(f).alias(f) for f in ("summary", "entities_list", "locations_list")],
     )
 
 
 def validate_metrics(rows: DataFrame) -> DataFrame:
-    """Adds problems and turns the score into a number, rounded half up from its text."""
-    return rows.withColumn("problems", answer_problems()).withColumn(
-        "sentiment_score", F.col("sentiment_score").try_cast("decimal(5,2)")
-    )
+    """Adds problems to result rows and turns the score into a number."""
+    record = checked_record(F.col)
+    return rows.withColumn("_c", record).withColumns(
+        {"problems": F.col("_c.problems"), "sentiment_score": F.col("_c.sentiment_score")}
+    ).drop("_c")
 
 
-def _best_answer(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per article the last valid result, else the last invalid one. An answer names few articles, but
-    the choice is a plain maximum, so repeats shrink before the shuffle."""
-    order = F.struct((F.size("problems") == 0).alias("ok"), F.col("answer_pos"))
-    best = rows.groupBy(*keys).agg(
-        F.max_by(F.struct("problems", "sentiment_score", "summary", "entities_list", "locations_list"), order)
-        .alias("_best")
-    )
-    return best.select(*keys, "_best.*")
+def _checked(parsed: DataFrame, *keep: str) -> DataFrame:
+    """Parsed answers with all records checked; the raw text stays only where it is needed later."""
+    records = F.transform("results", lambda r: checked_record(lambda f: r[f]))
+    failed = F.when(F.col("answer_error").isNotNull(), F.col("raw_response"))
+    return parsed.select(*keep, "answer_error", failed.alias("failed_response"), records.alias("_records"))
+
+
+RECORD_FIELDS = ["sentiment_score", "summary", "entities_list", "locations_list"]
 
 
 def first_pass(batched: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row per article: its best result, the batch's answer_error, and what to do next
-    (valid / missed / invalid / failed)."""
-    parsed = parse_answers(answers)
-    rows = validate_metrics(answer_rows(parsed, ["execution_id", "batch_no"]))
-    best = _best_answer(rows, ["execution_id", "batch_no", "article_id"])
+    """One row per article: its result (the last valid one, else the last one), the batch's answer_error,
+    and what to do next (valid / missed / invalid / failed).
+
+    Answers are read and checked once per batch; the articles of a batch then pick theirs from its few
+    records, so one join by batch is all that moves data."""
+    parsed = _checked(parse_answers(answers), "execution_id", "batch_no")
+    mine = F.filter(F.coalesce("_records", F.array()), lambda r: r["article_id"] == F.col("article_id"))
+    good = F.filter("_mine", lambda r: F.size(r["problems"]) == 0)
     state = (
         F.when(F.col("answer_error").isNotNull(), "failed")
-        .when(F.col("problems").isNull(), "missed")
-        .when(F.size("problems") > 0, "invalid")
+        .when(F.col("_best").isNull(), "missed")
+        .when(F.size("_best.problems") > 0, "invalid")
         .otherwise("valid")
     )
     return (
-        batched.join(parsed.drop("results", "call_error"), ["execution_id", "batch_no"])
-        .join(best, ["execution_id", "batch_no", "article_id"], "left")
+        batched.join(parsed, ["execution_id", "batch_no"])
+        .withColumn("_mine", mine)
+        .withColumn("_best", F.coalesce(F.try_element_at(good, F.lit(-1)), F.try_element_at("_mine", F.lit(-1))))
         .withColumn("state", state)
+        .select(*batched.columns, "state", "answer_error", "failed_response",
+                *[F.col(f"_best.{f}").alias(f) for f in RECORD_FIELDS])
     )
 
 
@@ -156,53 +171,46 @@ def retry_queue(first: DataFrame) -> DataFrame:
 
 
 def second_pass(retried: DataFrame, answers: DataFrame) -> DataFrame:
-    """Outcome of the single retries: recovered, or dlq with its reason."""
-    parsed = parse_answers(answers).withColumn(
-        "_hit",
-        F.try_element_at(
-            F.filter(F.coalesce("results", F.array()), lambda r: r["article_id"] == F.col("article_id")), F.lit(1)
-        ),
-    )
-    fields = ("sentiment_score", "summary", "entities_list", "locations_list")
-    checked = validate_metrics(
-        parsed.select(
-            "execution_id", "article_id", "answer_error", "raw_response", F.col("_hit").isNotNull().alias("_found"),
-            *[F.col(f"_hit.{f}").alias(f) for f in fields],
-        )
+    """Outcome of the single retries: recovered, or dlq with its reason. The first result that names the
+    article counts."""
+    parsed = parse_answers(answers)
+    own = F.filter(F.coalesce("results", F.array()), lambda r: r["article_id"] == F.col("article_id"))
+    checked = parsed.select(
+        "execution_id", "article_id", "answer_error", "raw_response",
+        F.get(F.transform(F.slice(own, 1, 1), lambda r: checked_record(lambda f: r[f])), F.lit(0)).alias("_hit"),
     )
     reason = (
         F.when(F.col("answer_error").isNotNull(), F.col("answer_error"))
-        .when(~F.col("_found"), F.lit(MISSED_AGAIN))
-        .when(F.size("problems") > 0, F.concat(F.lit("invalid: "), F.array_join("problems", ",")))
+        .when(F.col("_hit").isNull(), F.lit(MISSED_AGAIN))
+        .when(F.size("_hit.problems") > 0, F.concat(F.lit("invalid: "), F.array_join("_hit.problems", ",")))
     )
-    keep = retried.drop("answer_error", "raw_response", "problems", "state", *fields)
+    keep = retried.drop("answer_error", "failed_response", "state", "retry_order", *RECORD_FIELDS)
     return (
         keep.join(checked, ["execution_id", "article_id"])
         .withColumn("error_reason", reason)
-        .withColumn("raw_response", F.when(F.col("answer_error").isNotNull(), "").otherwise(F.col("raw_response")))
-        .withColumn("outcome", F.when(F.col("error_reason").isNull(), "recovered").otherwise("dlq"))
-        .drop("answer_error", "_found", "problems", "retry_order")
+        .select(
+            *keep.columns, "error_reason",
+            F.when(F.col("answer_error").isNotNull(), "").when(F.col("error_reason").isNotNull(), F.col("raw_response"))
+            .alias("raw_response"),
+            F.when(F.col("error_reason").isNull(), "recovered").otherwise("dlq").alias("outcome"),
+            *[F.when(F.col("error_reason").isNull(), F.col(f"_hit.{f}")).alias(f) for f in RECORD_FIELDS],
+        )
     )
 
 
 def settle(first: DataFrame, retry_answers: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One row per article with outcome valid / recovered / dlq; every article gets exactly one."""
-    fields = ["sentiment_score", "summary", "entities_list", "locations_list"]
     queue = retry_queue(first)
     again = second_pass(queue, retry_answers(queue))
+    failed = F.col("state") == "failed"
     done = first.filter(F.col("state").isin("valid", "failed")).select(
-        "*",
-        F.when(F.col("state") == "failed", F.col("answer_error")).alias("error_reason"),
-        F.when(F.col("state") == "failed", "dlq").otherwise("valid").alias("outcome"),
+        *[c for c in first.columns if c not in ("state", "answer_error", "failed_response", *RECORD_FIELDS)],
+        F.when(failed, F.col("answer_error")).alias("error_reason"),
+        F.when(failed, F.coalesce("failed_response", F.lit("None"))).alias("raw_response"),
+        F.when(failed, "dlq").otherwise("valid").alias("outcome"),
+        *[F.when(~failed, F.col(f)).alias(f) for f in RECORD_FIELDS],
     )
-    done = done.withColumn(
-        "raw_response", F.when(F.col("state") == "failed", F.coalesce("raw_response", F.lit("None")))
-    ).drop("answer_error", "problems", "state")
-    return done.unionByName(again.withColumn(
-        "raw_response", F.when(F.col("outcome") == "dlq", F.col("raw_response"))
-    )).select(*[c for c in done.columns if c not in fields], *[
-        F.when(F.col("outcome") != "dlq", F.col(f)).alias(f) for f in fields
-    ])
+    return done.unionByName(again)
 
 
 def dead_letters(settled: DataFrame) -> DataFrame:
@@ -249,7 +257,7 @@ def enrich(batched: DataFrame, model: ModelCall, text: str = "content_snippet")
     once: they are read by several branches and must not be asked for twice."""
     answers = durable(call_model(request_rows(batched, text), model))
     first = durable(first_pass(batched, answers))
-    return settle(first, lambda q: durable(call_model(request_rows(q, text, single=True), model)))
+    return durable(settle(first, lambda q: durable(call_model(request_rows(q, text, single=True), model))))
 
 
 # Small lexicon of the offline default model.
@@ -259,21 +267,23 @@ NEGATIVE = {"bad", "loss", "crisis", "war", "death", "malo", "muerte", "peor", "
 
 def lexicon_model(places: list[str]) -> ModelCall:
     """Offline stand-in for a language model: place names found in title (else text) and word polarity."""
-    names = [(p, p.lower()) for p in places]
+    names = [(p, p.lower(), set(re.findall(r"\w+", p.lower()))) for p in places]
+
+    def named(text: str, words: set[str]) -> list[str]:
+        return [p for p, low, parts in names if parts <= words and (len(parts) == 1 or low in text)]
 
     def ask(rows: list[dict]) -> str:
         results = []
         for row in rows:
-            title, text = row["title"], row["text"]
-            words = [w.strip(".,;:!?\"'()").lower() for w in (title + " " + text).split()]
-            seen = set(words)
-            in_title = [p for p, low in names if low in title.lower().split()]
-            found = in_title or [p for p, low in names if low in seen or (" " in low and low in text.lower())]
-            good, bad = sum(w in POSITIVE for w in words), sum(w in NEGATIVE for w in words)
+            title, text = row["title"].lower(), row["text"].lower()
+            title_words, words = Counter(re.findall(r"\w+", title)), Counter(re.findall(r"\w+", text))
+            found = named(title, title_words.keys()) or named(text, words.keys())
+            words.update(title_words)
+            good, bad = sum(words[w] for w in POSITIVE), sum(words[w] for w in NEGATIVE)
             results.append({
                 "article_id": row["article_id"],
                 "sentiment_score": round((good - bad) / max(good + bad, 1), 2),
-                "summary": title,
+                "summary": row["title"],
                 "entities_list": [{"entity_text": p, "entity_type": "LOCATION"} for p in found],
                 "locations_list": found,
             })

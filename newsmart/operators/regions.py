@@ -86,11 +86,13 @@ def choropleth(articles: DataFrame, regions: DataFrame, count_unlocated: bool =
 
 
 def tag_locations(
-    articles: DataFrame, regions: DataFrame, title: str, text: str, aliases: dict[str, str] | None = None
+    articles: DataFrame, regions: DataFrame, title: str, text: str, aliases: dict[str, str] | None = None,
+    tidy: bool = False,
 ) -> DataFrame:
     """Adds locations: regions named in the title, or, when there is none, in the text (all of it).
 
-    Names and aliases count as whole words, accents and case aside; only names of the region list come out."""
+    Names and aliases count as whole words, accents and case aside; only names of the region list come out.
+    ``tidy`` says that both columns hold padded_words already."""
     known = F.transform("_regions", lambda r: r["name"])
     words = F.transform("_regions", lambda r: F.struct(r["word"].alias("word"), r["name"].alias("target")))
     if aliases:
@@ -101,7 +103,8 @@ def tag_locations(
         words = F.concat(words, F.filter(extra, lambda e: F.array_contains(known, e["target"])))
 
     def found(text_: str) -> Column:
-        hits = _with(padded_words(F.col(text_)), lambda t: F.filter(words, lambda w: F.contains(t, w["word"])))
+        words_of = F.col(text_) if tidy else padded_words(F.col(text_))
+        hits = _with(words_of, lambda t: F.filter(words, lambda w: F.contains(t, w["word"])))
         return F.array_distinct(F.transform(hits, lambda w: w["target"]))
 
     listed = articles.withColumn("_regions", region_list(regions)).withColumn("_in_title", found(title))

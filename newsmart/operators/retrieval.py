@@ -93,8 +93,8 @@ def citation_lookup(answers: DataFrame, articles: DataFrame, text: str = "text")
     """(cited, article_id, url) for every id cited in the answers: the first article (by pos) whose id
     starts with it or whose address contains it.
 
-    Ids meet articles by equality: each article offers its id prefixes and address parts of just the
-    lengths that are cited, reduced to one article per part before the join."""
+    Ids meet articles by equality: each article (once, at its first place) offers its id prefixes and address parts of just the
+    lengths that are cited; parts nobody cited go first, then each part shrinks to its first article."""
     cited = answers.select(F.explode(citations(F.col(text))).alias("cited")).distinct()
     lengths = cited.agg(F.array_sort(F.collect_set(F.length("cited"))).alias("l")).scalar()
     prefixes = F.transform(
@@ -107,7 +107,7 @@ def citation_lookup(answers: DataFrame, articles: DataFrame, text: str = "text")
         ),
     ))
     offers = (
-        articles.select("pos", "article_id", "url").withColumn("_lengths", F.coalesce(lengths, F.array().cast("array<int>")))
+        articles.groupBy("article_id", "url").agg(F.min("pos").alias("pos")).withColumn("_lengths", F.coalesce(lengths, F.array().cast("array<int>")))
         .select("pos", "article_id", "url", F.explode(F.array_distinct(F.concat(prefixes, parts))).alias("cited"))
         .join(cited, "cited", "left_semi")
     )

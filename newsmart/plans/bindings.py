@@ -87,11 +87,16 @@ def article_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_places(keys: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.join(article_places(spark, sf_dir), "pos", "left").withColumns({
+        "geodata": F.to_json("places"),
+        "image_url": F.concat(F.lit("https://img.example/"), F.col("pos").cast("string"), F.lit(".jpg")),
+    })
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles without their text: keys, address, date, source, places (array) and geodata (JSON text)."""
-    return article_keys(spark, sf_dir).join(article_places(spark, sf_dir), "pos", "left").withColumn(
-        "geodata", F.to_json("places")
-    ).withColumn("image_url", F.concat(F.lit("https://img.example/"), F.col("pos").cast("string"), F.lit(".jpg")))
+    return with_places(article_keys(spark, sf_dir), spark, sf_dir)
 
 
 def with_text(articles_: DataFrame, spark: SparkSession, sf_dir: str, **derived: Column) -> DataFrame:
@@ -115,7 +120,7 @@ def full_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_batches(articles(spark, sf_dir))
+    return with_places(assign_batches(article_keys(spark, sf_dir)), spark, sf_dir)
 
 
 def _answer(pos: Column, sentiment: Column, summary: Column) -> Column:

@@ -13,7 +13,7 @@ from newsmart.operators import regions as R
 from newsmart.operators.history import aggregated_runs
 from newsmart.operators.retrieval import corpus_summary
 from newsmart.plans.bindings import (
-    NEWS, RUNS_NEWS, article_keys, articles, executions, full_articles, sql, table, with_text,
+    NEWS, RUNS_NEWS, article_keys, articles, executions, sql, table, with_text,
 )
 from newsmart.plans.catalog import query
 
@@ -207,11 +207,16 @@ tagged AS (
 SELECT article_id, execution_id, array_to_string(list_sort(
    CASE WHEN len(in_title) > 0 THEN in_title ELSE coalesce(places, []) END), ',') AS locations FROM tagged"""))
 def tag_locations(spark, sf):
-    """The text names every place of the article; every third title names the first of them."""
-    named = full_articles(spark, sf).withColumn(
-        "title", F.concat_ws(" ", "title", F.when(F.col("pos") % 3 == 0, F.get("places", F.lit(0))))
-    ).withColumn("scraped_text", F.concat_ws(" ", "scraped_text", F.array_join("places", ", ")))
-    tagged = R.tag_locations(named, region_table(spark, sf), "title", "scraped_text", S.REGION_ALIASES)
+    """The text names every place of the article; every third title names the first of them. Words are
+    tidied once per document."""
+    named = with_text(articles(spark, sf), spark, sf, title_words=R.padded_words(F.col("title")),
+                      text_words=R.padded_words(F.col("scraped_text")))
+    first = F.when(F.col("pos") % 3 == 0, F.get("places", F.lit(0)))
+    named = named.select(
+        "article_id", "execution_id",
+        F.concat("title_words", R.padded_words(first)).alias("title"),
+        F.concat("text_words", R.padded_words(F.array_join("places", ", "))).alias("text"))
+    tagged = R.tag_locations(named, region_table(spark, sf), "title", "text", S.REGION_ALIASES, tidy=True)
     return tagged.select("article_id", "execution_id", F.array_join(F.array_sort("locations"), ",").alias("locations"))
 
 

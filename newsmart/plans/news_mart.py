@@ -28,7 +28,8 @@ def first_pass(spark, sf):
 
 
 def settled_articles(spark, sf):
-    return E.settle(first_pass(spark, sf), retry_responses)
+    """Written once as well: results, entities and dead letters are all read from it."""
+    return durable(E.settle(first_pass(spark, sf), retry_responses))
 
 
 def article_metrics(spark, sf):
