@@ -403,9 +403,9 @@ def safe_sql(spark, sf):
 
 @query("sql_result_text", sql(*RUNS_NEWS, """
 result AS (SELECT e.search_term, a.source, count(*) AS n FROM articles a JOIN executions e USING (execution_id) GROUP BY ALL),
-numbered AS (SELECT *, row_number() OVER (ORDER BY n DESC, search_term, source) AS line_no FROM result)""", body="""
+numbered AS (SELECT *, row_number() OVER (ORDER BY n DESC, search_term, source NULLS FIRST) AS line_no FROM result)""", body="""
 SELECT 0::BIGINT AS line_no, 'search_term, source, n' AS line
-UNION ALL SELECT line_no, search_term || ', ' || source || ', ' || n FROM numbered WHERE line_no <= 50
+UNION ALL SELECT line_no, search_term || ', ' || coalesce(source, 'None') || ', ' || n FROM numbered WHERE line_no <= 50
 UNION ALL SELECT 51, '... (truncado a 50 resultados de ' || (SELECT count(*) FROM result) || ')' WHERE (SELECT count(*) FROM result) > 50"""))
 def sql_result_text(spark, sf):
     _views(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from compare import connect, kind, rows_of
 from conftest import SF
@@ -9,6 +11,17 @@ from conftest import SF
 from newsmart.plans import ORACLES, QUERIES
 
 
+PYTHON = {"enrich_batches", "strip_noise", "lead_image", "rate_limit"}
+
+
+def check_plan(name, df):
+    """No nested loops; Python workers only where named, and never row by row."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "BatchEvalPython" not in text
+    if name not in PYTHON:
+        assert not re.search(r"ArrowEvalPython|MapInPandas|FlatMapGroups", text)
+
+
 @pytest.fixture(scope="module")
 def duck():
     return connect(SF)
@@ -17,6 +30,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
+    check_plan(name, df)
     rows = df.collect()
     if name not in ORACLES:
         assert rows
