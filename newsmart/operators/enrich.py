@@ -76,14 +76,18 @@ def request_rows(batched: DataFrame, text: str = "content_snippet", single: bool
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Adds results (array, NULL when the text is no JSON object) and answer_error."""
-    parsed = F.from_json("raw_response", S.MODEL_ANSWER)
-    broken = F.try_parse_json("raw_response").isNull()
-    return answers.withColumn(
-        "answer_error",
-        F.when(F.col("raw_response").isNull(), F.coalesce("call_error", F.lit("no response")))
-        .when(broken, F.lit("JSONDecodeError")),
-    ).withColumn("results", F.when(F.col("answer_error").isNull(), F.coalesce(parsed["results"], F.array())))
+    """Adds results (array, NULL when the text is no JSON object) and answer_error. Text without readable
+    results is looked at a second time, to tell broken JSON from an object that holds none."""
+    read = answers.withColumn("_results", F.from_json("raw_response", S.MODEL_ANSWER)["results"])
+    none, text = F.col("_results").isNull(), F.col("raw_response")
+    error = (
+        F.when(text.isNull(), F.coalesce("call_error", F.lit("no response")))
+        .when(none & F.try_parse_json(text).isNull(), F.lit("JSONDecodeError"))
+        .when(none & ~F.ltrim(text).startswith("{"), F.lit("response is no object"))
+    )
+    return read.withColumn("answer_error", error).withColumn(
+        "results", F.when(F.col("answer_error").isNull(), F.coalesce("_results", F.array()))
+    ).drop("_results")
 
 
 def answer_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:

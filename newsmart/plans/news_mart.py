@@ -72,8 +72,8 @@ def empty(spark, ddl):
 
 
 def dim_source_table(spark, sf):
-    """Two loads: articles before the cut, then all."""
-    rows = articles(spark, sf).select("source", "date")
+    """Two loads: sources seen before the cut, then all. Articles shrink to one row per source first."""
+    rows = durable(articles(spark, sf).groupBy("source").agg(F.min("date").alias("date")))
     first = M.merge_dim_source(empty(spark, S.DIM_SOURCE), rows.filter(F.col("date") < CUT))
     return M.merge_dim_source(first, rows)
 

@@ -55,14 +55,14 @@ def test_states(spark):
     good = json.dumps({"results": [record("a"), record("b", "abc"), record("zz"), record("d", "x"), record("d", 0.1)]})
     first = run_first(
         spark,
-        [("e", "a", 0), ("e", "b", 0), ("e", "c", 0), ("e", "d", 0), ("e", "f", 1), ("g", "a", 0), ("h", "a", 0), ("i", "a", 0)],
-        [("e", 0, good, None), ("e", 1, good[:-9], None), ("g", 0, None, "boom"), ("h", 0, '{"other":1}', None), ("i", 0, "{}", None)],
+        [("e", "a", 0), ("e", "b", 0), ("e", "c", 0), ("e", "d", 0), ("e", "f", 1), ("g", "a", 0), ("h", "a", 0), ("i", "a", 0), ("j", "a", 0)],
+        [("e", 0, good, None), ("e", 1, good[:-9], None), ("g", 0, None, "boom"), ("h", 0, '{"other":1}', None), ("i", 0, "{}", None), ("j", 0, "[1]", None)],
     )
     got = {(r.execution_id, r.article_id): (r.state, r.answer_error) for r in first.collect()}
     assert got == {
         ("e", "a"): ("valid", None), ("e", "b"): ("invalid", None), ("e", "c"): ("missed", None), ("e", "d"): ("valid", None),
         ("e", "f"): ("failed", "JSONDecodeError"), ("g", "a"): ("failed", "boom"), ("h", "a"): ("missed", None),
-        ("i", "a"): ("missed", None)}
+        ("i", "a"): ("missed", None), ("j", "a"): ("failed", "response is no object")}
     queue = E.retry_queue(first).filter("execution_id = 'e'").orderBy("retry_order", "article_id").collect()
     assert [(r.article_id, r.retry_order) for r in queue] == [("c", 0), ("b", 1)]
 
