@@ -128,8 +128,8 @@ def jobs_order(column: str, direction: str, now: Column) -> list[Column]:
 def queue_position(runs: DataFrame) -> DataFrame:
     """Place of every queued run in the waiting line (oldest first); only queued rows are numbered."""
     queued = runs.filter(F.col("status") == "QUEUED_FOR_ANALYSIS")
-    hour = F.date_trunc("hour", F.col("timestamp"))
-    return table_position(queued, hour, [F.col("timestamp"), F.col("execution_id")], "queue_position")
+    minute = F.date_trunc("minute", F.col("timestamp"))
+    return table_position(queued, minute, [F.col("timestamp"), F.col("execution_id")], "queue_position")
 
 
 def next_queued(runs: DataFrame) -> DataFrame:

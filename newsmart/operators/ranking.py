@@ -70,7 +70,7 @@ def table_position(df: DataFrame, bucket: Column, order: Sequence[Column], out:
     """1-based position over the whole table in (bucket, order) order.
 
     Only the bucket sizes pass through one task, so the bucket must have few distinct values (a hash
-    prefix, an hour). It has to be a function of the row alone: a retried task must see it again."""
+    prefix, a minute). It has to be a function of the row alone: a retried task must see it again."""
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

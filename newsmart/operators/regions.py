@@ -28,11 +28,20 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _check_size(regions: DataFrame) -> None:
+    if regions.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions; expected one country's list")
+
+
+def region_names(regions: DataFrame) -> list[str]:
+    """The names themselves, in file order, for a model function; refused when it is no country's list."""
+    _check_size(regions)
+    return regions.agg(F.array_sort(F.collect_list(F.struct("pos", "state_name")))["state_name"].alias("n")).first()[0]
+
+
 def region_list(regions: DataFrame) -> Column:
     """All regions as one array of (pos, name, norm, word), in file order."""
-    n = regions.limit(MOST_REGIONS + 1).count()
-    if n > MOST_REGIONS:
-        raise ValueError(f"more than {MOST_REGIONS} regions; expected one country's list")
+    _check_size(regions)
     name = F.col("state_name")
     item = F.struct(
         F.col("pos"), name.alias("name"), fold(name).alias("norm"), padded_words(name).alias("word")

@@ -127,11 +127,11 @@ def country_config(spark, sf):
         F.lit('{"'), F.lower("n_name"), F.lit('":{"country_name":"Country of '), "n_name",
         F.lit('","center":[1.5,2.5],"zoom":4,"hl":"en","gl":"US","ceid":"US:en"}}'))
     own = G.config_rows(nation.filter(F.col("n_nationkey") % 2 == 0).select(text.alias("config")))
-    fixed = G.config_rows(nation.limit(1).select(F.lit(G.default_config_json()).alias("config")))
+    fixed = G.config_rows(spark.range(1).select(F.lit(G.default_config_json()).alias("config")))
     settings = own.unionByName(fixed)
     first = nation.groupBy("n_regionkey").agg(F.min_by("n_name", "n_nationkey").alias("n"))
     mapped = G.with_map(settings, first.select(F.lower("n").alias("country")).unionByName(
-        nation.limit(1).select(F.lit(S.DEFAULT_COUNTRY).alias("country"))))
+        spark.range(1).select(F.lit(S.DEFAULT_COUNTRY).alias("country"))))
     runs = G.resolve_country(executions(spark, sf), settings)
     flags = mapped.select("key", F.lit(True).alias("has_map"))
     return runs.join(flags, "key", "left").select(

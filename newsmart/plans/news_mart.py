@@ -9,9 +9,11 @@ from newsmart.functions.text import word_count
 from newsmart.operators import enrich as E
 from newsmart.operators import mart as M
 from newsmart.operators import export as X
+from newsmart.operators.regions import region_names
 from newsmart.plans.bindings import (
     ANSWERED, BATCHED, EXECUTIONS_SQL, NEWS, RUNS_NEWS, article_keys, articles, batched_articles, executions,
-    full_articles, responses, retry_responses, sql, table, with_text,
+    full_articles, responses, retry_responses, sql, table, with_places,
+    with_text,
 )
 from newsmart.plans.catalog import query
 from newsmart.plans.news_analytics import region_table
@@ -254,12 +256,10 @@ def avg_sentiment(spark, sf):
 SELECT article_id, execution_id, title, url, date AS date_str, source AS source_name, content_snippet
 FROM articles WHERE date >= '{CUT}' ORDER BY article_id, execution_id LIMIT 50"""))
 def delta_extract(spark, sf):
-    """Articles before the cut have facts. The fifty rows are found first and then get their text."""
-    rows = articles(spark, sf)
-    fact = article_keys(spark, sf).filter(F.col("date") < CUT)
-    todo = rows.withColumns({"title": F.lit(None), "content_snippet": F.lit(None)}).join(
-        fact.select(*M.KEYS), M.KEYS, "left_anti").orderBy(*M.KEYS).limit(S.DELTA_SIZE)
-    return M.delta_extract(with_text(todo.drop("title", "content_snippet"), spark, sf), fact.limit(0))
+    """Articles before the cut have facts. The fifty rows are found by their keys and then get the rest."""
+    keys = article_keys(spark, sf)
+    todo = M.next_articles(keys, keys.filter(F.col("date") < CUT))
+    return M.delta_columns(with_text(with_places(todo, spark, sf), spark, sf))
 
 
 _OLD_NEW = f"""
@@ -372,7 +372,7 @@ def export_rows(spark, sf):
 @query("enrich_batches")
 def enrich_batches(spark, sf):
     """The whole flow with the offline model, called once per batch of five in Arrow batches."""
-    places = [r[0] for r in region_table(spark, sf).orderBy("pos").select("state_name").limit(10_000).collect()]
+    places = region_names(region_table(spark, sf))
     batched = durable(with_text(batched_articles(spark, sf), spark, sf).withColumn(
         "content_snippet", F.concat_ws(" ", "content_snippet", F.array_join("places", ", "))))
     done = E.enrich(batched, E.lexicon_model(places))

@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+_local_folders: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only where none is named (local tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="newsmart-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="newsmart-")
+    return _local_folders[app]
 
 
 def durable(df: DataFrame) -> DataFrame:
