@@ -369,7 +369,21 @@ def export_rows(spark, sf):
     return X.export_rows(rows)
 
 
-@query("enrich_batches")
+_LEXICON_SQL = "len(list_filter(words, lambda w: w IN ({})))".format
+
+
+def _in(words):
+    return ",".join(f"'{w}'" for w in sorted(words))
+
+
+@query("enrich_batches", sql(*BATCHED, f"""
+worded AS (
+  SELECT *, regexp_extract_all(lower(title || ' ' || content_snippet || ' ' || array_to_string(coalesce(places, []), ', ')),
+         '[\\p{{L}}\\p{{N}}_]+') AS words FROM batched),
+scored AS (SELECT *, {_LEXICON_SQL(_in(E.POSITIVE))} AS good, {_LEXICON_SQL(_in(E.NEGATIVE))} AS bad FROM worded)""", body="""
+SELECT article_id, execution_id, 'valid' AS outcome,
+       CAST(CAST(round((good - bad) / greatest(good + bad, 1), 2) AS VARCHAR) AS DECIMAL(5,2))::DOUBLE AS sentiment_score,
+       array_to_string(coalesce(places, []), ',') AS locations FROM scored"""))
 def enrich_batches(spark, sf):
     """The whole flow with the offline model, called once per batch of five in Arrow batches."""
     places = region_names(region_table(spark, sf))
@@ -378,4 +392,4 @@ def enrich_batches(spark, sf):
     done = E.enrich(batched, E.lexicon_model(places))
     return done.select(
         "article_id", "execution_id", "outcome", F.col("sentiment_score").cast("double").alias("sentiment_score"),
-        F.array_join("locations_list", ",").alias("locations"))
+        F.array_join(F.array_sort("locations_list"), ",").alias("locations"))

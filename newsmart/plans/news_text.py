@@ -350,17 +350,26 @@ def _answered(spark, sf):
         F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, turn)").alias("timestamp"))
 
 
-@query("chat_append")
+_PAIRS_SQL = """
+pairs AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b
+  ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
+
+
+@query("chat_append", sql(_PAIRS_SQL, body="""
+SELECT CAST(conv_id AS VARCHAR) AS execution_id, 'user' AS role, turn, strlen(question) AS n_bytes FROM pairs
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'assistant', turn, strlen(answer) FROM pairs"""))
 def chat_append(spark, sf):
-    """Two encrypted rows per answered question (the cipher text differs from run to run)."""
-    return R.chat_rows(_answered(spark, sf), chat_key(spark))
+    """Two encrypted rows per answered question. The cipher text differs from run to run, its size does
+    not: 12 bytes of nonce and 16 of tag around the text."""
+    rows = R.chat_rows(_answered(spark, sf), chat_key(spark))
+    size = F.octet_length(F.unbase64("encrypted_content")) - 28
+    return rows.select("execution_id", "role", F.minute("timestamp").cast("long").alias("turn"),
+                       size.cast("long").alias("n_bytes"))
 
 
-@query("chat_roundtrip", """
-WITH pairs AS (SELECT a.conv_id, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b
-  ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')
+@query("chat_roundtrip", sql(_PAIRS_SQL, body="""
 SELECT CAST(conv_id AS VARCHAR) AS execution_id, 'user' AS role, question AS content, question <> '' AS hidden FROM pairs
-UNION ALL SELECT CAST(conv_id AS VARCHAR), 'assistant', answer, answer <> '' FROM pairs""")
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'assistant', answer, answer <> '' FROM pairs"""))
 def chat_roundtrip(spark, sf):
     rows = R.chat_rows(_answered(spark, sf), chat_key(spark))
     content = crypto.decrypt_text(F.col("encrypted_content"), chat_key(spark))
