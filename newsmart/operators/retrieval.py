@@ -44,7 +44,7 @@ def search_many(questions: DataFrame, articles: DataFrame, k: int = 8) -> DataFr
     runs = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-záéíóúñ]{4,})"), F.lit(1)))
     posts = articles.select("article_id", "execution_id", "date", F.explode(runs).alias("word"))
     newest_per_word = first_rows(posts, ["word"], _newest(), k)
-    words = posts.select("word").distinct()
+    words = newest_per_word.select("word").distinct()
     starts = F.sequence(F.lit(1), F.length("word") - 3)
     parts = F.flatten(F.transform(
         starts, lambda i: F.transform(

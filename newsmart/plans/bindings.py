@@ -102,14 +102,15 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_text(articles_: DataFrame, spark: SparkSession, sf_dir: str, **derived: Column) -> DataFrame:
     """Adds title, whole text and the stored snippet from documents. ``derived`` columns are computed once
     per document (from title, scraped_text, content_snippet) before the text meets its many articles; the
-    shuffle by doc_id that the join needs comes first, so that work runs on all cores even for one file."""
+    shuffle by doc_id that the join needs comes first, so that work runs on all cores even for one file.
+    Columns nobody asks for are cut before that shuffle."""
     docs = table(spark, sf_dir, "documents")
-    text = docs.repartition("doc_id").select(
+    text = docs.select(
         F.col("doc_id").alias("_doc"),
-        F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("title"),
+        F.trim(F.substring_index("text", ".", 1)).alias("title"),
         F.col("text").alias("scraped_text"),
         F.substring("text", 1, S.SNIPPET_CHARS).alias("content_snippet"),
-    )
+    ).repartition("_doc")
     text = text.withColumns(derived) if derived else text
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     return articles_.withColumn("_doc", F.col("pos") % n_docs).join(text, "_doc", "left").drop("_doc")
