@@ -132,4 +132,4 @@ def rate_limit(spark, sf):
 @query("stream_rate_limit", _ADMITTED_SQL)
 def stream_rate_limit(spark, sf):
     stream = requests(event_stream(spark, sf))
-    return spark.read.parquet(R.append_files(L.admitted_stream(stream), R.new_folder(spark, "limits")))
+    return L.admit_stream(stream, R.new_folder(spark, "limits"))

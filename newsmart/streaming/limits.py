@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
+from newsmart.operators.ranking import first_rows
+from newsmart.streaming.runs import batch_folder, drain
 
 MICROS = 1_000_000
 
@@ -103,26 +105,29 @@ def admitted(
     )
 
 
-def admitted_stream(requests: DataFrame, limit: int = S.RATE_LIMIT, window: int = S.RATE_WINDOW_SEC) -> DataFrame:
-    """Streaming admission of (ip, t, request_id): the state of a client is its admitted times inside the
-    window, never more than ``limit``. A trigger handles its own rows of a client in time order; bound the
-    trigger (files or offsets per batch) to bound that."""
-    span = window * MICROS
-
-    def step(key, frames, state):
-        kept = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["t", "request_id"])
-        flags = []
-        for t in rows["t"]:
-            while kept and t - kept[0] >= span:
-                kept.popleft()
-            ok = len(kept) < limit
-            if ok:
-                kept.append(t)
-            flags.append(ok)
-        state.update((list(kept),))
-        yield pd.DataFrame({"ip": key[0], "request_id": rows["request_id"], "admitted": flags})
-
-    return requests.groupBy("ip").applyInPandasWithState(
-        step, "ip STRING, request_id LONG, admitted BOOLEAN", "kept ARRAY<LONG>", "append", "NoTimeout"
-    )
+def admit_stream(
+    requests: DataFrame, base: str, limit: int = S.RATE_LIMIT, window: int = S.RATE_WINDOW_SEC
+) -> DataFrame:
+    """Decides a stream of (ip, t, request_id) micro-batch by micro-batch and returns all decisions.
+
+    What a client carries over are its last ``limit`` admitted requests. They are put in front of its new
+    ones and decided again together with them: among admitted requests alone each is admitted again, so
+    they are exactly the memory the rule needs. Every batch thus runs the batch operator, which spreads
+    busy clients; nothing of a client is gathered in one task. Requests are expected in the order of time
+    from batch to batch."""
+    names = ["ip", "t", "request_id"]
+
+    def each(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        new = rows.select(*names, F.lit(False).alias("past"))
+        if number > 0:
+            kept = spark.read.parquet(batch_folder(f"{base}/kept", number - 1))
+            new = new.unionByName(kept.select(*names, F.lit(True).alias("past")))
+        path = batch_folder(f"{base}/decided", number)
+        admitted(new, "ip", limit, window).select(*names, "past", "admitted").write.mode("overwrite").parquet(path)
+        last = first_rows(spark.read.parquet(path).filter("admitted"), ["ip"],
+                          [F.col("t").desc(), F.col("request_id").desc()], limit)
+        last.select(*names).write.mode("overwrite").parquet(batch_folder(f"{base}/kept", number))
+
+    drain(requests, each, f"{base}/checkpoint")
+    return requests.sparkSession.read.parquet(f"{base}/decided").filter("NOT past").select("ip", "request_id", "admitted")
