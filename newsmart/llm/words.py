@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Also ends words at ASCII punctuation.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[i for i in range(128) if not chr(i).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 16
@@ -78,13 +81,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offset - offset[0]
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Words:
+def words_of(column: pa.Array, lower: bool = True, between: np.ndarray = SPACE) -> Words:
+    """between: which bytes part words."""
     data, offset = text_bytes(column)
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(0, np.uint64), np.zeros(len(offset), np.int64), offset)
-    inner = ~SPACE[data]
+    inner = ~between[data]
     edge = np.ones(n + 1, bool)
     edge[1:n] = ~inner[:-1]
     edge[offset] = True
