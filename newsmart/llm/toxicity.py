@@ -130,13 +130,13 @@ def fold(doc_id) -> F.Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep``, held_out, score and predicted for every row. Rows whose crc32(doc_id) mod 5 is 0 are never
-    learned from. Without labelled rows every score is one half."""
-    rows = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))
-    weights = fit(rows.select("doc_id", "text"), labels.filter(fold(F.col("doc_id")) != 0).select("doc_id", "toxic"))
-    scored = score(rows.withColumn("_text", F.col("text")), weights, *(dict.fromkeys(["doc_id", *(c for c in keep if c != "text")])), *(["_text"] if "text" in keep else []))
-    scored = scored.withColumnRenamed("_text", "text") if "text" in keep else scored
-    return scored.withColumns({"held_out": fold(F.col("doc_id")) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+    """The columns ``keep`` of docs, held_out, score and predicted for every row; kept columns of these names give way.
+    Rows whose crc32(doc_id) mod 5 is 0 are never learned from. Without labelled rows every score is one half."""
+    keep = tuple(c for c in keep if c not in ("held_out", "score", "predicted"))
+    rows = docs.select(F.struct(*keep).alias("_kept"), F.col("doc_id").alias("_id"), "text")
+    learned = docs.select("doc_id", "text"), labels.filter(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
+    scored = score(rows, fit(*learned), "_kept", "_id")
+    return scored.select("_kept.*", (fold(F.col("_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
