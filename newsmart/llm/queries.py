@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from newsmart.llm.embeddings import OP10_SQL, op10_embedding_neardup
 from newsmart.llm.lines import OP6_SQL, op6_line_dedup
+from newsmart.llm.lm import op1_lm_scoring
 from newsmart.llm.minhash import op7_minhash
 from newsmart.llm.mixing import op8_mixing
 from newsmart.llm.packing import op5_packing
@@ -14,6 +15,7 @@ from newsmart.llm.substrings import OP3_SQL, op3_substring_dedup
 from newsmart.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
