@@ -22,10 +22,10 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled rows learned from, at most.
 SAMPLE = 20_000
-EPOCHS = 5
+EPOCHS = 8
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5)
-ALPHA, BETA, L1, L2 = 0.4, 1.0, 4.0, 0.1
+ALPHA, BETA, L1, L2 = 0.8, 1.0, 6.0, 0.1
 #: Salts of words, pairs, pairs with a word between.
 SALTS = (np.uint64(0), np.uint64(0x1B873593), np.uint64(0x52DCE729))
 
