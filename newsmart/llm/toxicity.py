@@ -21,7 +21,7 @@ from newsmart.llm.words import LOWER, MULTIPLIER, PUNCTUATION, Words, mix, slice
 BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled rows learned from, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 EPOCHS = 8
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5)
@@ -77,11 +77,13 @@ def learn(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarra
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [
-        (np.append(np.frombuffer(raw, np.uint32), BUCKETS).astype(np.int64), label)
-        for batch in batches
-        for raw, label in zip(batch.column("data").to_pylist(), batch.column("label").to_pylist(), strict=True)
-    ]
+    rows = []
+    for batch in batches:
+        for raw, label in zip(batch.column("data"), batch.column("label").to_pylist(), strict=True):
+            own = np.empty(len(raw.as_buffer()) // 4 + 1, np.uint32)
+            own[:-1] = np.frombuffer(raw.as_buffer(), np.uint32)
+            own[-1] = BUCKETS
+            rows.append((own, label))
     w = learn(rows)
     some = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(w[some])], ["bucket", "weight"])
