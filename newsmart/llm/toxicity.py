@@ -23,6 +23,8 @@ BUCKETS = 1 << BITS
 #: Labelled rows learned from, at most.
 SAMPLE = 10_000
 EPOCHS = 8
+#: Bytes of text whose features are held at a time, about.
+PIECE = 1 << 20
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5)
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 6.0, 0.1
@@ -49,7 +51,7 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", PIECE):
         bucket, doc = features(words_of(batch.column("text"), between=PUNCTUATION))
         pair = np.unique(doc << BITS | bucket)
         bounds = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1))
@@ -96,7 +98,7 @@ def _score(bucket_ids: np.ndarray, weights: np.ndarray):
     used = table != 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             bucket, doc = features(words_of(batch.column("text"), between=PUNCTUATION))
             hit = used[bucket]
             pair = np.unique(doc[hit] << BITS | bucket[hit])
