@@ -43,7 +43,7 @@ def _literals(values: tuple[str, ...]) -> Column:
 
 
 def selected(articles: DataFrame, pick: Selection, single_day: bool = True) -> DataFrame:
-    """Rows of the selection. Missing or unreadable dates pass; ``single_day`` lets one date mean that day."""
+    """Rows of the selection. Missing or unreadable dates pass, and so do all rows when a bound is unreadable; ``single_day`` lets one date mean that day."""
     out = articles
     if pick.sources:
         out = out.filter(F.col("source").isin(list(pick.sources)))
@@ -52,8 +52,8 @@ def selected(articles: DataFrame, pick: Selection, single_day: bool = True) -> D
     first, sep, last = pick.dates.strip().partition(" to ")
     if sep or (first and single_day):
         at = iso_timestamp(F.col("date"))
-        start = F.to_timestamp(F.lit(first.strip()))
-        end = F.to_timestamp(F.lit((last or first).strip())) + F.expr("interval 1 day")
+        start = F.try_to_timestamp(F.lit(first.strip()))
+        end = F.try_to_timestamp(F.lit((last or first).strip())) + F.expr("interval 1 day")
         out = out.filter(F.coalesce((at >= start) & (at < end), F.lit(True)))
     return out
 

@@ -47,13 +47,13 @@ def dedup_url_quota(
     return ranked.filter(F.col("rank") <= quota)
 
 
-def selection_rank(cache: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Cache rows with ui_selected = rank of the chosen address, 0 for all others."""
+def selection_rank(cache: DataFrame, chosen: DataFrame, query: str) -> DataFrame:
+    """Cache rows; those of ``query`` get ui_selected = rank of the chosen address, else 0. Rows of other
+    queries keep their selection."""
     picks = chosen.select("url", F.col("rank").cast("int").alias("_rank"))
     return (
-        cache.drop("ui_selected")
-        .join(picks, "url", "left")
-        .withColumn("ui_selected", F.coalesce("_rank", F.lit(0)))
+        cache.join(picks, "url", "left")
+        .withColumn("ui_selected", F.when(F.col("query") == query, F.coalesce("_rank", F.lit(0))).otherwise(F.col("ui_selected")))
         .drop("_rank")
     )
 

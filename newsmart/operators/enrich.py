@@ -136,7 +136,12 @@ def _checked(parsed: DataFrame, *keep: str) -> DataFrame:
     """Parsed answers with all records checked; the raw text stays only where it is needed later."""
     records = F.transform("results", lambda r: checked_record(lambda f: r[f]))
     failed = F.when(F.col("answer_error").isNotNull(), F.col("raw_response"))
-    return parsed.select(*keep, "answer_error", failed.alias("failed_response"), records.alias("_records"))
+    return parsed.select(*keep, F.lit(True).alias("_answered"), "answer_error", failed.alias("failed_response"), records.alias("_records"))
+
+
+def _error_or_silence() -> Column:
+    """answer_error after a left join with answers: a request without an answer row got no response."""
+    return F.when(F.col("_answered").isNull(), "no response").otherwise(F.col("answer_error"))
 
 
 RECORD_FIELDS = ["sentiment_score", "summary", "entities_list", "locations_list"]
@@ -147,7 +152,7 @@ def first_pass(batched: DataFrame, answers: DataFrame) -> DataFrame:
     and what to do next (valid / missed / invalid / failed).
 
     Answers are read and checked once per batch; the articles of a batch then pick theirs from its few
-    records, so one join by batch is all that moves data."""
+    records, so one join by batch is all that moves data. A batch without any answer has failed."""
     parsed = _checked(parse_answers(answers), "execution_id", "batch_no")
     mine = F.filter(F.coalesce("_records", F.array()), lambda r: r["article_id"] == F.col("article_id"))
     good = F.filter("_mine", lambda r: F.size(r["problems"]) == 0)
@@ -158,7 +163,8 @@ def first_pass(batched: DataFrame, answers: DataFrame) -> DataFrame:
         .otherwise("valid")
     )
     return (
-        batched.join(parsed, ["execution_id", "batch_no"])
+        batched.join(parsed, ["execution_id", "batch_no"], "left")
+        .withColumn("answer_error", _error_or_silence())
         .withColumn("_mine", mine)
         .withColumn("_best", F.coalesce(F.try_element_at(good, F.lit(-1)), F.try_element_at("_mine", F.lit(-1))))
         .withColumn("state", state)
@@ -180,7 +186,7 @@ def second_pass(retried: DataFrame, answers: DataFrame) -> DataFrame:
     parsed = parse_answers(answers)
     own = F.filter(F.coalesce("results", F.array()), lambda r: r["article_id"] == F.col("article_id"))
     checked = parsed.select(
-        "execution_id", "article_id", "answer_error", "raw_response",
+        "execution_id", "article_id", F.lit(True).alias("_answered"), "answer_error", "raw_response",
         F.get(F.transform(F.slice(own, 1, 1), lambda r: checked_record(lambda f: r[f])), F.lit(0)).alias("_hit"),
     )
     reason = (
@@ -190,7 +196,8 @@ def second_pass(retried: DataFrame, answers: DataFrame) -> DataFrame:
     )
     keep = retried.drop("answer_error", "failed_response", "state", "retry_order", *RECORD_FIELDS)
     return (
-        keep.join(checked, ["execution_id", "article_id"])
+        keep.join(checked, ["execution_id", "article_id"], "left")
+        .withColumn("answer_error", _error_or_silence())
         .withColumn("error_reason", reason)
         .select(
             *keep.columns, "error_reason",

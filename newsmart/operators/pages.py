@@ -25,11 +25,10 @@ def pages_scan(pages: DataFrame) -> DataFrame:
 
 
 def strip_boilerplate(html: Column) -> Column:
-    """Without comments and the fixed boilerplate elements."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in S.BOILERPLATE_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    return out
+    """Without comments and the fixed boilerplate elements, whichever begins first: a comment mark inside a
+    script and a tag inside a comment mean nothing. Names end at a blank, slash or bracket."""
+    tags = "|".join(S.BOILERPLATE_TAGS)
+    return F.regexp_replace(html, rf"(?is)<!--.*?-->|<({tags})(?=[\s/>]).*?</\1\s*>", "")
 
 
 def decode_entities(c: Column) -> Column:
@@ -51,14 +50,14 @@ def decode_entities(c: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Text of the page: tags become blanks, entities are decoded, white space collapses."""
-    text = decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", " "))
+    """Text of the page: tags (a bracket before a letter; "a < b" is text) become blanks, entities are decoded, white space collapses."""
+    text = decode_entities(F.regexp_replace(html, r"(?s)</?[A-Za-z!?][^>]*>", " "))
     return F.trim(F.regexp_replace(text, r"[\s\x{a0}]+", " "))
 
 
 def main_text(html: Column) -> Column:
     """Text of the first <article> element, else NULL."""
-    body = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
+    body = F.regexp_extract(html, r"(?is)<article(?=[\s/>])[^>]*>(.*?)</article\s*>", 1)
     return F.when(body != "", visible_text(body))
 
 

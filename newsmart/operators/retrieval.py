@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException, ParseException
@@ -74,10 +78,11 @@ def evidence_lines(place_text: str = "geodata") -> Column:
 
 
 def evidence_block(hits: DataFrame) -> DataFrame:
-    """One text for a short hit list, newest first; a fixed sentence when nothing was found."""
+    """One text for a short hit list, newest first, undated last; a fixed sentence when nothing was found."""
     rows = hits.select("date", "article_id", "execution_id", evidence_lines().alias("block"))
+    day = lambda row: F.coalesce(row["date"], F.lit(""))
     order = lambda a, b: (
-        F.when(a["date"] > b["date"], -1).when(a["date"] < b["date"], 1)
+        F.when(day(a) > day(b), -1).when(day(a) < day(b), 1)
         .when(a["article_id"] < b["article_id"], -1).when(a["article_id"] > b["article_id"], 1)
         .when(a["execution_id"] < b["execution_id"], -1).otherwise(1)
     )
@@ -191,12 +196,45 @@ def register_views(articles: DataFrame, runs: DataFrame) -> None:
     runs.createOrReplaceTempView("scraper_logs")
 
 
+#: What a SELECT may hold that does more than read views: shell scripts, Java calls, table functions, computed names.
+FORBIDDEN = re.compile(r"ScriptTransform|\b(reflect|try_reflect|java_method)\(|TableValuedFunction|UnresolvedIdentifier", re.I)
+RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
+REFUSED = "Error: No valid SELECT query generated."
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def safe_sql(spark: SparkSession, text: str | None) -> DataFrame:
-    """Runs a SELECT over the registered views. Text that starts otherwise is refused; in Spark a
-    statement starting with SELECT can only read, and several statements in one text do not parse."""
-    if not text or not text.strip().lower().startswith("select"):
-        raise ValueError("Error: No valid SELECT query generated.")
-    return spark.sql(text.strip().rstrip(";"))
+    """Runs a SELECT over the session's temporary views (``register_views``).
+
+    Refused are: text that starts otherwise, and statements whose parsed or analysed plan, subqueries included, holds a
+    script, a call of Java methods, a table function, a computed name or a relation that is not such a view (stored tables,
+    files, names of inner WITH clauses). Mentions of these in text literals are refused too. Several statements do not parse."""
+    query = (text or "").strip().rstrip(";")
+    if not query.lower().startswith("select"):
+        raise ValueError(REFUSED)
+    whole_plans = {"spark.sql.runSQLOnFiles": "false", "spark.sql.debug.maxToStringFields": "1000000"}
+    with _settings(spark, whole_plans):
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).treeString()
+        if FORBIDDEN.search(parsed):
+            raise ValueError(REFUSED)
+        result = spark.sql(query)
+        analysed = result._jdf.queryExecution().analyzed().treeString()
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    names = {name.strip().lower() for name in RELATION.findall(parsed)}
+    if FORBIDDEN.search(analysed) or not names <= views:
+        raise ValueError(REFUSED)
+    return result
 
 
 def sql_result_text(result: DataFrame, most: int = S.SQL_ROWS) -> DataFrame:

@@ -447,15 +447,17 @@ def cache_replace(spark, sf):
 
 
 @query("selection_rank", sql(*NEWS, _CANDIDATES_SQL, body="""
-SELECT c.execution_id, c.url, c.pos, coalesce(s.rank, 0)::INT AS ui_selected FROM candidates c
+SELECT c.execution_id, c.url, c.pos, (CASE WHEN c.pos % 2 = 0 THEN 9 ELSE coalesce(s.rank, 0) END)::INT AS ui_selected FROM candidates c
 LEFT JOIN chosen s ON s.execution_id = c.execution_id AND s.pos = c.pos"""))
 def selection_rank(spark, sf):
-    """Cache keys are address and run here: one address occurs in several runs."""
+    """Cache keys are address and run here: one address occurs in several runs. Rows at even places are of
+    another query, whose selection stays."""
     key = F.concat_ws(" ", "execution_id", "pos")
     cache = article_keys(spark, sf).select(
-        "execution_id", "pos", F.col("url").alias("_address"), key.alias("url"), F.lit(9).alias("ui_selected"))
+        "execution_id", "pos", F.col("url").alias("_address"), key.alias("url"), F.lit(9).alias("ui_selected"),
+        F.when(F.col("pos") % 2 == 0, "other").otherwise("asked").alias("query"))
     picks = chosen(spark, sf).select(key.alias("url"), "rank")
-    return U.selection_rank(cache, picks).select(
+    return U.selection_rank(cache, picks, "asked").select(
         "execution_id", F.col("_address").alias("url"), "pos", "ui_selected")
 
 

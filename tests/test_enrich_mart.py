@@ -197,3 +197,13 @@ def test_payload(spark, text):
     df = spark.createDataFrame(rows, f"execution_id STRING, batch_no LONG, article_id STRING, title STRING, {text} STRING")
     got = E.batch_payload(df).first()
     assert got.payload == "\n----\nARTICLE ID: a\nTITLE: T\nTEXT: " + "x" * 3000 + "\n\n----\nARTICLE ID: b\nTEXT: \n"
+
+
+def test_batches_and_retries_without_an_answer_row_are_dead_letters(spark):
+    good = json.dumps({"results": [record("a")]})
+    first = run_first(spark, [("e", "a", 0), ("e", "b", 0), ("e", "c", 1)], [("e", 0, good, None)])
+    silent = spark.createDataFrame([], "execution_id STRING, article_id STRING, raw_response STRING, call_error STRING")
+    rows = {r.article_id: r for r in E.settle(first, lambda queue: silent).collect()}
+    assert {a: (r.outcome, r.error_reason) for a, r in rows.items()} == {
+        "a": ("valid", None), "b": ("dlq", "no response"), "c": ("dlq", "no response")}
+    assert rows["c"].raw_response == "None" and rows["b"].raw_response == ""

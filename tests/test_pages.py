@@ -109,3 +109,11 @@ def test_region_and_config_files(spark, tmp_path):
     assert [r.key for r in mapped.collect()] == ["mx"]
     runs = spark.createDataFrame([("1", '{"country":"USA"}'), ("2", '{"country":"xx"}'), ("3", None)], "id STRING, filters STRING")
     assert {r.id: r.key for r in regions.resolve_country(runs, config).collect()} == {"1": "usa", "2": "mx", "3": "mx"}
+
+
+def test_tag_names_end_and_the_first_opening_counts(spark):
+    text = lambda html: one(spark, html, lambda c: P.visible_text(P.strip_boilerplate(c)))
+    assert text("<nav-bar>x</nav-bar><p>MAIN BODY</p><nav>menu</nav>") == "x MAIN BODY"
+    assert text("<script>var a='<!--'</script><p>kept</p><!-- gone -->") == "kept"
+    assert text("<!-- <script> --><p>kept</p><script>x</script>") == "kept"
+    assert text("<p>a < b and c > d</p>") == "a < b and c > d"

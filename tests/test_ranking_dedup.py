@@ -56,9 +56,10 @@ def test_gate_is_strict(spark):
 
 
 def test_selection(spark):
-    cache = spark.createDataFrame([("a", 7), ("b", 0), ("c", 3)], "url STRING, ui_selected INT")
+    cache = spark.createDataFrame([("q", "a", 7), ("q", "b", 0), ("q", "c", 3), ("other", "a", 5), (None, "d", 4)], "query STRING, url STRING, ui_selected INT")
     chosen = spark.createDataFrame([("b", 1), ("a", 2)], "url STRING, rank INT")
-    assert {r.url: r.ui_selected for r in U.selection_rank(cache, chosen).collect()} == {"a": 2, "b": 1, "c": 0}
+    assert {(r.query, r.url): r.ui_selected for r in U.selection_rank(cache, chosen, "q").collect()} == {
+        ("q", "a"): 2, ("q", "b"): 1, ("q", "c"): 0, ("other", "a"): 5, (None, "d"): 4}
 
 
 def test_hot_group_is_cut_before_the_shuffle(spark):

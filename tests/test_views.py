@@ -223,3 +223,29 @@ def test_exports(spark, tmp_path):
     assert {(str(r.execution_id), r.article_id) for r in back.collect()} == {("1", "a"), ("2", "b"), ("1", "c")}
     sheet = X.data_sheet(rows.withColumn("Resumen Extraído", F.lit(1)), F.lit("now"))
     assert sheet.columns == ["execution_id", "article_id", "Fecha de Extracción"]
+
+
+def test_guard_refuses_all_but_reads_of_views(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    for bad in (
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM numbers", "SELECT reflect('java.lang.System', 'lineSeparator')",
+        "select id, `java_method`('java.lang.System', 'lineSeparator') from numbers",
+        "select (select try_reflect('java.lang.System', 'lineSeparator')) from numbers",
+        "select " + ", ".join(["1"] * 60) + ", reflect('java.lang.System', 'lineSeparator')",
+        "select * from (with x as (select * from numbers) select * from x)", "select * from range(5)",
+        "select * from identifier('numbers')", "select id from numbers where id in (select id from range(2))",
+    ):
+        assert R.answer_sql(spark, bad).first().line == R.REFUSED, bad
+    for path in ("parquet.`/root/testdata/sf0.001/nation.parquet`", "text.`/etc/hostname`"):
+        line = R.answer_sql(spark, f"select * from numbers, {path}").first().line
+        assert line == R.REFUSED or line.startswith("Database error"), line
+    assert [r.line for r in R.answer_sql(spark, "select max(id) as m from numbers where id < (select max(id) from numbers)").orderBy("line_no").collect()] == ["m", "1"]
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_unreadable_bounds_pass_and_undated_evidence_is_last(spark):
+    news = spark.createDataFrame([("1", "e", None), ("2", "e", "2024-01-01"), ("3", "e", "2024-02-01")], "article_id STRING, execution_id STRING, date STRING")
+    assert A.selected(news, A.Selection(dates="foo to bar")).count() == 3
+    hits = news.selectExpr("*", "'t' AS title", "'s' AS source", "'[]' AS geodata", "'x' AS content_snippet")
+    text = R.evidence_block(hits).first().evidence
+    assert [text.index(f"Article ID: {i}]") for i in "321"] == sorted(text.index(f"Article ID: {i}]") for i in "321")
