@@ -9,11 +9,11 @@ many tasks. A task returns link counts and a spanning forest of its links, not t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart.llm.graphs import components
@@ -38,6 +38,19 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, not once for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def unit_vector(v: Column) -> Column:
+    """v over its length, scaled by its largest component first, so that no square overflows or vanishes."""
+    top = F.aggregate(v, F.lit(0.0), lambda acc, x: F.greatest(acc, F.abs(x)))
+    norm = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x * x))
+    scaled = _once(top, lambda t: F.transform(v, lambda x: x / t))
+    return _once(scaled, lambda s: _once(norm(s), lambda n: F.transform(s, lambda x: x / n + 0.0)))
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), size)
 
@@ -116,11 +129,8 @@ def near_vectors(
     are compared once and count with their number. Ids are unique; rows with a null id link with nothing.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    top = F.aggregate("_v", F.lit(0.0), lambda acc, x: F.greatest(acc, F.abs(x)))
-    sound = F.col("vec_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (top > 0)
-    scaled = given.filter(F.coalesce(sound, F.lit(False))).withColumn("_v", F.transform("_v", lambda x: x / top))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
-    units = scaled.select("vec_id", F.transform("_v", lambda x: x / norm + 0.0).alias("unit"))
+    sound = F.col("vec_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
+    units = given.filter(F.coalesce(sound, F.lit(False))).select("vec_id", unit_vector(F.col("_v")).alias("unit"))
     size = units.groupBy(F.size("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
     alone = given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     alone = alone.withColumn("kept", F.lit(True))
