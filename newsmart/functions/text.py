@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,13 @@ WORD = r"[\p{L}\p{N}_]"
 # White space beyond blank, tab and line ends, as Python's str.split() sees it.
 RARE_BLANKS = r"[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-# Accented letters and their plain forms, position by position.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+# Composed Latin letters and their plain forms, position by position: all that decompose into a letter and marks.
+_PLAIN_OF = {
+    c: d[0]
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+    if len(d := unicodedata.normalize("NFD", c)) > 1 and all("\u0300" <= m <= "\u036f" for m in d[1:])
+}
+ACCENTED, PLAIN = "".join(_PLAIN_OF), "".join(_PLAIN_OF.values())
 
 
 def strip(c: Column) -> Column:

@@ -68,8 +68,8 @@ def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem -> source name and sorted place names per order.
 
-    Both shrink before the shuffle, in plain numbers: the lowest supplier key and one bit per nation (the
-    nation table is fixed at 25 rows, so the bits fit a long). Names are looked up afterwards."""
+    Both shrink before the shuffle, in plain numbers: the lowest supplier key and the set of nation keys.
+    Names are looked up afterwards."""
     nation = table(spark, sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
@@ -77,9 +77,9 @@ def article_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = (
         lines.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy(F.col("l_orderkey").alias("pos"))
-        .agg(F.min("l_suppkey").alias("_low"), F.bit_or(F.expr("shiftleft(1L, s_nationkey)")).alias("_bits"))
+        .agg(F.min("l_suppkey").alias("_low"), F.collect_set("s_nationkey").alias("_keys"))
     )
-    there = F.filter("_names", lambda n: F.call_function("bit_get", F.col("_bits"), n["n_nationkey"]) == 1)
+    there = F.filter("_names", lambda n: F.array_contains("_keys", n["n_nationkey"]))
     return (
         per_order.join(supplier.select(F.col("s_suppkey").alias("_low"), F.col("s_name").alias("source")), "_low")
         .withColumn("_names", names)

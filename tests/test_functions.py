@@ -145,3 +145,8 @@ def test_crypto(spark):
     assert ask(spark, ["plain old row", "AAAA", "not base64!"], lambda c: crypto.decrypt_text(c, key)) == [
         "plain old row", "AAAA", "not base64!"]
     assert ask(spark, hidden[:1], lambda c: crypto.decrypt_text(c, F.lit("another-key-1234"))) == hidden[:1]
+
+
+def test_fold_composed_letters(spark):
+    row = spark.createDataFrame([("Źrebię Śnieg ẵ Š ñandú",)], "t string").select(text.fold(F.col("t")).alias("t")).first()
+    assert row.t == "zrebie snieg a s nandu"
