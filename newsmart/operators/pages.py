@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
 from newsmart.functions.html import lead_image, strip_noise
 
-# Named entities decoded without a Python worker.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
-    "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&iexcl;": "¡", "&iquest;": "¿",
-    "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ",
-    "&Aacute;": "Á", "&Eacute;": "É", "&Iacute;": "Í", "&Oacute;": "Ó", "&Uacute;": "Ú", "&Ntilde;": "Ñ",
-    "&uuml;": "ü", "&Uuml;": "Ü", "&euro;": "€",
-}
+#: HTML5 names of characters as JSON text, from the standard library.
+NAMES = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
 
 
 def pages_scan(pages: DataFrame) -> DataFrame:
@@ -32,21 +28,21 @@ def strip_boilerplate(html: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decimal, hexadecimal and common named entities; the ampersand comes last."""
-    out = c
-
-    def numbers(text: Column, pattern: str, digits: str, code) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        char = lambda e: F.decode(
-            F.unhex(F.lpad(F.hex(code(F.regexp_extract(e, digits, 1))), 8, "0")), "UTF-32"
-        )
-        return F.reduce(found, text, lambda acc, e: F.replace(acc, e, char(e)))
-
-    out = numbers(out, r"&#[0-9]{1,6};", r"([0-9]+)", lambda d: d.cast("int"))
-    out = numbers(out, r"&#[xX][0-9a-fA-F]{1,5};", r"[xX]([0-9a-fA-F]+)", lambda d: F.conv(d, 16, 10).cast("int"))
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Decimal, hexadecimal and named references, each decoded once: what a reference gives is not read again. Unknown
+    names stay; numbers that are no character become U+FFFD."""
+    names = F.from_json(F.lit(NAMES), "map<string,string>")
+
+    def piece(text: Column) -> Column:
+        ref = F.regexp_extract(text, r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = F.regexp_extract(ref, r"^#[xX]0*([0-9a-fA-F]{1,8})$", 1)
+        plain = F.regexp_extract(ref, r"^#0*([0-9]{1,9})$", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        char = F.when(ref.startswith("#"), number).otherwise(F.try_element_at(names, ref))
+        return F.when((ref != "") & char.isNotNull(), F.concat(char, F.substr(text, F.length(ref) + 3))).otherwise(text)
+
+    return F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")
 
 
 def visible_text(html: Column) -> Column:

@@ -117,3 +117,12 @@ def test_tag_names_end_and_the_first_opening_counts(spark):
     assert text("<script>var a='<!--'</script><p>kept</p><!-- gone -->") == "kept"
     assert text("<!-- <script> --><p>kept</p><script>x</script>") == "kept"
     assert text("<p>a < b and c > d</p>") == "a < b and c > d"
+
+
+def test_references_are_decoded_once(spark):
+    cases = {
+        "a &#38;lt; b &amp;amp; &amp;": "a &lt; b &amp; &", "&agrave;&ccedil;&times; &#x10FFFF;&#1114111;": "àç× \U0010ffff\U0010ffff",
+        "&#55296; &unknown; & &; AT&T": "� &unknown; & &; AT&T", "&lt;b&gt; &#00065;": "<b> A", "": "",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "t string, want string").select(P.decode_entities(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows), rows
