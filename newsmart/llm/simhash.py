@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsmart.llm.graphs import components
+from newsmart.llm.lines import RARITY_BITS, _sum_parts, may_match, token_sets
 from newsmart.llm.words import mix, slices, windows, words_of
 from newsmart.sources.versions import durable
 
@@ -28,12 +29,8 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Groups up to this size compare their members directly; larger ones meet through shared neighbours.
 DIRECT = 64
-#: For similar_classes: tables and shingles a key, the ring's segments; how many leaders and neighbours rows of a large
-#: block meet.
-BLOCKS = (10, 3)
-RING = tuple((at, 8) for at in range(0, 64, 8))
-ROUNDS = 2
-NEXT = 8
+#: Bits of a set's parities in similar_classes.
+MAP = 1024
 
 
 def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
@@ -232,120 +229,164 @@ def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[new], np.searchsorted(own[new], np.arange(len(column) + 1))
 
 
-def _sketches(shingle: int):
-    """Rows (node, print, n, keys): fingerprint, number of distinct shingles and block keys of each text."""
+def _slices(batches: Iterator[pa.RecordBatch], shingle: int):
+    """(node, distinct shingles and their bounds) of the texts of a slice, equal nodes once."""
+    for batch in slices(batches, "text"):
+        _, at = np.unique(batch.column("node").to_numpy(), return_index=True)
+        batch = batch.take(pa.array(at))
+        yield batch.column("node"), *_shingles(batch.column("text"), shingle)
 
+
+def _rarities(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, width = BLOCKS
-        factors = mix(np.arange(1, tables * width + 1, dtype=np.uint64)) | np.uint64(1)
-        for batch in slices(batches, "text"):
-            token, bounds = _shingles(batch.column("text"), shingle)
-            keys = np.zeros((batch.num_rows, tables), np.uint64)
-            for i, factor in enumerate(factors):
-                low = np.minimum.reduceat(token * factor, bounds[:-1])
-                keys[:, i // width] = mix(keys[:, i // width] + low + np.uint64(i + 1))
-            prints = fingerprints_of([(x or "").encode().lower() for x in batch.column("text").to_pylist()], shingle)
-            offsets = pa.array(np.arange(0, batch.num_rows * tables + 1, tables, dtype=np.int32))
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for _, token, _ in _slices(batches, shingle):
+            counts += np.bincount(token >> np.uint64(64 - RARITY_BITS), minlength=1 << RARITY_BITS)
+        parts = np.split(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32), 64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "data"])
+
+    return run
+
+
+def _prefixes(shingle: int, rarity, similar: float):
+    """Rows (token, node, n, at): each text's n - ceil(similar * n) + 1 rarest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, token, bounds in _slices(batches, shingle):
+            token, bounds = token_sets(token, np.repeat(np.arange(len(node)), np.diff(bounds)), rarity.value, len(node))
+            n = np.diff(bounds)
+            most = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
+            own = np.repeat(np.arange(len(node)), most)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(most) - most, most)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node"), pa.array(prints.view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))),
-                ],
-                ["node", "print", "n", "keys"],
+                [pa.array(token[bounds[own] + at].view(np.int64)), node.take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(at.astype(np.int32))],
+                ["token", "node", "n", "at"],
             )
 
     return run
 
 
-def _shingle_sets(shingle: int):
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and node: those of tokens with several nodes, each node once, beside the token's first node."""
+
+    def group(table: pa.Table) -> pa.RecordBatch:
+        c = {name: table.column(name).to_numpy() for name in table.schema.names}
+        new = np.ones(len(c["token"]), bool)
+        new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["node"][1:] != c["node"][:-1])
+        c = {name: x[new] for name, x in c.items()}
+        start = np.flatnonzero(np.concatenate([[True], c["token"][1:] != c["token"][:-1]]))
+        size = np.diff(start, append=len(c["token"]))
+        keep, lead = np.repeat(size > 1, size), np.repeat(start, size)
+        out = {name: x[keep] for name, x in c.items()} | {f"lead_{name}": c[name][lead[keep]] for name in ("node", "n", "at")}
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out.values()], list(out))
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        token = table.column("token").to_numpy()
+        cut = int(np.searchsorted(token, token[-1]))
+        if cut:
+            yield group(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None:
+        yield group(held)
+
+
+def parities(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set a row of MAP bits: whether an odd number of its tokens falls on the bit. Two rows differ in at most as many
+    bits as there are tokens in one of the sets only."""
+    out = np.zeros((len(bounds) - 1, MAP // 64), np.uint64)
+    for a in range(0, len(out), 1024):
+        b = min(len(out), a + 1024)
+        own = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        place = own * MAP + (mix(token[bounds[a] : bounds[b]]) % np.uint64(MAP)).astype(np.int64)
+        odd = np.bincount(place, minlength=(b - a) * MAP).reshape(-1, MAP) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def _maps(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            token, bounds = _shingles(batch.column("text"), shingle)
-            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "tokens"])
+        for node, token, bounds in _slices(batches, shingle):
+            odd = parities(token, bounds)
+            offsets = pa.array(np.arange(0, odd.size + 1, odd.shape[1], dtype=np.int32))
+            odd = pa.ListArray.from_arrays(offsets, pa.array(odd.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([node, pa.array(np.diff(bounds).astype(np.int32)), odd], ["node", "n", "odd"])
 
     return run
 
 
-def _ringed(most: int):
-    """Pairs whose fingerprints pass the chain budgets and then the full Hamming check."""
-
+def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.asarray(batch.column(c)).view(np.uint64) for c in ("print", "lead_print"))
-            near = np.flatnonzero(chain_holds(a, b, most, RING))
-            near = near[np.bitwise_count(a[near] ^ b[near]) <= most]
-            yield batch.select(["node", "lead"]).take(pa.array(near))
+        for node, token, bounds in _slices(batches, shingle):
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([node, sets], ["node", "tokens"])
 
     return run
 
 
-def _neighbours(similar: float, most: int):
-    """Near pairs among the rows of a block, which come sorted by it: all of a small block, of others the next ``NEXT`` rows."""
+def _may_be_alike(similar: float):
+    """Pairs whose parity rows do not differ in more bits than their sets may differ in tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            node, block, n, large = (table.column(c).to_numpy() for c in ("node", "block", "n", "large"))
-            x, old = table.column("print").to_numpy().view(np.uint64), 0 if held is None else len(held)
-            for step in range(1, min(DIRECT, len(node))):
-                b = np.arange(max(old, step), len(node))
-                b = b[(block[b] == block[b - step]) & ((step <= NEXT) | ~large[b])]
-                if not len(b):
-                    break
-                a = b - step
-                b = b[np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-9]
-                b = b[chain_holds(x[b - step], x[b], most, RING)]
-                b = b[np.bitwise_count(x[b - step] ^ x[b]) <= most]
-                a = b - step
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["node", "lead"])
-            held = table.slice(max(0, len(node) - DIRECT + 1))
+            a, b = (np.asarray(batch.column(c).flatten()).view(np.uint64).reshape(-1, MAP // 64) for c in ("odd", "_odd"))
+            n = np.asarray(batch.column("n")).astype(np.int64) + np.asarray(batch.column("_n"))
+            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n * (1 - similar) / (1 + similar) + 1e-6
+            yield batch.select(["node", "lead"]).take(pa.array(np.flatnonzero(near)))
 
     return run
 
 
-def similar_classes(texts: DataFrame, similar: float = 0.8, shingle: int = 5, most: int = 18) -> DataFrame:
+def similar_classes(texts: DataFrame, similar: float = 0.8, shingle: int = 5) -> DataFrame:
     """(node, component) of the rows of ``texts`` (node long, text) whose shingle sets are similar (Jaccard) to another's:
     the smallest node reachable. Rows of one node hold one text; null texts are empty, texts without words all equal.
 
-    At a similarity of 0.8 fingerprints differ by about ten of 64 bits, too many for chains of equal bits as join keys. So
-    rows meet in blocks that share the least shingles under three orders (ten tables; a pair at 0.8 shares none with a
-    chance of 0.0008). Blocks of up to 64 rows compare all of them. In larger ones every row meets one leader, and those
-    that this does not link meet another, ``ROUNDS`` times; the rest is parted by a further least shingle and compares
-    neighbours in order of their fingerprints, so no group's pairs are listed. Pigeonring chains over eight segments and
-    then the Hamming distance keep pairs at up to ``most`` bits; these are verified on their whole shingle sets.
+    An exact join, as of lines (see lines.py): similar sets share a token among the first n - ceil(similar * n) + 1 of each,
+    in any fixed order; here by rarity, so that passages of many texts come last. Within a token every text first meets the
+    smallest node. Texts that these links connect need not meet again; all others of a token meet each other, also those
+    that were linked. Pairs must pass the length and positional filters and a bound on the sets' difference by their
+    parities, none of which drops a similar pair; what is left is verified on whole shingle sets.
     """
-    sketch = texts.mapInArrow(_sketches(shingle), "node long, print long, n int, keys array<long>").dropDuplicates(["node"])
-    keys = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.element_at("keys", -1 - i).alias("more")))
-    every = durable(sketch.select("node", "print", "n", F.explode(keys).alias("k")).select("node", "print", "n", "k.*"))
-    sizes = every.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").withColumnRenamed("key", "_key")
-    every = durable(every.join(sizes, F.col("key") == F.col("_key")).drop("_key").withColumn("large", F.col("_c") > DIRECT).drop("_c"))
-    texts = texts.join(every.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = durable(texts.mapInArrow(_shingle_sets(shingle), "node long, tokens array<long>"))
+    spark = texts.sparkSession
+    parts = texts.mapInArrow(_rarities(shingle), "part int, data binary").groupBy("part").applyInArrow(_sum_parts, "part int, data binary").collect()  # 64 rows, 8 MB
+    counts = np.zeros((64, (1 << RARITY_BITS) // 64), np.int64)
+    for row in parts:
+        counts[row["part"]] = np.frombuffer(row["data"], np.int64)
+    rarity = spark.sparkContext.broadcast(np.minimum(counts.reshape(-1), (1 << RARITY_BITS) - 1).astype(np.int32))
+    prefixes = texts.mapInArrow(_prefixes(shingle, rarity, similar), "token long, node long, n int, at int")
+    met = durable(
+        prefixes.repartition("token").sortWithinPartitions("token", "node")
+        .mapInArrow(_met, "token long, node long, n int, at int, lead_node long, lead_n int, lead_at int")
+    )
+
+    def once(rows: DataFrame, among: DataFrame) -> DataFrame:
+        """A row for each node of ``among``."""
+        return durable(rows.join(among.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    maps = once(texts.mapInArrow(_maps(shingle), "node long, n int, odd array<long>"), met.select("node"))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets, "node").join(sets.select(F.col("node").alias("lead"), F.col("tokens").alias("_t")), "lead")
+        other = maps.select(F.col("node").alias("lead"), F.col("n").alias("_n"), F.col("odd").alias("_odd"))
+        both = pairs.distinct().join(maps, "node").join(other, "lead")
+        near = durable(both.mapInArrow(_may_be_alike(similar), "node long, lead long"))
+        sets = once(texts.mapInArrow(_shingle_sets(shingle), "node long, tokens array<long>"), near.select("node").unionByName(near.select(F.col("lead").alias("node"))))
+        both = near.join(sets, "node").join(sets.select(F.col("node").alias("lead"), F.col("tokens").alias("_t")), "lead")
         common = F.size(F.array_intersect("tokens", "_t"))
         return durable(both.filter(common >= F.lit(similar) * (F.size("tokens") + F.size("_t") - common) - 1e-9).select("node", "lead"))
 
-    found, large = [], every.filter("large")
-    for step in range(ROUNDS):
-        order = F.xxhash64("node", "key", F.lit(step))
-        leads = large.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "print", "n")).alias("l"))
-        leads = leads.select(F.col("key").alias("_key"), F.col("l.node").alias("lead"), F.col("l.print").alias("lead_print"), F.col("l.n").alias("lead_n"))
-        met = durable(large.join(leads, F.col("key") == F.col("_key")).filter("node <> lead").drop("_key"))
-        near = met.filter((F.col("n") >= F.lit(similar) * F.col("lead_n") - 1e-9) & (F.col("lead_n") >= F.lit(similar) * F.col("n") - 1e-9))
-        found.append(alike(near.select("node", "lead", "print", "lead_print").mapInArrow(_ringed(most), "node long, lead long")))
-        large = durable(met.join(found[-1], ["node", "lead"], "left_anti").select(*every.columns))
-    rest = every.filter("not large").unionByName(large)
-    block = F.when(F.col("large"), F.xxhash64("key", "more")).otherwise(F.col("key"))
-    rest = rest.select("node", "print", "n", "large", block.alias("block")).repartition("block").sortWithinPartitions("block", "print", "node")
-    edges = alike(rest.mapInArrow(_neighbours(similar, most), "node long, lead long"))
-    for more in found:
-        edges = edges.unionByName(more)
-    return components(edges, "node", "lead")
+    lead = met.filter("node <> lead_node").filter(may_match(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"), similar))
+    found = alike(lead.select("node", F.col("lead_node").alias("lead")))
+    tied = durable(components(found, "node", "lead"))
+    rows = met.filter("node <> lead_node").join(tied, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+    several = rows.groupBy("token").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b")
+    rows = durable(rows.join(several, "token", "left_semi"))
+    others = rows.select("token", F.col("node").alias("lead"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_part"))
+    pairs = rows.join(others, "token").filter(F.col("_part") < F.col("part")).filter(may_match(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), similar))
+    return components(found.unionByName(alike(pairs.select("node", "lead"))), "node", "lead")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

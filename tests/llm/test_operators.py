@@ -126,6 +126,32 @@ def test_similar_classes(spark, edge_rows, no_docs):
     assert simhash.similar_classes(no_docs.selectExpr("doc_id AS node", "text")).count() == 0
 
 
+def similar_groups(spark, texts):
+    """(group of each text by comparing all with all, the same by similar_classes)."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    part = plain_components(range(len(texts)), linked)
+    got = dict(simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(7)).collect())
+    return [part[i] for i in range(len(texts))], [got.get(i, i) for i in range(len(texts))]
+
+
+def test_similar_classes_of_texts_that_share_a_passage(spark):
+    """Near pairs among several hundred texts made of one passage (three quarters or more) and few words of their own."""
+    shared = " ".join(f"s{i}" for i in range(180))
+    texts = []
+    for i in range(150):
+        both = " ".join(f"b{i}.{j}" for j in range(16))
+        texts += [f"{shared} {both} " + " ".join(f"{side}{i}.{j}" for j in range(8)) for side in "xy"]
+    for i in range(60):
+        own = [f"o{i}.{j}" for j in range(60)]
+        texts += [" ".join([shared, *own]), " ".join([shared, *own[:30], "z", *own[31:]])]
+    want, got = similar_groups(spark, texts)
+    assert got == want and len(set(want)) == 210
+
+
 def test_simhash(spark, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
