@@ -152,6 +152,27 @@ def test_similar_classes_of_texts_that_share_a_passage(spark):
     assert got == want and len(set(want)) == 210
 
 
+def test_similar_classes_of_repeated_passages(spark):
+    """How often a text repeats a shingle does not count: copies of other frequency are found, so are pairs at just 0.8."""
+    long, short = (" ".join(f"{c}{j}" for j in range(60)) for c in "pq")
+    texts = [" ".join([long] * 10 + [short]), " ".join([long] + [short] * 10), long, short]
+    for i in range(40):
+        words = [f"k{i}.{j}" for j in range(19 + i % 3)]
+        texts += [" ".join(words), " ".join([*words[:-2], "x", "y"]), " ".join(words[:-3])]
+    want, got = similar_groups(spark, texts)
+    assert got == want and want[1] == 0
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 20, n, dtype=np.uint64)) for n in (1, 5, 300, 3000)]
+    sets += [s[rng.random(len(s)) < 0.9] if len(s) > 5 else s for s in sets]
+    odd = simhash.parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(odd[i] ^ odd[j]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_simhash(spark, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
