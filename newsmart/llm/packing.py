@@ -1,9 +1,10 @@
 """Best-fit packing into bins of several permitted lengths.
 
 Texts are cut into pieces of at most the longest length and packed longest first: a piece goes to the open bin that it
-leaves fullest, else it opens a bin of the length with the least cost for each word held, among those that it fits. In the
-end every bin is downsized to the shortest permitted length that holds its contents. Each task packs its own rows, about
-20,000 pieces at a time; nothing is shuffled and no group can grow.
+leaves fullest, else it opens a bin of the length with the least cost (padding and overhead) for each word that it would
+hold if filled from the pieces that are left. In the end every bin is downsized to the shortest permitted length that holds
+its contents. Each task packs its own rows, 20,000 pieces at a time whatever the batches they come in; nothing is shuffled
+and no group can grow.
 """
 
 from __future__ import annotations
@@ -26,16 +27,34 @@ PIECES = 20_000
 
 def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of each piece, and the length of each bin. Sizes are 1 to the longest length; ties in the given order,
-    and of equally full bins the one opened last."""
-    opened = [min((c for c in lengths if c >= n), key=lambda c: ((c + overhead) / c, c)) for n in range(max(lengths) + 1)]
+    and of equally full bins the one opened last. The cheaper of two packings: bins opened at the length that suits the
+    pieces left, or all at the longest."""
+    both = (_best_fit(sizes, some, lengths, overhead) for some in (lengths, (max(lengths),)))
+    return min(both, key=lambda packed: int((packed[2] + overhead).sum()))
+
+
+def _best_fit(sizes: np.ndarray, opened: tuple[int, ...], lengths: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fits = sorted(lengths)
+    left = np.bincount(sizes, minlength=max(lengths) + 1).tolist()
+    some = sum(1 << n for n, count in enumerate(left) if count)  # bit n: a piece of size n is left
+
+    def cost(n: int, c: int) -> float:
+        """Of each word in a bin of length c that a piece of size n opens, the largest fitting pieces following."""
+        room = top = c - n
+        while room and (fit := (some & ((2 << min(room, top)) - 1)).bit_length() - 1) > 0:
+            room -= fit * min(left[fit], room // fit)
+            top = fit - 1
+        return (next(d for d in fits if d >= c - room) + overhead) / (c - room)
+
     by_room: list[list[int]] = [[] for _ in range(max(lengths) + 1)]
     rooms = 0  # bit r: some bin has room r
     filled: list[int] = []
-    capacity: list[int] = []
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     for i in np.argsort(-sizes, kind="stable"):
         n = int(sizes[i])
+        left[n] -= 1
+        if not left[n]:
+            some ^= 1 << n
         wide = rooms >> n
         if wide:
             room = n + (wide & -wide).bit_length() - 1
@@ -44,9 +63,8 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: in
                 rooms ^= 1 << room
         else:
             b = len(filled)
-            room = opened[n]
+            room = min((c for c in sorted(opened) if c >= n), key=lambda c: cost(n, c))
             filled.append(0)
-            capacity.append(room)
         bins[i], offsets[i] = b, filled[b]
         filled[b] += n
         room -= n
@@ -62,25 +80,32 @@ def _pack(lengths: tuple[int, ...], overhead: int, pieces: int):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        longest, seq = max(lengths), 0
+        longest, seq, held = max(lengths), 0, None
+
+        def packed(table: pa.Table) -> pa.RecordBatch:
+            nonlocal seq
+            bins, offset, length = best_fit(table.column("n_words").to_numpy(), lengths, overhead)
+            first, seq = (task << 32) + seq, seq + len(length)
+            table = table.append_column("bin", pa.array(first + bins)).append_column("bin_length", pa.array(length[bins]))
+            return table.append_column("bin_offset", pa.array(offset)).combine_chunks().to_batches()[0]
+
         for whole in batches:
             n_words = np.asarray(whole.column("n_words"))
             parts = -(-n_words // longest)
             row = np.repeat(np.arange(len(parts)), parts)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
             size = np.minimum(longest, n_words[row] - piece * longest)
-            for at in range(0, len(row), pieces):
-                own = slice(at, at + pieces)
-                bins, offset, length = best_fit(size[own], lengths, overhead)
-                keep = [c for c in whole.schema.names if c != "n_words"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(whole.column(c).take(pa.array(row[own])) for c in keep), pa.array(piece[own]), pa.array(piece[own] * longest), pa.array(size[own]),
-                        pa.array((task << 32) + seq + bins), pa.array(length[bins]), pa.array(offset),
-                    ],
-                    [*keep, "piece", "begin", "n_words", "bin", "bin_length", "bin_offset"],
-                )
-                seq += len(length)
+            keep = [c for c in whole.schema.names if c != "n_words"]
+            table = pa.Table.from_arrays(
+                [*(whole.column(c).take(pa.array(row)) for c in keep), pa.array(piece), pa.array(piece * longest), pa.array(size)],
+                [*keep, "piece", "begin", "n_words"],
+            )
+            held = table if held is None else pa.concat_tables([held, table])
+            while len(held) >= pieces:
+                yield packed(held.slice(0, pieces))
+                held = held.slice(pieces)
+        if held is not None and len(held):
+            yield packed(held)
 
     return run
 
