@@ -3,7 +3,8 @@
 Each source's documents are dealt to shards by a hash of their id, so a source that holds a third of all words is many
 shards. Every shard receives an integer number of blocks, handed out one by one to the shard with the highest quotient
 (its share of the source's target over 1, 3, 5, ...). A shard's documents are then strung together in a seeded order and
-its blocks taken from the front, around again where a source is taken more than once.
+its blocks taken from the front, around again where a source is taken more than once. Shards whose share is below FINE
+blocks are apportioned among each other by single words, so small sources get their share, too.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from newsmart.sources.versions import durable
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 512
+FINE = 64
 SHARD = 65_536
 SEED = 20
 
@@ -89,9 +91,14 @@ def mix(
     sized = joined.filter("n_words > 0")
     cells = sized.groupBy("source", "shard").agg(F.sum("n_words").alias("shard_size"), (F.first("target") / F.first("source_size") * F.sum("n_words")).alias("votes"))
     cells = durable(cells)
-    total = cells.agg(F.sum("shard_size")).first()[0] or 0
-    quotas = sainte_lague(cells, round(total / block)).select(
-        F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", F.least(F.col("seats") * block, F.col("shard_size") * most).alias("quota")
+
+    def words(some: DataFrame, unit: int) -> DataFrame:
+        total = some.agg(F.sum("votes")).first()[0] or 0
+        return sainte_lague(some, round(total / unit)).withColumn("words", F.col("seats") * unit)
+
+    wide = F.col("votes") >= FINE * block
+    quotas = words(cells.filter(wide), block).unionByName(words(cells.filter(~wide), 1)).select(
+        F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", F.least(F.col("words"), F.col("shard_size") * most).alias("quota")
     )
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "n_words").rowsBetween(Window.unboundedPreceding, 0)
     strung = sized.withColumn("begin", F.sum("n_words").over(order) - F.col("n_words"))

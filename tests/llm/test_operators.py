@@ -263,6 +263,30 @@ def test_best_fit():
     assert sorted(b[1] for b in open_bins) == sorted(sum(n for _, n in p) for p in held.values())
 
 
+def test_bins_open_at_the_length_that_fits_the_pieces_left():
+    def cost(sizes):
+        bins, _, length = packing.best_fit(np.array(sizes))
+        assert np.bincount(bins, sizes).max() <= max(packing.LENGTHS)
+        return sorted(length.tolist())
+
+    assert cost([500] * 3) == [512, 1024]  # not one of 2048
+    assert cost([500] * 11) == [512, 1024, 4096]
+    assert cost([1000] * 5 + [500]) == [512, 1024, 4096]
+    assert cost([100] * 40) == [4096]
+
+
+def test_packing_goes_on_over_batches(spark):
+    docs = spark.createDataFrame([(i, "a " * 100) for i in range(200)], "doc_id long, text string").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = packing.pack(docs, "doc_id").collect()
+        assert len({r.bin for r in got}) == 5 and len({(r.bin, r.bin_offset) for r in got}) == 200  # 40 texts a bin of 4096
+        assert len({r.bin for r in packing.pack(docs, "doc_id", pieces=50).collect()}) == 8
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_packing_keeps_every_word(edge_docs, edge_rows, no_docs):
     got = packing.pack(edge_docs, "doc_id", "key").collect()
     count = Counter()
@@ -341,6 +365,19 @@ def test_mixing(spark, edge_docs, no_docs, edges):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_of_many_small_sources(spark):
+    """Sources of a few words keep their share, each to a word or a hundredth."""
+    rows = [(i, f"s{i % 300:03}", "w " * (3 + i % 7)) for i in range(900)] + [(i, "big", "w " * 400) for i in range(900, 1400)]
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(words(t))
+    taken = Counter()
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect():
+        taken[r.source] += r.taken
+    for s, t in plain_targets(sizes).items():
+        assert abs(taken[s] - t) <= 1 + 0.01 * t
+
+
 def test_sainte_lague(spark):
     votes = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.4), ("e", None), ("f", 23.0)]
     for seats in (0, 1, 7, 8, 50):
@@ -377,6 +414,13 @@ def test_pii(spark):
     assert [s.score for s in got[1_000_009]] == [1.0]
 
 
+def test_pii_kinds_with_one_start(spark):
+    texts = ["1.2.3.4@host.org", "+14155550123@sms.org"]
+    got = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in got.select("doc_id", pii.span_text(F.col("spans")).alias("text")).collect()}
+    assert got == {0: "email:0:16,ip:0:7", 1: "email:0:20,phone:0:12"}
+
+
 def test_pii_edges(edge_docs, edge_rows, no_docs):
     got = pii.find_spans(edge_docs)
     assert got.count() == len(edge_rows) and pii.find_spans(no_docs).count() == 0
