@@ -94,8 +94,8 @@ BASE = ("email", "ip", "card", "phone")
 
 
 def kind_spans(text: Column, kind: Kind, at: int) -> Column:
-    """Array of (start, end, kind number, kind, score) of the valid spans of one kind, in code points."""
-    nothing = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,score:double>>")
+    """Array of (start, kind number, end, kind, score) of the valid spans of one kind, in code points."""
+    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
 
     def spans(found: Column) -> Column:
         pieces, matches = found["pieces"], found["matches"]
@@ -110,7 +110,7 @@ def kind_spans(text: Column, kind: Kind, at: int) -> Column:
             lead = F.lower(F.substring(F.get(pieces, i), -CONTEXT, CONTEXT))  # what stands before, up to the kind's last match
             score = F.when(lead.rlike(rf"\b(?:{kind.context})"), kind.scores[1]).otherwise(kind.scores[0])
             end = F.get(ends, i)
-            return F.when(kind.valid(m), F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), F.lit(at).alias("rank"), F.lit(kind.name).alias("kind"), score.alias("score")))
+            return F.when(kind.valid(m), F.struct((end - F.char_length(m)).alias("start"), F.lit(at).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score")))
 
         return F.array_compact(F.transform(matches, span))
 
@@ -121,7 +121,7 @@ def kind_spans(text: Column, kind: Kind, at: int) -> Column:
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(doc_id, spans) for every row: array of (start, end, rank, kind, score), by start and then kind. Null texts count as
+    """(doc_id, spans) for every row: array of (start, rank, end, kind, score), by start and then kind. Null texts count as
     empty; a text without personal data has an empty array."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     rows = rows.select("doc_id", *(kind_spans(F.col("_t"), kind, i).alias(f"_{i}") for i, kind in enumerate(kinds)))
