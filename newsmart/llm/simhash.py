@@ -231,7 +231,7 @@ def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slices(batches: Iterator[pa.RecordBatch], shingle: int):
     """(node, distinct shingles and their bounds) of the texts of a slice, equal nodes once."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1 << 20):  # small: stages before leave an executor little memory
         _, at = np.unique(batch.column("node").to_numpy(), return_index=True)
         batch = batch.take(pa.array(at))
         yield batch.column("node"), *_shingles(batch.column("text"), shingle)
