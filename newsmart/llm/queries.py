@@ -9,6 +9,7 @@ from newsmart.llm.lm import op1_lm_scoring
 from newsmart.llm.minhash import op7_minhash
 from newsmart.llm.mixing import op8_mixing
 from newsmart.llm.packing import op5_packing
+from newsmart.llm.periods import OP11_SQL, op11_periodic_runs
 from newsmart.llm.pii import op9_pii
 from newsmart.llm.simhash import op2_simhash
 from newsmart.llm.substrings import OP3_SQL, op3_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_embedding_neardup": op10_embedding_neardup,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_embedding_neardup": OP10_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_embedding_neardup": OP10_SQL, "op11_periodic_runs": OP11_SQL}
