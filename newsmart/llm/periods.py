@@ -219,12 +219,13 @@ def _smallest(text, start, length, period):
     return text[order], start[order], length[order], period[order]
 
 
-def numbered_words(w) -> np.ndarray:
-    """Equal numbers for equal words, compared byte by byte."""
+def numbered_words(w) -> tuple[np.ndarray, pa.Array]:
+    """Number of each word, equal for equal words (compared byte by byte), and the distinct words by their numbers."""
     cuts = np.empty(2 * len(w.start) + 1, np.int64)
     cuts[0:-1:2], cuts[1::2], cuts[-1] = w.start, w.end, len(w.data)
     spans = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(w.data)])
-    return spans.dictionary_encode().indices.to_numpy()[::2].astype(np.int64)
+    found = spans.take(pa.array(np.arange(0, len(spans), 2))).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
 def joined_words(w, kept: np.ndarray) -> pa.Array:
@@ -249,7 +250,7 @@ def _periodic(shortest: int, schema: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", SLICE):
             w = words_of(batch.column("_text"), lower=False)
-            text, start, length, period = find_runs(numbered_words(w), w.first, shortest)
+            text, start, length, period = find_runs(numbered_words(w)[0], w.first, shortest)
             change = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(change, w.first[text] + start + period, 1)
             np.add.at(change, w.first[text] + start + length, -1)

@@ -13,7 +13,9 @@ from newsmart.llm.periods import OP11_SQL, op11_periodic_runs
 from newsmart.llm.pii import op9_pii
 from newsmart.llm.simhash import op2_simhash
 from newsmart.llm.substrings import OP3_SQL, op3_substring_dedup
+from newsmart.llm.tokens import op12_token_store
 from newsmart.llm.toxicity import op4_toxicity
+from newsmart.llm.turns import OP13_SQL, op13_conversation_repair
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -27,6 +29,14 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_embedding_neardup": op10_embedding_neardup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_store": op12_token_store,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op10_embedding_neardup": OP10_SQL, "op11_periodic_runs": OP11_SQL}
+ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op10_embedding_neardup": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op13_conversation_repair": OP13_SQL,
+}
