@@ -6,19 +6,19 @@ try left, so every row counts once.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsmart.operators import enrich as E
 from newsmart.operators.analytics import value_counts
-from newsmart.sources.versions import work_dir
+from newsmart.operators.ranking import group_position
+from newsmart.sources.versions import new_folder, written_once
+from newsmart.streaming.state import BUCKETS, StateTable
 
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}/{uuid.uuid4().hex}"
+__all__ = ["new_folder"]
 
 
 def file_stream(
@@ -33,30 +33,32 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Handles all data that is there now, batch by batch, and stops."""
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Handles all data that is there now, batch by batch, and stops. Returns the number of rows that came too late for
+    their group's watermark and were left out."""
     query = (
         stream.writeStream.foreachBatch(each).outputMode(mode)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def batch_folder(base: str, number: int) -> str:
     return f"{base}/batch={number:012d}"
 
 
-def keep_changes(stream: DataFrame, base: str) -> None:
-    """Writes the changed groups of every micro-batch of an aggregation."""
-    drain(stream, lambda df, n: df.write.mode("overwrite").parquet(batch_folder(f"{base}/rows", n)),
-          f"{base}/checkpoint", "update")
+def keep_state(stream: DataFrame, base: str, keys: list[str], buckets: int = BUCKETS) -> int:
+    """Merges the changed groups of every micro-batch of an aggregation into a table of one row a group. Returns the number
+    of late rows, as ``drain`` does."""
+    spark, schema = stream.sparkSession, stream.schema
+    state = StateTable(spark, f"{base}/state", keys, schema, buckets)
+    return drain(stream, lambda df, n: state.merge(df, n), f"{base}/checkpoint", "update")
 
 
-def final_state(spark: SparkSession, base: str, keys: list[str], values: list[str]) -> DataFrame:
-    """Last written value of every group."""
-    rows = spark.read.parquet(f"{base}/rows")
-    last = F.max_by(F.struct(*values), F.col("batch"))
-    return rows.groupBy(*keys).agg(last.alias("_l")).select(*keys, "_l.*")
+def kept_state(spark: SparkSession, base: str, keys: list[str], schema) -> DataFrame:
+    """The table as the last whole micro-batch left it."""
+    return StateTable(spark, f"{base}/state", keys, schema).read()
 
 
 def running_counts(articles: DataFrame) -> DataFrame:
@@ -98,17 +100,43 @@ def enrich_stream(
     retry_answers: Callable[[DataFrame], DataFrame],
     base: str,
     columns: list[str | Column],
+    targets: DataFrame | None = None,
 ) -> None:
-    """Enriches arriving batches: results go to ``metrics``, failures to ``dlq``. Rows of one model batch
-    must arrive in one file. The stream's checkpoint takes the place of looking for unfinished articles."""
+    """Enriches arriving batches: results go to ``metrics``, failures to ``dlq``, and one progress row an article to
+    ``events``. Rows of one model batch must arrive in one file. The stream's checkpoint takes the place of looking for
+    unfinished articles.
+
+    The model is asked once: its answers are written under the micro-batch's number before anything reads them, and so are
+    the retries'. A micro-batch that is repeated after a failure goes on from the answers that are there.
+
+    ``events`` counts the articles of a run in the order of their batches: current (over all micro-batches so far) of target,
+    the articles that ``targets`` (execution_id, target) expects for the run. How many were done before is kept in a state
+    table of one row a run."""
+    spark = batched.sparkSession
+    done = StateTable(spark, f"{base}/done", ["execution_id"], T.StructType().add("execution_id", batched.schema["execution_id"].dataType).add("current", T.LongType()))
 
     def each(rows: DataFrame, number: int) -> None:
-        first = E.first_pass(rows, answers(rows))
-        path = batch_folder(f"{base}/settled", number)
-        E.settle(first, retry_answers).write.mode("overwrite").parquet(path)
-        settled = rows.sparkSession.read.parquet(path)
-        settled.filter(F.col("outcome") != "dlq").select(*columns).write.mode("overwrite").parquet(
-            batch_folder(f"{base}/metrics", number))
-        E.dead_letters(settled).write.mode("overwrite").parquet(batch_folder(f"{base}/dlq", number))
+        at = lambda kind: batch_folder(f"{base}/{kind}", number)
+        asked = written_once(spark, at("answers"), lambda: answers(rows))
+        first = written_once(spark, at("first"), lambda: E.first_pass(rows, asked))
+        again = written_once(spark, at("retries"), lambda: retry_answers(E.retry_queue(first)))
+        settled = written_once(spark, at("settled"), lambda: E.settle(first, lambda _: again))
+        settled.filter(F.col("outcome") != "dlq").select(*columns).write.mode("overwrite").parquet(at("metrics"))
+        E.dead_letters(settled).write.mode("overwrite").parquet(at("dlq"))
+        events = written_once(spark, at("events"), lambda: article_events(settled, done.read(), targets))
+        done.merge(events.groupBy("execution_id").agg(F.max("current").alias("current")), number)
 
     drain(batched, each, f"{base}/checkpoint")
+
+
+def article_events(settled: DataFrame, done: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(execution_id, article_id, outcome, current, target) of settled articles, counted on from what is done."""
+    order = [F.col("batch_no"), F.col("article_id")]
+    rows = settled.select("execution_id", "article_id", "batch_no", "outcome")
+    numbered = group_position(rows, ["execution_id"], order, F.lpad(F.expr("batch_no div 100000").cast("string"), 12, "0"), "_n")
+    counted = numbered.join(done.withColumnRenamed("current", "_done"), "execution_id", "left")
+    counted = counted.withColumn("current", (F.col("_n") + F.coalesce("_done", F.lit(0))).cast("long"))
+    if targets is None:
+        return counted.select("execution_id", "article_id", "outcome", "current", F.lit(None).cast("long").alias("target"))
+    expected = targets.select("execution_id", F.col("target").cast("long").alias("target"))
+    return counted.join(expected, "execution_id", "left").select("execution_id", "article_id", "outcome", "current", "target")

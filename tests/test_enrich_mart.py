@@ -187,8 +187,73 @@ def test_versions(spark, tmp_path):
     assert V.replace_table(spark, base, lambda old: M.merge_dim_source(old, load("a", "b")), S.DIM_SOURCE) == 1
     assert V.replace_table(spark, base, lambda old: M.merge_dim_source(old, load("b", "c")), S.DIM_SOURCE) == 2
     assert {r.source_name for r in V.read_latest(spark, base).collect()} == {"a", "b", "c"}
-    load("z").write.mode("overwrite").parquet(f"{base}/data/v=00000003")  # written, never noted as complete
+    load("z").write.parquet(f"{base}/{V.new_data(base)}")  # written, never noted
     assert V.read_latest(spark, base).count() == 3
+    assert V.sweep(spark, base) == 0 and V.sweep(spark, base, hours=-1) == 1
+    assert V.read_latest(spark, base).count() == 3
+
+
+def test_two_writers_lose_no_row(spark, tmp_path):
+    base = str(tmp_path / "t")
+    rows = lambda *n: spark.createDataFrame([(x,) for x in n], "n LONG")
+    add = lambda *n: lambda old: old.unionByName(rows(*n))
+    V.replace_table(spark, base, add(0), "n LONG")
+    tries = []
+
+    def slow(old):
+        tries.append(sorted(r.n for r in old.collect()))
+        if len(tries) == 1:  # a rival commits while this writer is at work
+            V.replace_table(spark, base, add(1, 2), "n LONG")
+        return old.unionByName(rows(3))
+
+    assert V.replace_table(spark, base, slow, "n LONG") == 3
+    assert tries == [[0], [0, 1, 2]]
+    assert sorted(r.n for r in V.read_latest(spark, base).collect()) == [0, 1, 2, 3]
+    assert len(V.names(spark, f"{base}/data")) == 3  # what the slow writer wrote in vain is gone
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = str(tmp_path / "t")
+
+    def write(k):
+        rows = spark.createDataFrame([(k,)], "n LONG")
+        if k % 2:
+            return V.append_table(spark, base, rows, kept=50)
+        return V.replace_table(spark, base, lambda old: old.unionByName(rows), "n LONG", kept=50)
+
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(write, range(12)))
+    assert sorted(versions) == list(range(1, 13))
+    assert sorted(r.n for r in V.read_latest(spark, base).collect()) == list(range(12))
+
+
+def test_old_versions_go(spark, tmp_path):
+    base = str(tmp_path / "t")
+    for k in range(8):
+        V.append_table(spark, base, spark.createDataFrame([(k,)], "n LONG"), kept=2)
+    assert V._versions(spark, base) == [6, 7, 8]
+    assert [V.read_version(spark, base, v).count() for v in (6, 7, 8)] == [6, 7, 8]
+    V.replace_table(spark, base, lambda old: old.filter("n > 5"), "n LONG", kept=0)
+    assert V._versions(spark, base) == [9] and len(V.names(spark, f"{base}/data")) == 1
+    assert not V.put_if_absent(spark, V._entry_path(base, 9), "{}")
+
+
+def test_work_folders_are_released(spark):
+    from newsmart.sources.versions import durable, few_rows, new_folder, release
+
+    df = durable(spark.range(5))
+    path = df.inputFiles()[0]
+    assert V.exists(spark, path) and few_rows(df, 5).num_rows == 5
+    with pytest.raises(ValueError, match="over 4 rows"):
+        few_rows(df, 4)
+    kept = new_folder(spark, "t")
+    spark.range(1).write.parquet(kept)
+    others = V._made.pop(spark.conf.get("spark.app.id"))
+    V._made[spark.conf.get("spark.app.id")] = [kept, path.rsplit("/", 1)[0]]
+    assert release(spark) == 2 and not V.exists(spark, path) and not V.exists(spark, kept)
+    V._made[spark.conf.get("spark.app.id")] = others
 
 
 @pytest.mark.parametrize("text", ["content_snippet"])

@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmart.operators import analytics as A
+from newsmart.operators import enrich as E
+from newsmart.sources import versions as V
 from newsmart.streaming import limits as L
 from newsmart.streaming import runs as R
+from newsmart.streaming.state import StateTable
 
 
 def plain_admission(requests, limit, window):
@@ -100,14 +103,47 @@ def test_running_counts(spark, tmp_path):
     rows = [(i, f"S{i % 3}", [f"P{j}" for j in range(i % 4)]) for i in range(60)]
     df = spark.createDataFrame(rows, "pos LONG, source STRING, places ARRAY<STRING>")
     folder = land(spark, tmp_path, df, "pos", 4)
-    base = R.new_folder(spark, "t")
-    R.keep_changes(R.running_counts(R.file_stream(spark, folder, df.schema, files_per_batch=1)), base)
-    state = R.final_state(spark, base, ["kind", "value"], ["n"])
-    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, A.value_counts(df).collect()))
-    assert spark.read.parquet(f"{base}/rows").select("batch").distinct().count() == 4
+    base, keys = R.new_folder(spark, "t"), ["kind", "value"]
+    counts = R.running_counts(R.file_stream(spark, folder, df.schema, files_per_batch=1))
+    assert R.keep_state(counts, base, keys) == 0
+    state = R.kept_state(spark, base, keys, counts.schema)
+    want = sorted(map(tuple, A.value_counts(df).collect()))
+    assert sorted(map(tuple, state.collect())) == want
+    assert V.entry(spark, f"{base}/state", V.latest_version(spark, f"{base}/state"))["batch"] == 3
     # nothing new: nothing changes
-    R.keep_changes(R.running_counts(R.file_stream(spark, folder, df.schema, files_per_batch=1)), base)
-    assert sorted(map(tuple, R.final_state(spark, base, ["kind", "value"], ["n"]).collect())) == sorted(map(tuple, state.collect()))
+    R.keep_state(counts, base, keys)
+    assert sorted(map(tuple, R.kept_state(spark, base, keys, counts.schema).collect())) == want
+
+
+def test_state_holds_each_group_once(spark):
+    """Batches touch some buckets only, a repeated batch changes nothing, old versions go."""
+    base = R.new_folder(spark, "t")
+    make = lambda rows: spark.createDataFrame(rows, "k STRING, n LONG, note STRING")
+    table = StateTable(spark, base, ["k"], make([]).schema, buckets=4)
+    assert table.read().count() == 0 and table.batch() is None
+    want, places = {}, {}
+    for number in range(9):
+        rows = [(f"k{i}", number, None if i % 2 else "x") for i in range(number % 3, 40, 3 + number)] if number != 5 else []
+        assert table.merge(make(rows), number)
+        assert not table.merge(make([("k0", -1, "again")]), number)
+        want |= {k: (n, note) for k, n, note in rows}
+        assert {r.k: (r.n, r.note) for r in table.read().collect()} == want and table.read().count() == len(want)
+        now = {d.rsplit("/", 1)[1]: d for d in V.entry(spark, base, V.latest_version(spark, base))["data"]}
+        assert number != 5 or now == places
+        places = now
+    assert len(V.names(spark, f"{base}/log")) == V.KEPT + 1
+    assert V.sweep(spark, base, hours=0) >= 0 and {r.k: (r.n, r.note) for r in table.read().collect()} == want
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [(0, "2024-06-01 00:00:00"), (1, "2024-01-01 00:00:00"), (2, "2024-06-02 00:00:00"), (3, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "pos LONG, ts STRING").withColumn("ts", F.to_timestamp("ts"))
+    folder = land(spark, tmp_path, df, "pos", 4)
+    days = R.daily_counts(R.file_stream(spark, folder, df.schema, files_per_batch=1).select("ts"))
+    base = R.new_folder(spark, "t")
+    late = R.keep_state(days, base, ["day"])
+    kept = R.kept_state(spark, base, ["day"], days.schema).agg(F.sum("n")).first()[0]
+    assert late >= 1 and kept + late == 4
 
 
 def test_unique_arrivals(spark, tmp_path):
@@ -125,12 +161,101 @@ def test_latest_progress_and_days(spark, tmp_path):
     df = spark.createDataFrame(rows, "run_id STRING, ts STRING, event_id LONG, progress_pct FLOAT, current_step STRING").withColumn(
         "ts", F.to_timestamp("ts"))
     folder = land(spark, tmp_path, df, "event_id", 3)
-    base = R.new_folder(spark, "t")
-    R.keep_changes(R.latest_progress(R.file_stream(spark, folder, df.schema, files_per_batch=1)), base)
+    base, last = R.new_folder(spark, "t"), R.latest_progress(R.file_stream(spark, folder, df.schema, files_per_batch=1))
+    R.keep_state(last, base, ["run_id"])
     want = {}
     for run, ts, event, _, step in sorted(rows, key=lambda r: (r[1], r[2])):
         want[run] = step
-    assert {r.run_id: r.current_step for r in R.final_state(spark, base, ["run_id"], ["progress_pct", "current_step"]).collect()} == want
-    base = R.new_folder(spark, "t")
-    R.keep_changes(R.daily_counts(R.file_stream(spark, folder, df.schema, files_per_batch=1).select("ts")), base)
-    assert {r.day: r.n for r in R.final_state(spark, base, ["day"], ["n"]).collect()} == {f"2024-01-0{d}": 6 for d in range(1, 6)}
+    assert {r.run_id: r.current_step for r in R.kept_state(spark, base, ["run_id"], last.schema).collect()} == want
+    base, days = R.new_folder(spark, "t"), R.daily_counts(R.file_stream(spark, folder, df.schema, files_per_batch=1).select("ts"))
+    R.keep_state(days, base, ["day"])
+    assert {r.day: r.n for r in R.kept_state(spark, base, ["day"], days.schema).collect()} == {f"2024-01-0{d}": 6 for d in range(1, 6)}
+
+
+def test_streamed_mixed_limits(spark, tmp_path):
+    rows = [(ip, t, i, 15 if i % 3 else 10) for ip, t, i in traffic(11, 500)]
+    df = spark.createDataFrame(rows, "ip STRING, t LONG, request_id LONG, most INT")
+    kept, want = {}, {}
+    for ip, t, i, most in rows:
+        live = [x for x in kept.get(ip, []) if t - x < 60 * L.MICROS]
+        want[i] = len(live) < most
+        kept[ip] = live + [t] if want[i] else live
+    assert {r.request_id: r.admitted for r in L.admitted(df.repartition(5), limit="most").collect()} == want
+    folder = land(spark, tmp_path, df, "request_id", 5)
+    got = L.admit_stream(R.file_stream(spark, folder, df.schema, files_per_batch=1), R.new_folder(spark, "t"), "most")
+    assert {r.request_id: r.admitted for r in got.collect()} == want
+
+
+def test_silent_clients_leave_the_state(spark, tmp_path):
+    rows = [(f"c{b}", (b * 200 + i) * L.MICROS, b * 100 + i) for b in range(4) for i in range(20)]
+    df = spark.createDataFrame(rows, "ip STRING, t LONG, request_id LONG")
+    folder, base = land(spark, tmp_path, df, "request_id", 4), R.new_folder(spark, "t")
+    seen = []
+    for number in range(4):
+        stream = R.file_stream(spark, folder, df.schema, files_per_batch=1, only=f"[0-{number}].parquet")
+        L.admit_stream(stream, base)
+        seen.append({r.ip for r in L.carried(spark, base).collect()})
+    assert seen == [{"c0"}, {"c1"}, {"c2"}, {"c3"}]
+    assert L.carried(spark, base).count() == 10  # the admitted ones of one client
+
+
+def noting_model(notes):
+    """Answers every article but the third of a batch; notes each call in a folder."""
+
+    def ask(articles):
+        import json
+        import os
+        import uuid
+
+        with open(os.path.join(notes, uuid.uuid4().hex), "w") as f:
+            f.write(",".join(a["article_id"] for a in articles))
+        fixed = {"sentiment_score": 0.5, "summary": uuid.uuid4().hex, "entities_list": [], "locations_list": []}
+        return json.dumps({"results": [{"article_id": a["article_id"], **fixed} for i, a in enumerate(articles) if i != 2]})
+
+    return ask
+
+
+def test_model_is_asked_once(spark, tmp_path):
+    """One call a batch and one a retry; none when the micro-batch is repeated, whatever step had failed."""
+    import os
+
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    model = noting_model(str(notes))
+    rows = [(i, f"r{i % 2}", i // 10, f"a{i:02d}", f"T{i}", "text") for i in range(40)]
+    df = spark.createDataFrame(rows, "pos LONG, execution_id STRING, batch_no LONG, article_id STRING, title STRING, content_snippet STRING")
+    folder, base = land(spark, tmp_path, df, "pos", 2), R.new_folder(spark, "t")
+    failing = {"retries": True}
+
+    def answers(batched):
+        return E.call_model(E.request_rows(batched), model)
+
+    def retries(queue):
+        if failing["retries"]:
+            raise RuntimeError("lost")
+        return E.call_model(E.request_rows(queue, single=True), model)
+
+    targets = df.groupBy("execution_id").agg(F.count(F.lit(1)).alias("target"))
+
+    def run():
+        stream = R.file_stream(spark, folder, df.schema, files_per_batch=1)
+        R.enrich_stream(stream, answers, retries, base, ["article_id", "execution_id", "outcome", "summary"], targets)
+
+    calls = lambda: len(os.listdir(notes))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert calls() == 4  # two runs of two batches of five in the first file
+    failing["retries"] = False
+    run()
+    assert calls() == 8 + 8  # eight batches, one article of each asked for again
+    seen = lambda kind: sorted(map(tuple, spark.read.parquet(f"{base}/{kind}").collect()), key=repr)
+    before = seen("metrics"), seen("events"), seen("dlq")
+    commits = sorted(n for n in os.listdir(f"{base}/checkpoint/commits") if n.isdigit())
+    for name in (commits[-1], f".{commits[-1]}.crc"):  # as if the driver had died before noting the batch
+        os.remove(f"{base}/checkpoint/commits/{name}")
+    run()
+    assert calls() == 16 and (seen("metrics"), seen("events"), seen("dlq")) == before
+    events = sorted((r.execution_id, r.current, r.article_id, r.target) for r in spark.read.parquet(f"{base}/events").collect())
+    assert events == [(f"r{k}", n + 1, f"a{2 * n + k:02d}", 20) for k in range(2) for n in range(20)]
+    outcomes = {r.article_id: r.outcome for r in spark.read.parquet(f"{base}/metrics").collect()}
+    assert len(outcomes) == 40 and sum(o == "recovered" for o in outcomes.values()) == 8
