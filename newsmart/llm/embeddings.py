@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart.llm.graphs import components
-from newsmart.sources.versions import durable
+from newsmart.sources.versions import durable, few_rows
 
 #: Vectors that centres are fitted on, at most, and rows of a block.
 SAMPLE = 20_000
@@ -141,9 +141,9 @@ def near_vectors(
     nodes = members.groupBy("hash", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = durable(nodes.select("node", "n", "hash", "unit"))
     count = nodes.count()
-    fit = nodes.orderBy("hash").limit(sample).select("unit").toPandas()["unit"]  # bounded by ``sample``
+    fit = few_rows(nodes.orderBy("hash").limit(sample).select("unit"), sample)["unit"].combine_chunks().flatten().to_numpy().reshape(-1, size)
     k = cells or int(min(MOST_CELLS, max(1, count // block), len(fit)))
-    centres = fit_centres(np.stack(fit.to_list()), k)
+    centres = fit_centres(fit, k)
     dealt = durable(nodes.select("node", "n", "unit").mapInArrow(_assign(centres, threshold), "cell int, home boolean, node long, n long, unit array<double>"))
     sizes = dealt.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("all"))
     blocks = sizes.select("cell", *(F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(f"n_{c}") for c in ("homes", "all")))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart.llm.words import slices, windows, words_of
+from newsmart.sources.versions import few_rows
 
 LENGTH = 13
 #: Suffixes of one group, about; a prefix holding more than this share of all suffixes is split by the next word.
@@ -228,14 +229,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         docs.mapInArrow(_frequent(length), "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
     )
     often = often.join(often.filter("level = 0").select(F.col("n").alias("total")).hint("broadcast"), F.expr(f"level = 0 or n * {LARGE} >= total"))
-    found = often.select("level", "prefix", "n").collect()  # one total, and at most LARGE prefixes of each length
-    total = sum(r.n for r in found if r.level == 0)
-    levels = [np.array([r.prefix for r in found if r.level == k], np.int64).view(np.uint64) for k in range(1, length)]
-    common = np.sort(np.array([r.prefix for r in found if r.level == length], np.int64).view(np.uint64))
+    found = few_rows(often.select("level", "prefix", "n"), 1 + length * LARGE)  # one total, and at most LARGE prefixes of each length
+    level, prefix, n = (found.column(c).to_numpy() for c in ("level", "prefix", "n"))
+    total = int(n[level == 0].sum())
+    levels = [prefix[level == k].view(np.uint64) for k in range(1, length)]
+    common = np.sort(prefix[level == length].view(np.uint64))
     low = np.zeros(0, np.int64)
     if len(common):
         least = docs.mapInArrow(_smallest(common, length), "path long, id long").groupBy("path").agg(F.min("id").alias("id"))
-        least = {r.path: r.id for r in least.collect()}  # one row for each of the few common paths
+        least = {r["path"]: r["id"] for r in few_rows(least, len(common)).to_pylist()}
         low = np.array([least[int(p)] for p in common.view(np.int64)], np.int64)
     groups = max(LEAST_GROUPS, -(-total // GROUP))
     dealt = docs.mapInArrow(_deal(levels, (common, low), groups, length), "to int, block long, data binary")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsmart.llm.words import LOWER, MULTIPLIER, PUNCTUATION, Words, mix, slices, words_of
+from newsmart.sources.versions import few_rows
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -122,10 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def score(docs: DataFrame, weights: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and score, 0 to 1, of every row's ``text``. Null texts count as empty: the bias alone."""
-    found = weights.toPandas()  # at most 2**20 + 1 rows
+    found = few_rows(weights, (1 << 20) + 1)
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = [f for f in rows.schema.fields if f.name != "text"]
-    run = _score(found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(np.float64))
+    run = _score(found["bucket"].to_numpy(), found["weight"].to_numpy())
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
