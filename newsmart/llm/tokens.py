@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsmart.llm.periods import numbered_words
-from newsmart.llm.words import mix, slices, words_of
+from newsmart.llm.words import LOWER, SPACE, Words, mix, slices, words_of
 from newsmart.sources.versions import work_dir
 
 SLICE = 4 << 20
-#: Distinct words whose ids a task remembers.
-KNOWN_WORDS = 200_000
+#: Distinct pieces whose ids a worker remembers; beyond that it starts anew (some 150 bytes each).
+KNOWN_PIECES = 1 << 20
 #: Keys of a bucket, about, and the least number of buckets.
 BUCKET = 1 << 20
 LEAST_BUCKETS = 32
@@ -60,44 +61,97 @@ def _open(base: str) -> tuple[fs.FileSystem, str]:
 # --- ids of texts -------------------------------------------------------------------------------
 
 
+#: Kinds of bytes: 0 space, 1 letter, 2 digit, 3 sign, 4 anything whose word is not cut.
+KIND = np.full(256, 4, np.uint8)
+KIND[33:127] = 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+KIND[[ord("'"), ord("<")]] = 4
+KIND[SPACE] = 0
+PROBE = "It's 2024, Ünïcode\u00a0Ｗörds\t#tags... <|endoftext|>THE End'LL 10:30 \x00 x--y"
+
+
+def pieces_of(w: Words) -> Words:
+    """Words cut where letters, digits and signs meet, digits one by one, in lower case; words with bytes beyond these (other
+    alphabets, apostrophes, what may be a special token) stay as they are."""
+    kind = KIND[w.data]
+    odd = np.concatenate([[0], np.cumsum(kind == 4)])
+    whole = np.flatnonzero(odd[w.end] > odd[w.start])
+    change = np.zeros(len(w.data) + 1, np.int8)
+    change[w.start[whole]] += 1
+    change[w.end[whole]] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8) == 1
+    new = np.zeros(len(w.data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    new &= ~inside & (kind > 0)
+    new[w.start] = True
+    start = np.flatnonzero(new)
+    word = np.searchsorted(w.start, start, "right") - 1
+    end = np.minimum(np.append(start[1:], len(w.data)), w.end[word])
+    return Words(np.where(inside, w.data, LOWER[w.data]), start, end, w.hash[:0], np.searchsorted(start, w.offset), w.offset)
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
 class Encoder:
-    """Ids of texts with ``end`` after each. With ``word_wise`` each distinct word is encoded once: right for tokenizers that
-    drop white space before they look for tokens, so that a text's ids are its words' ids one after the other."""
+    """Ids of texts with ``end`` after each. With ``by_piece`` each distinct piece of a word is encoded once and remembered, by
+    the worker process, for later texts and tasks: right for tokenizers that lower-case, drop white space and never let a
+    token span letters and digits or signs, so that a text's ids are its pieces' ids one after the other. A probe text guards
+    against others."""
 
-    def __init__(self, path: str, end: int, word_wise: bool):
+    def __init__(self, path: str, end: int, by_piece: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.word_wise, self.known = Tokenizer.from_file(path), end, word_wise, {}
+        self.tokenizer, self.end, self.by_piece = Tokenizer.from_file(path), end, by_piece
+        self._forget()
+        if by_piece and self(pa.array([PROBE]))[0][:-1].tolist() != self._encode([PROBE])[0]:
+            raise ValueError(f"{path} does not encode texts piece by piece")
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def of(path: str, end: int, by_piece: bool) -> Encoder:
+        key = (path, end, by_piece)
+        if key not in _encoders:
+            _encoders[key] = Encoder(*key)
+        return _encoders[key]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {b" ": 0}  # stands for the end
+        self.begin, self.ids = np.array([0, 1], np.int64), np.array([self.end], np.uint32)
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Places of the pieces' ids in ``begin``; new pieces are encoded."""
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        new = [x for x in pieces if x not in self.known]
+        if new:
+            ids = self._encode([x.decode() for x in new])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if not self.word_wise:
+        if not self.by_piece:
             parts = self._encode([t or "" for t in texts.to_pylist()])
-            last = np.array([self.end], np.uint32)
-            counts = np.array([len(p) + 1 for p in parts], np.int64)
-            return np.concatenate([x for p in parts for x in (p, last)]) if parts else last[:0], counts
-        w = words_of(texts, lower=False)
-        number, words = numbered_words(w)
-        words = words.to_pylist()
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [x for x in words if x not in self.known]
-        self.known.update(zip(new, self._encode([x.decode() for x in new]), strict=True))
-        parts = [self.known[x] for x in words] + [np.array([self.end], np.uint32)]
-        size = np.array([len(p) for p in parts], np.int64)
-        begin, ids = np.cumsum(size) - size, np.concatenate(parts)
-        item = np.insert(number, w.first[1:], len(parts) - 1)  # the end follows each text's words
-        n = size[item]
+            ids = chain.from_iterable([*p, self.end] for p in parts)
+            return np.fromiter(ids, np.uint32), np.array([len(p) + 1 for p in parts], np.int64)
+        w = pieces_of(words_of(texts, lower=False))
+        number, distinct = numbered_words(w)
+        item = np.insert(self._numbers(distinct.to_pylist())[number], w.first[1:], 0)  # the end follows each text's pieces
+        n = (self.begin[1:] - self.begin[:-1])[item]
         after = np.concatenate([[0], np.cumsum(n)])
         out = np.empty(after[-1], np.uint32)
         for k in range(0, len(item), 1 << 18):
             m, part = n[k : k + (1 << 18)], item[k : k + (1 << 18)]
-            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            out[after[k] : after[k] + len(inner)] = ids[np.repeat(begin[part], m) + inner]
+            inner = np.arange(m.sum()) + np.repeat(self.begin[part] - (np.cumsum(m) - m), m)
+            out[after[k] : after[k] + len(inner)] = self.ids[inner]
         return out, np.diff(after[w.first + np.arange(len(w.first))])
 
 
@@ -179,14 +233,14 @@ class HashIndex:
 # --- writing ------------------------------------------------------------------------------------
 
 
-def _write_payload(base: str, tokenizer: str, end: int, width: str, word_wise: bool):
+def _write_payload(base: str, tokenizer: str, end: int, width: str, by_piece: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, offset, last, seen = None, 0, None, 0
         shard = TaskContext.get().partitionId()
         name = f"payload/{shard:08d}-{uuid.uuid4().hex}.bin"
         for batch in slices(batches, "text", SLICE):
             if out is None:
-                encode, (files, root) = Encoder(tokenizer, end, word_wise), _open(base)
+                encode, (files, root) = Encoder.of(tokenizer, end, by_piece), _open(base)
                 out = files.open_output_stream(f"{root}/{name}")
             ids, n = encode(batch.column("text"))
             out.write(ids.astype(width).tobytes())
@@ -227,7 +281,7 @@ def _hashed(keys: DataFrame, buckets: Column) -> DataFrame:
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end: int, *, id_col: str = "doc_id", text_col: str = "text", word_wise: bool = False,
+    docs: DataFrame, path: str, tokenizer: str, end: int, *, id_col: str = "doc_id", text_col: str = "text", by_piece: bool = False,
     vocabulary: int = 1 << 16, bucket: int = BUCKET,
 ) -> None:
     """Encodes every text and writes a store (see above) to the new folder ``path``.
@@ -246,7 +300,7 @@ def write_tokens(
     for c in ("occurrence", "shard", "offset", "n_tokens"):
         kind = kind.add(c, T.LongType())
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    written = ordered.mapInArrow(_write_payload(path, tokenizer, end, width, word_wise), kind.add("file", T.StringType()))
+    written = ordered.mapInArrow(_write_payload(path, tokenizer, end, width, by_piece), kind.add("file", T.StringType()))
     written.write.parquet(f"{path}/documents")
     written = spark.read.parquet(f"{path}/documents")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
@@ -351,7 +405,7 @@ def op12_token_store(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = f"{work_dir(spark)}/tokens/{uuid.uuid4().hex}"
-    write_tokens(docs, path, public_tokenizers.path(name), 2, word_wise=True)
+    write_tokens(docs, path, public_tokenizers.path(name), 2, by_piece=True)
     return read_tokens(path, all_keys(docs)).select(
         F.col("key").alias("doc_id"), "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

@@ -36,7 +36,7 @@ def ids_of(row):
 
 def test_words_one_by_one_make_the_whole(plain):
     odd = ["é́ x", "áb ́c", "ΑΣ ΣΑΣ. Σ", "İI ﬁ ﬃ　x", "<|endoftext|> a<|startoftext|>b <|end oftext|>", "x\x00y \x1c\x85z", "don't'll 'S 12 3",
-           "👩‍👩‍👧 क्षि กำ 한국 한", "", " \t\n\x0b\x0c\r ", "﻿a ​b c", "##  # !\"", "a" * 3000]
+           "A1b22,c-- D'S it'll x<y <|ENDOFTEXT|> a.b.c 3.14e10 _x_ ABC", "👩‍👩‍👧 क्षि กำ 한국 한", "", " \t\n\x0b\x0c\r ", "﻿a ​b c", "##  # !\"", "a" * 3000]
     rng = np.random.default_rng(4)
     signs = [*" \t\ṇ́ΣσİiſẞAa'sé😀<|>#.0 하"]
     odd += ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(300)]
@@ -46,6 +46,18 @@ def test_words_one_by_one_make_the_whole(plain):
         assert ids[lo:hi].tolist() == plain(text), text
 
 
+def test_tokenizers_that_need_whole_texts_are_refused():
+    with pytest.raises(ValueError, match="piece by piece"):
+        K.Encoder(BYTE, 0, True)
+
+
+def test_pieces_are_forgotten_beyond_the_bound(monkeypatch, plain):
+    monkeypatch.setattr(K, "KNOWN_PIECES", 3)
+    encode = K.Encoder(WORD, 2, True)
+    for text in ("one two three four", "two five", "", "one six"):
+        assert encode(pa.array([text]))[0].tolist() == plain(text)
+
+
 def test_query(spark, plain):
     got = {r.doc_id: r for r in K.op12_token_store(spark, DIR).collect()}
     start = 0
@@ -75,7 +87,7 @@ def test_index_gives_every_key_a_number_of_its_own(n, levels):
 
 def test_edges(spark, edge_docs, no_docs, plain):  # noqa: F811
     path = new_path(spark)
-    K.write_tokens(edge_docs, path, WORD, 2, word_wise=True, bucket=3)
+    K.write_tokens(edge_docs, path, WORD, 2, by_piece=True, bucket=3)
     rows = K.read_tokens(path, K.all_keys(edge_docs)).collect()
     want = sorted(((r.doc_id is not None, r.doc_id or 0), r.text is not None, (r.text or "").encode()) for r in edge_docs.collect())
     rows.sort(key=lambda r: r.start)
