@@ -37,10 +37,15 @@ def word_count(c: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, r"\s+")))
 
 
-def fold(c: Column) -> Column:
-    """Lower-cased, trimmed, without diacritics: composed Latin letters and combining marks."""
+def without_marks(c: Column) -> Column:
+    """Without diacritics: composed Latin letters and combining marks; empty for NULL."""
     composed = F.translate(F.coalesce(c, F.lit("")), ACCENTED, PLAIN)
-    return strip(F.lower(F.regexp_replace(composed, r"[\x{300}-\x{36f}]", "")))
+    return F.regexp_replace(composed, r"[\x{300}-\x{36f}]", "")
+
+
+def fold(c: Column) -> Column:
+    """Lower-cased, trimmed, without diacritics."""
+    return strip(F.lower(without_marks(c)))
 
 
 def percent_encode(c: Column) -> Column:

@@ -1,21 +1,21 @@
 """Matching of place names to regions, choropleth classes and location tagging.
 
-The region table is one country's list (tens to a few hundred names). It is carried as one array value
-read by a scalar subquery, after its size was checked; rows meet it in array functions, so no join
-multiplies rows.
+Neither compares every name with every region: names and regions that contain each other meet through an index of their
+characters (``grams.py``), and texts meet region names through the words these begin with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
-from newsmart.functions.text import fold
+from newsmart.functions.text import fold, without_marks
+from newsmart.operators.grams import contained
+from newsmart.sources.versions import few_rows
 
-MOST_REGIONS = 10_000
+#: Names that a model function may be given as a Python list.
+MODEL_NAMES = 10_000
 
 
 def padded_words(c: Column) -> Column:
@@ -23,53 +23,39 @@ def padded_words(c: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: inside a lambda Spark would compute it per element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _check_size(regions: DataFrame) -> None:
-    if regions.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
-        raise ValueError(f"more than {MOST_REGIONS} regions; expected one country's list")
-
-
 def region_names(regions: DataFrame) -> list[str]:
     """The names themselves, in file order, for a model function; refused when it is no country's list."""
-    _check_size(regions)
-    return regions.agg(F.array_sort(F.collect_list(F.struct("pos", "state_name")))["state_name"].alias("n")).first()[0]
-
+    return few_rows(regions.select("pos", "state_name"), MODEL_NAMES).sort_by("pos")["state_name"].to_pylist()
 
-def region_list(regions: DataFrame) -> Column:
-    """All regions as one array of (pos, name, norm, word), in file order."""
-    _check_size(regions)
-    name = F.col("state_name")
-    item = F.struct(
-        F.col("pos"), name.alias("name"), fold(name).alias("norm"), padded_words(name).alias("word")
-    )
-    return regions.agg(F.array_sort(F.collect_list(item)).alias("r")).scalar()
 
-
-def _substring_hit(name: Column, region: Column) -> Column:
+def _may_pair(name: Column, region: Column) -> Column:
+    """Rules against false hits of names that contain each other."""
     both_baja = name.contains("baja california") & region.contains("baja california")
     sur_differs = name.contains("sur") != region.contains("sur")
     capital = (name == "mexico") & (region == "ciudad de mexico")
-    return ~(both_baja & sur_differs) & ~capital & (region.contains(name) | name.contains(region))
+    return ~(both_baja & sur_differs) & ~capital
 
 
 def match_regions(names: DataFrame, regions: DataFrame, name: str = "place") -> DataFrame:
-    """Adds region: equal normalised name first, else the first region (file order) that contains the name
-    or is contained in it, else the name itself. Give it distinct names."""
-    listed = names.withColumn("_regions", region_list(regions))
-
-    def hit_of(norm: Column) -> Column:
-        exact = F.filter("_regions", lambda r: r["norm"] == norm)
-        near = F.filter("_regions", lambda r: _substring_hit(norm, r["norm"]))
-        return F.coalesce(F.get(exact, F.lit(0))["name"], F.get(near, F.lit(0))["name"])
-
-    hit = _with(fold(F.col(name)), hit_of)
-    return listed.withColumn(
-        "region", F.when(F.coalesce(F.col(name), F.lit("")) == "", None).otherwise(F.coalesce(hit, F.col(name)))
-    ).drop("_regions")
+    """Adds region: equal normalised name first, else the first region (by ``pos``) that contains the name or is contained in
+    it, else the name itself; null for null and empty names. Give it distinct names; neither list has a bound.
+
+    A name of accents alone is contained in every region, as the empty text is."""
+    norms = names.select(fold(F.col(name)).alias("_norm")).filter(F.coalesce(name, F.lit("")) != "").distinct()
+    listed = regions.select("pos", "state_name", fold(F.col("state_name")).alias("_region"))
+    firsts = listed.groupBy("_region").agg(F.min(F.struct("pos", F.col("state_name").alias("name"))).alias("_first"))
+    within = contained(norms, firsts, "_norm", "_region")
+    around = contained(firsts, norms, "_region", "_norm").select("_norm", "_region")
+    pairs = within.unionByName(around).filter(_may_pair(F.col("_norm"), F.col("_region")))
+    near = pairs.join(firsts, "_region").groupBy("_norm").agg(F.min("_first").alias("_near"))
+    exact = firsts.select(F.col("_region").alias("_norm"), F.col("_first.name").alias("_exact"))
+    blank = firsts.agg(F.min(F.when(F.col("_region") == "", F.col("_first"))).alias("f")).scalar()
+    first = firsts.agg(F.min("_first").alias("f")).scalar()
+    anything = F.least(F.col("_near"), blank, F.when(F.col("_norm") == "", first))
+    known = norms.join(exact, "_norm", "left").join(near, "_norm", "left")
+    known = known.select("_norm", F.coalesce("_exact", anything["name"]).alias("_hit"))
+    region = F.when(F.coalesce(name, F.lit("")) != "", F.coalesce("_hit", name))
+    return names.withColumn("_norm", fold(F.col(name))).join(known, "_norm", "left").withColumn("region", region).drop("_norm", "_hit")
 
 
 def colour_class(n: Column, most: Column) -> Column:
@@ -94,29 +80,49 @@ def choropleth(articles: DataFrame, regions: DataFrame, count_unlocated: bool =
     return per_region.withColumn("max_n", most).withColumn("colour", colour_class(F.col("n"), F.col("max_n")))
 
 
+def plain_words(c: Column) -> Column:
+    """Words of letters, digits and underscores without accents, in their own case."""
+    text = F.trim(F.regexp_replace(without_marks(c), r"[^\p{L}\p{N}_]+", " "))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def name_trie(regions: DataFrame, aliases: dict[str, str] | None = None, codes: dict[str, str] | None = None) -> DataFrame:
+    """(first, rest, n, code, target): names of the region list and other names for them by their first word and the words
+    that follow. ``aliases`` count in any case, ``codes`` (such as postal abbreviations, many of which are also common words)
+    only as written. Other names of regions that are not in the list are left out."""
+    listed = regions.select(F.col("state_name").alias("target")).distinct()
+    named = listed.select(F.col("target").alias("name"), F.lit(False).alias("exact"), "target")
+    others = [(k, exact, v) for d, exact in ((aliases, False), (codes, True)) for k, v in (d or {}).items()]
+    if others:
+        more = listed.sparkSession.createDataFrame(others, "name STRING, exact BOOLEAN, target STRING")
+        named = named.unionByName(more.join(listed, "target", "left_semi").select(*named.columns))
+    words = named.withColumn("_w", plain_words(F.col("name"))).filter(F.size("_w") > 0)
+    lower = F.transform("_w", lambda w: F.lower(w))
+    return words.select(
+        F.get(lower, F.lit(0)).alias("first"), F.array_join(F.slice(lower, F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))), " ").alias("rest"),
+        F.size("_w").alias("n"), F.when(F.col("exact"), F.array_join("_w", " ")).alias("code"), "target",
+    )
+
+
 def tag_locations(
-    articles: DataFrame, regions: DataFrame, title: str, text: str, aliases: dict[str, str] | None = None,
-    tidy: bool = False,
+    docs: DataFrame, regions: DataFrame, key: str, title: str, text: str, aliases: dict[str, str] | None = None,
+    codes: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Adds locations: regions named in the title, or, when there is none, in the text (all of it).
-
-    Names and aliases count as whole words, accents and case aside; only names of the region list come out.
-    ``tidy`` says that both columns hold padded_words already."""
-    known = F.transform("_regions", lambda r: r["name"])
-    words = F.transform("_regions", lambda r: F.struct(r["word"].alias("word"), r["name"].alias("target")))
-    if aliases:
-        extra = F.array(*[
-            F.struct(padded_words(F.lit(alias)).alias("word"), F.lit(target).alias("target"))
-            for alias, target in aliases.items()
-        ])
-        words = F.concat(words, F.filter(extra, lambda e: F.array_contains(known, e["target"])))
-
-    def found(text_: str) -> Column:
-        words_of = F.col(text_) if tidy else padded_words(F.col(text_))
-        hits = _with(words_of, lambda t: F.filter(words, lambda w: F.contains(t, w["word"])))
-        return F.array_distinct(F.transform(hits, lambda w: w["target"]))
-
-    listed = articles.withColumn("_regions", region_list(regions)).withColumn("_in_title", found(title))
-    return listed.withColumn(
-        "locations", F.when(F.size("_in_title") > 0, F.col("_in_title")).otherwise(found(text))
-    ).drop("_regions", "_in_title")
+    """(key, locations) of every document: regions named in the title, or, when there is none, in the text (all of it).
+
+    Names count as whole words, accents and case aside. Every word of a text is looked up once among the first words of all
+    names; only where it is one are the following words compared, so the list's length does not matter. Documents are told
+    apart by ``key``; carry the result to whatever refers to them."""
+    trie = name_trie(regions, aliases, codes)
+    most = trie.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
+    parts = docs.select(F.col(key).alias("_key"), F.posexplode(F.array(plain_words(F.col(title)), plain_words(F.col(text)))).alias("_part", "_w"))
+    spots = parts.select("_key", "_part", "_w", F.posexplode("_w").alias("_i", "_word"))
+    ahead = F.array_join(F.slice("_w", F.col("_i") + 2, most - 1), " ")
+    spots = spots.select("_key", "_part", "_word", F.lower("_word").alias("first"), ahead.alias("_ahead"))
+    follows = (F.col("rest") == "") | F.startswith(F.concat(F.lower("_ahead"), F.lit(" ")), F.concat("rest", F.lit(" ")))
+    as_written = F.col("code").isNull() | F.startswith(F.concat_ws(" ", "_word", "_ahead", F.lit("")), F.concat("code", F.lit(" ")))
+    hits = spots.join(trie, "first").filter(follows & as_written).select("_key", "_part", "target").distinct()
+    found = hits.groupBy("_key").agg(*(F.collect_set(F.when(F.col("_part") == p, F.col("target"))).alias(c) for p, c in ((0, "_title"), (1, "_text"))))
+    places = F.when(F.size("_title") > 0, F.col("_title")).otherwise(F.col("_text"))
+    both = docs.select(F.col(key).alias("_key")).join(found.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left")
+    return both.select(F.col("_key").alias(key), F.array_sort(F.coalesce(places, F.array().cast("array<string>"))).alias("locations"))

@@ -13,7 +13,7 @@ from newsmart.operators import regions as R
 from newsmart.operators.history import aggregated_runs
 from newsmart.operators.retrieval import corpus_summary
 from newsmart.plans.bindings import (
-    NEWS, RUNS_NEWS, article_keys, articles, executions, sql, table, with_text,
+    NEWS, RUNS_NEWS, article_keys, articles, executions, pick, sql, table, with_text,
 )
 from newsmart.plans.catalog import query
 
@@ -200,24 +200,51 @@ def choropleth(spark, sf):
     return R.choropleth(articles(spark, sf), region_table(spark, sf))
 
 
-@query("tag_locations", sql(*NEWS, """
+_CODES = list(S.US_STATES)
+_STATES_SQL = "(VALUES " + ",".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(S.US_STATES.items())) + ") AS s(i, code, name)"
+
+#: Documents as news of places: every third title names a nation, texts a nation in their middle and a state at their end, by
+#: its postal code or its name.
+_PLACED_SQL = f"""
+names AS (
+  SELECT n_name AS target, lower(n_name) AS word, false AS exact FROM nation
+  UNION ALL SELECT name, lower(name), false FROM {_STATES_SQL} UNION ALL SELECT name, code, true FROM {_STATES_SQL}),
+placed AS (
+  SELECT doc_id, trim(split_part(text, '.', 1), ' ') || CASE WHEN doc_id % 3 = 0 THEN ': ' || a.n_name ELSE '' END AS title,
+         substring(text, 1, length(text) // 2) || ' (' || b.n_name || ') ' || substring(text, length(text) // 2 + 1)
+         || ', ' || CASE WHEN doc_id % 2 = 0 THEN code ELSE upper(name) END || '.' AS body
+  FROM documents JOIN nation a ON a.n_nationkey = doc_id % 25 JOIN nation b ON b.n_nationkey = doc_id * 7 % 25
+  JOIN {_STATES_SQL} ON i = doc_id % {len(_CODES)}),
+worded AS (
+  SELECT doc_id, ' ' || trim(regexp_replace(strip_accents(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ' AS title,
+         ' ' || trim(regexp_replace(strip_accents(body), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ' AS body FROM placed),
 tagged AS (
-  SELECT article_id, execution_id, places,
-         CASE WHEN pos % 3 = 0 THEN coalesce(places[1:1], []) ELSE [] END AS in_title FROM articles)""", body="""
-SELECT article_id, execution_id, array_to_string(list_sort(
-   CASE WHEN len(in_title) > 0 THEN in_title ELSE coalesce(places, []) END), ',') AS locations FROM tagged"""))
+  SELECT doc_id, list_distinct(list(target) FILTER (WHERE contains(CASE WHEN exact THEN title ELSE lower(title) END, ' ' || word || ' '))) AS in_title,
+         list_distinct(list(target) FILTER (WHERE contains(CASE WHEN exact THEN body ELSE lower(body) END, ' ' || word || ' '))) AS in_text
+  FROM worded, names GROUP BY doc_id)"""
+
+
+@query("tag_locations", sql(*NEWS, _PLACED_SQL, body="""
+SELECT article_id, execution_id,
+       coalesce(array_to_string(list_sort(CASE WHEN len(in_title) > 0 THEN in_title ELSE in_text END), ','), '') AS locations
+FROM articles JOIN tagged ON doc_id = pos % (SELECT count(*) FROM documents)"""))
 def tag_locations(spark, sf):
-    """The text names every place of the article; every third title names the first of them. Words are
-    tidied once per document."""
-    named = with_text(articles(spark, sf), spark, sf, title_words=R.padded_words(F.col("title")),
-                      text_words=R.padded_words(F.col("scraped_text")))
-    first = F.when(F.col("pos") % 3 == 0, F.get("places", F.lit(0)))
-    named = named.select(
-        "article_id", "execution_id",
-        F.concat("title_words", R.padded_words(first)).alias("title"),
-        F.concat("text_words", R.padded_words(F.array_join("places", ", "))).alias("text"))
-    tagged = R.tag_locations(named, region_table(spark, sf), "title", "text", S.REGION_ALIASES, tidy=True)
-    return tagged.select("article_id", "execution_id", F.array_join(F.array_sort("locations"), ",").alias("locations"))
+    """Every document is tagged once; its articles take over what was found."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    first, second = (nation.select(F.col("n_nationkey").alias(f"_k{i}"), F.col("n_name").alias(f"_n{i}")) for i in (1, 2))
+    half = F.expr("char_length(text) div 2")
+    code, name = pick(_CODES, F.col("doc_id") % len(_CODES)), pick([S.US_STATES[c] for c in _CODES], F.col("doc_id") % len(_CODES))
+    placed = docs.join(first, F.col("doc_id") % 25 == F.col("_k1")).join(second, F.col("doc_id") * 7 % 25 == F.col("_k2")).select(
+        "doc_id", F.concat(F.trim(F.substring_index("text", ".", 1)), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(": "), "_n1")).otherwise("")).alias("title"),
+        F.concat(F.substring("text", F.lit(1), half), F.lit(" ("), "_n2", F.lit(") "), F.substring("text", half + 1, F.char_length("text")), F.lit(", "),
+                 F.when(F.col("doc_id") % 2 == 0, code).otherwise(F.upper(name)), F.lit(".")).alias("body"))
+    states = spark.createDataFrame([(S.DEFAULT_COUNTRY, 100 + i, n) for i, n in enumerate(S.US_STATES.values())], "country STRING, pos INT, state_name STRING")
+    regions = region_table(spark, sf).unionByName(states)
+    tagged = R.tag_locations(placed, regions, "doc_id", "title", "body", S.REGION_ALIASES, S.US_STATES)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    keys = article_keys(spark, sf).withColumn("doc_id", F.col("pos") % n_docs)
+    return keys.join(tagged, "doc_id").select("article_id", "execution_id", F.array_join("locations", ",").alias("locations"))
 
 
 @query("latest_two", sql(*NEWS, body="""

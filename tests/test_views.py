@@ -13,6 +13,7 @@ from newsmart.operators import export as X
 from newsmart.operators import history as H
 from newsmart.operators import regions as G
 from newsmart.operators import retrieval as R
+from newsmart.operators.grams import contained
 from newsmart.operators.requests import rejections
 
 
@@ -128,12 +129,45 @@ def test_choropleth(spark, mx):
     assert [r.c for r in colours] == ["#e8eaed", "#174ea6", "#8ab4f8", "#4285f4", "#1a73e8", "#174ea6"]
 
 
+def test_long_region_lists(spark):
+    """20,000 regions against names that contain them or are contained in them, next to the plain rule."""
+    rnd = random.Random(4)
+    parts = ["ba", "ra", "ti", "no", "ma", "sur", "é", "x", "Lo", "ve"]
+    word = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 7)))
+    listed = [word() for _ in range(19_950)] + ["´", "a", "zz"] + [f"{word()} {word()}" for _ in range(50)]
+    rnd.shuffle(listed)
+    rows = spark.createDataFrame([("x", i, r) for i, r in enumerate(listed)], "country STRING, pos INT, state_name STRING")
+    some = rnd.sample(listed, 12)
+    names = {*(n.upper() for n in some[:4]), *(f"zona {n} norte" for n in some[4:8]), *(n[1:4] for n in some[8:]), "qqq", "q", "z", "´", "zzz"}
+    got = G.match_regions(spark.createDataFrame([(n,) for n in [*names, "", None]], "place STRING"), rows).collect()
+    assert {r.place: r.region for r in got} == {n: plain_match(n, listed) for n in names} | {"": None, None: None}
+
+
+def test_grams(spark):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    needles, hay = {text(rnd.randint(0, 6)) for _ in range(60)}, {text(rnd.randint(0, 12)) for _ in range(80)}
+    got = contained(spark.createDataFrame([(n,) for n in [*needles, None]], "n STRING"), spark.createDataFrame([(h,) for h in [*hay, None]], "h STRING"), "n", "h")
+    assert sorted((r.n, r.h) for r in got.collect()) == sorted((n, h) for n in needles for h in hay if n and n in h)
+
+
 def test_tagging(spark, mx):
     rows = [(1, "Noticias de Jalisco", "x" * 40_000 + " Nuevo León"), (2, "Nada", "y " * 20_000 + "en NUEVO LEON, y cdmx."),
-            (3, "Jaliscotitlán", "nada"), (4, None, None)]
-    tagged = G.tag_locations(spark.createDataFrame(rows, "i INT, title STRING, text STRING"), mx, "title", "text", S.REGION_ALIASES)
-    assert {r.i: sorted(r.locations) for r in tagged.collect()} == {
-        1: ["Jalisco"], 2: ["Ciudad de México", "Nuevo León"], 3: [], 4: []}
+            (3, "Jaliscotitlán", "nada"), (4, None, None), (5, "", "nuevo. león; estado de méxico estado de"), (None, "Nuevo", "León jalisco")]
+    docs = spark.createDataFrame(rows, "i INT, title STRING, text STRING")
+    tagged = G.tag_locations(docs, mx, "i", "title", "text", S.REGION_ALIASES)
+    assert {r.i: r.locations for r in tagged.collect()} == {
+        1: ["Jalisco"], 2: ["Ciudad de México", "Nuevo León"], 3: [], 4: [], 5: ["Estado de México", "Nuevo León"], None: ["Jalisco"]}
+
+
+def test_codes_count_as_written(spark):
+    usa = spark.createDataFrame([("usa", i, n) for i, n in enumerate(S.US_STATES.values())], "country STRING, pos INT, state_name STRING")
+    rows = [(1, "Fires in Austin, TX", "CA"), (2, "He is in or hi", "ok me"), (3, "none", "From NY (new york) to IN, OR and tx; West Virginia")]
+    tagged = G.tag_locations(spark.createDataFrame(rows, "i INT, title STRING, text STRING"), usa, "i", "title", "text", None, S.US_STATES)
+    assert {r.i: r.locations for r in tagged.collect()} == {
+        1: ["Texas"], 2: [], 3: ["Indiana", "New York", "Oregon", "Virginia", "West Virginia"]}
+    few = usa.filter("pos < 3")
+    assert G.name_trie(few, {"Yukon": "Canada"}, S.US_STATES).count() == 6
 
 
 def test_history(spark):
