@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException, ParseException
 
 from newsmart import schemas as S
 from newsmart.functions import crypto
 from newsmart.functions.text import citations, question_keywords, strip
+from newsmart.operators import bits, sqlguard
 from newsmart.operators.analytics import most_frequent
 from newsmart.operators.ranking import first_rows, numbered_first_rows
+from newsmart.sources.versions import durable
 
 
 def _newest() -> list[Column]:
@@ -98,23 +99,27 @@ def citation_lookup(answers: DataFrame, articles: DataFrame, text: str = "text")
     """(cited, article_id, url) for every id cited in the answers: the first article (by pos) whose id
     starts with it or whose address contains it.
 
-    Ids meet articles by equality: each article (once, at its first place) offers its id prefixes and address parts of just the
-    lengths that are cited; parts nobody cited go first, then each part shrinks to its first article."""
-    cited = answers.select(F.explode(citations(F.col(text))).alias("cited")).distinct()
-    lengths = cited.agg(F.array_sort(F.collect_set(F.length("cited"))).alias("l")).scalar()
+    Ids meet articles by equality: each article (once, at its first place) offers its id prefixes and address parts of just
+    the lengths that are cited. A filter of bits over the cited ids, sized by their number, drops the parts that nobody cited
+    (all but some in a thousand) before anything is shuffled. What is left shrinks to its first article within each task,
+    so a part that every address holds ("http") moves one row a task."""
+    cited = durable(answers.select(F.explode(citations(F.col(text))).alias("cited")).distinct())
+    facts = cited.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("cited"))).alias("l")).first()
+    may = bits.may_hold(cited, "cited", facts["n"])
+    lengths = F.array(*map(F.lit, facts["l"])).cast("array<int>")
     prefixes = F.transform(
-        F.filter("_lengths", lambda n: n <= F.length("article_id")), lambda n: F.substring("article_id", F.lit(1), n)
+        F.filter(lengths, lambda n: n <= F.length("article_id")), lambda n: F.substring("article_id", F.lit(1), n)
     )
     parts = F.flatten(F.transform(
-        F.filter("_lengths", lambda n: n <= F.length("url")),
+        F.filter(lengths, lambda n: n <= F.length("url")),
         lambda n: F.transform(
             F.sequence(F.lit(1), F.length("url") - n + 1), lambda i: F.substring(F.col("url"), i, n)
         ),
     ))
     offers = (
-        articles.groupBy("article_id", "url").agg(F.min("pos").alias("pos")).withColumn("_lengths", F.coalesce(lengths, F.array().cast("array<int>")))
+        articles.groupBy("article_id", "url").agg(F.min("pos").alias("pos"))
         .select("pos", "article_id", "url", F.explode(F.array_distinct(F.concat(prefixes, parts))).alias("cited"))
-        .join(cited, "cited", "left_semi")
+        .filter(may(F.col("cited")))
     )
     first = offers.groupBy("cited").agg(F.min(F.struct("pos", "article_id", "url")).alias("_f"))
     return cited.join(first, "cited", "left").select("cited", "_f.article_id", "_f.url")
@@ -188,63 +193,35 @@ def summary_text(articles: DataFrame, runs: DataFrame) -> DataFrame:
 
 def register_views(articles: DataFrame, runs: DataFrame) -> None:
     """Names that ad-hoc SELECTs may use."""
-    articles.createOrReplaceTempView("articles")
-    articles.createOrReplaceTempView("fact_news_metrics")
-    articles.select("date").distinct().createOrReplaceTempView("dim_date")
-    articles.select("source").distinct().createOrReplaceTempView("dim_source")
-    runs.createOrReplaceTempView("search_executions")
-    runs.createOrReplaceTempView("scraper_logs")
+    for name in ("articles", "fact_news_metrics"):
+        sqlguard.publish(name, articles)
+    sqlguard.publish("dim_date", articles.select("date").distinct())
+    sqlguard.publish("dim_source", articles.select("source").distinct())
+    for name in ("search_executions", "scraper_logs"):
+        sqlguard.publish(name, runs)
 
 
-#: What a SELECT may hold that does more than read views: shell scripts, Java calls, table functions, computed names.
-FORBIDDEN = re.compile(r"ScriptTransform|\b(reflect|try_reflect|java_method)\(|TableValuedFunction|UnresolvedIdentifier", re.I)
-RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 REFUSED = "Error: No valid SELECT query generated."
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in values}
-    for name, value in values.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
-def safe_sql(spark: SparkSession, text: str | None) -> DataFrame:
-    """Runs a SELECT over the session's temporary views (``register_views``).
+def safe_sql(spark: SparkSession, text: str | None, views: Iterable[str] | None = None) -> DataFrame:
+    """Runs a SELECT, with or without WITH in front, over published views (``register_views``; or those named here).
 
-    Refused are: text that starts otherwise, and statements whose parsed or analysed plan, subqueries included, holds a
-    script, a call of Java methods, a table function, a computed name or a relation that is not such a view (stored tables,
-    files, names of inner WITH clauses). Mentions of these in text literals are refused too. Several statements do not parse."""
+    What it may hold is in ``sqlguard``; all else is refused. Several statements do not parse."""
     query = (text or "").strip().rstrip(";")
-    if not query.lower().startswith("select"):
+    if not re.match(r"(select|with)\b", query, re.I) or sqlguard.faults(spark, query, views):
         raise ValueError(REFUSED)
-    whole_plans = {"spark.sql.runSQLOnFiles": "false", "spark.sql.debug.maxToStringFields": "1000000"}
-    with _settings(spark, whole_plans):
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).treeString()
-        if FORBIDDEN.search(parsed):
-            raise ValueError(REFUSED)
-        result = spark.sql(query)
-        analysed = result._jdf.queryExecution().analyzed().treeString()
-    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
-    names = {name.strip().lower() for name in RELATION.findall(parsed)}
-    if FORBIDDEN.search(analysed) or not names <= views:
-        raise ValueError(REFUSED)
-    return result
+    return spark.sql(query)
 
 
 def sql_result_text(result: DataFrame, most: int = S.SQL_ROWS) -> DataFrame:
-    """Lines (line_no, line): header, up to ``most`` rows in the order of the query, and a note with the
-    total when there are more. Only that head of the result meets in one task."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in result.columns]
-    head = result.limit(most).select(
-        (F.monotonically_increasing_id() + 1).alias("line_no"), F.concat_ws(", ", *cells).alias("line")
-    )
-    total = result.agg(F.count(F.lit(1)).alias("n"))
+    """Lines (line_no, line): header, up to ``most`` rows in the order of the query, and a note with the total when there
+    are more. The statement runs once, here: its lines are written to the work folder, head and total are read from there."""
+    named = result.toDF(*(f"c{i}" for i in range(len(result.columns))))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in named.columns]
+    lines = durable(named.select(F.monotonically_increasing_id().alias("n"), F.concat_ws(", ", *cells).alias("line")))
+    head = lines.orderBy("n").limit(most).select(F.row_number().over(Window.orderBy("n")).cast("long").alias("line_no"), "line")
+    total = lines.agg(F.count(F.lit(1)).alias("n"))
     row = lambda no, text: F.struct(F.lit(no).cast("long").alias("line_no"), text.alias("line"))
     note = F.concat(F.lit(f"... (truncado a {most} resultados de "), F.col("n"), F.lit(")"))
     edges = total.select(F.inline(F.array(
@@ -254,14 +231,12 @@ def sql_result_text(result: DataFrame, most: int = S.SQL_ROWS) -> DataFrame:
     return head.unionByName(edges)
 
 
-def answer_sql(spark: SparkSession, text: str | None) -> DataFrame:
-    """safe_sql and its text; a refused or failing statement becomes one error line."""
+def answer_sql(spark: SparkSession, text: str | None, views: Iterable[str] | None = None) -> DataFrame:
+    """safe_sql and its text; a statement that is refused, or fails while it is analysed or run, becomes one error line."""
     try:
-        result = safe_sql(spark, text)
+        return sql_result_text(safe_sql(spark, text, views))
     except ValueError as exc:
         message = str(exc)
-    except (AnalysisException, ParseException) as exc:
+    except PySparkException as exc:
         message = f"Database error during execution: {exc}"
-    else:
-        return sql_result_text(result)
     return spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit(message).alias("line"))
