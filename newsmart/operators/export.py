@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
+from newsmart.sources.versions import few_rows
 
 
 def _filled(*names: str) -> Column:
@@ -53,18 +54,23 @@ def article_json(articles: DataFrame, fields: list[str]) -> DataFrame:
     return articles.select("execution_id", "article_id", F.to_json(F.struct(*fields)).alias("article"))
 
 
-def write_run_files(articles: DataFrame, path: str) -> None:
-    """JSON files, one folder per run. Rows of a run may come from many tasks, so a large run is written
-    by all of them."""
-    articles.write.mode("overwrite").partitionBy("execution_id").json(path)
+def write_run_files(articles: DataFrame, path: str, runs: DataFrame | None = None) -> None:
+    """JSON files, one folder per run; only of the runs in ``runs`` (execution_id) if given.
 
+    Rows are gathered by run first, in parts of about equal size: small runs share a task and have one file each, a large run
+    is split over as many tasks as its size asks for. So there are about as many files as runs, not runs times tasks."""
+    chosen = articles if runs is None else articles.join(runs.select("execution_id").distinct(), "execution_id", "left_semi")
+    gathered = chosen.hint("rebalance", F.col("execution_id"))
+    gathered.write.mode("overwrite").partitionBy("execution_id").json(path)
 
-PAYLOAD_ARTICLES = "ARRAY<STRUCT<article_id STRING, title STRING>>"
+
+PAYLOAD_ARTICLES = "ARRAY<MAP<STRING, STRING>>"
 
 
 def read_payloads(payloads: DataFrame) -> DataFrame:
     """Download requests: an object with articles and params (or metadata), or a bare list of articles.
-    Adds articles, params and error; other shapes and empty lists carry an error."""
+    Adds articles (all their fields by name; lists and objects as JSON text), params and error; other shapes and empty lists
+    carry an error."""
     text = F.trim("payload")
     bare = F.when(text.startswith("["), F.from_json("payload", PAYLOAD_ARTICLES))
     as_object = F.from_json(
@@ -82,3 +88,13 @@ def read_payloads(payloads: DataFrame) -> DataFrame:
         F.when(~is_object & ~text.startswith("["), "Invalid data format")
         .when(F.size(F.coalesce("articles", F.array())) < 1, "No articles to export"),
     )
+
+
+def payload_sheet(read: DataFrame, keys: list[str], extracted_at: Column, most: int = 1_000) -> DataFrame:
+    """Data set of read payloads: a row an article, a column a field that any of them has, in order of name, beside ``keys``.
+    A payload with over ``most`` different fields is refused."""
+    rows = read.filter(F.col("error").isNull()).select(*keys, F.explode("articles").alias("_a"))
+    fields = few_rows(rows.select(F.explode(F.map_keys("_a")).alias("f")).distinct(), most)["f"].to_pylist()
+    taken = {c.lower() for c in keys}
+    wide = rows.select(*keys, *(F.try_element_at("_a", F.lit(f)).alias(f) for f in sorted(fields) if f.lower() not in taken))
+    return data_sheet(wide, extracted_at)

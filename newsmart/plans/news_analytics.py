@@ -11,11 +11,13 @@ from newsmart.functions.text import word_count
 from newsmart.operators import analytics as A
 from newsmart.operators import regions as R
 from newsmart.operators.history import aggregated_runs
+from newsmart.operators.paging import read_page, write_directory
 from newsmart.operators.retrieval import corpus_summary
 from newsmart.plans.bindings import (
     NEWS, RUNS_NEWS, article_keys, articles, executions, pick, sql, table, with_text,
 )
 from newsmart.plans.catalog import query
+from newsmart.sources.versions import new_folder
 
 PICK = A.Selection(
     sources=("Supplier#000000001", "Supplier#000000002", "Supplier#000000003"),
@@ -130,19 +132,19 @@ def top_states10(spark, sf):
 @query("timeline", sql(*NEWS, body="""
 SELECT substring(date, 1, 10) AS day, count(*) AS n FROM articles GROUP BY day ORDER BY day"""))
 def timeline(spark, sf):
-    return A.timeline(articles(spark, sf))
+    return A.timeline(article_keys(spark, sf))
 
 
 @query("date_span", sql(*NEWS, body="""
 SELECT strftime(min(CAST(date AS TIMESTAMP)), '%b %d, %Y') || ' - ' || strftime(max(CAST(date AS TIMESTAMP)), '%b %d, %Y')
        AS label FROM articles"""))
 def date_span(spark, sf):
-    return A.date_span(articles(spark, sf))
+    return A.date_span(article_keys(spark, sf))
 
 
 @query("distinct_dates", sql(*NEWS, body="SELECT DISTINCT date FROM articles"))
 def distinct_dates(spark, sf):
-    return articles(spark, sf).select("date").distinct()
+    return article_keys(spark, sf).select("date").distinct()
 
 
 @query("distinct_sources", sql(*NEWS, body="SELECT DISTINCT source FROM articles"))
@@ -250,7 +252,7 @@ def tag_locations(spark, sf):
 @query("latest_two", sql(*NEWS, body="""
 SELECT pos, article_id, execution_id FROM articles ORDER BY pos DESC LIMIT 2"""))
 def latest_two(spark, sf):
-    return A.latest_rows(articles(spark, sf)).select("pos", "article_id", "execution_id")
+    return A.latest_rows(article_keys(spark, sf)).select("pos", "article_id", "execution_id")
 
 
 @query("page", sql(*NEWS, body="""
@@ -258,10 +260,23 @@ SELECT pos, article_id, 21::BIGINT AS page_start, 30::BIGINT AS page_end, (SELEC
 FROM articles ORDER BY pos DESC LIMIT 10 OFFSET 20"""))
 def page(spark, sf):
     """Third page of the feed, newest first."""
-    rows = articles(spark, sf).select("pos", "article_id")
+    rows = article_keys(spark, sf).select("pos", "article_id")
     return A.page(rows, [F.col("pos").desc()], number=2, size=10, first=0)
 
 
+@query("deep_page", sql("""
+keys AS (SELECT min(o_orderkey) AS pos, md5('https://n.example/' || o_orderkey // 3) AS article_id FROM orders GROUP BY o_orderkey // 3, o_custkey),
+spot AS (SELECT least(299, greatest(ceil(count(*) / 25)::BIGINT, 1) - 1) * 25 AS start, count(*) AS total FROM keys),
+numbered AS (SELECT *, row_number() OVER (ORDER BY pos DESC) AS rn FROM keys)""", body="""
+SELECT pos, article_id, start + 1 AS page_start, least(start + 25, total) AS page_end, total AS page_total
+FROM numbered, spot WHERE rn > start AND rn <= start + 25"""))
+def deep_page(spark, sf):
+    """The 300th page of a table of 25 a page, newest first, found through the order directory."""
+    path = new_folder(spark, "pages")
+    write_directory(article_keys(spark, sf).select("pos", "article_id"), [("pos", True)], path, rows=2_000)
+    return read_page(spark, path, 300, 25)
+
+
 _MULTI = """
 chosen AS (SELECT a.*, e.search_term AS origin_search_term, e.scraped_at FROM articles a JOIN executions e USING (execution_id)
            WHERE e.status = 'COMPLETED'),

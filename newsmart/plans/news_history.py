@@ -19,6 +19,7 @@ from newsmart.plans.bindings import (
 from newsmart.plans.catalog import query
 from newsmart.sources import regions as G
 from newsmart.sources.feeds import unresolved
+from newsmart.sources.versions import new_folder
 
 NOW = "2024-01-02 12:00:00"
 STEPS = ["Fetching discovery (10%)...", "Analyzing articles (3/9)...", "Extracting text from articles...",
@@ -519,7 +520,33 @@ def export_payload(spark, sf):
     read = P.read_payloads(batches.select("execution_id", "batch_no", payload.alias("payload")))
     rows = read.select("execution_id", "batch_no", "params", "error", F.explode_outer("articles").alias("a"))
     return rows.select(
-        "execution_id", "batch_no", F.coalesce("error", "a.article_id").alias("article_id"),
+        "execution_id", "batch_no", F.coalesce("error", F.try_element_at("a", F.lit("article_id"))).alias("article_id"),
         F.coalesce(F.try_element_at("params", F.lit("run")), F.lit("")).alias("origin"))
 
 
+
+
+@query("export_sheet", sql(*BATCHED, body="""
+SELECT execution_id, batch_no, article_id, url, source, array_to_string(places, ',') AS places, pos::VARCHAR AS n
+FROM (SELECT *, CASE WHEN places IS NULL THEN NULL ELSE places END AS p FROM batched) WHERE batch_no % 3 <> 2"""))
+def export_sheet(spark, sf):
+    """All fields of the articles of a download, each a column of the data set."""
+    item = F.struct("article_id", "url", "source", "places", F.col("pos").alias("n"))
+    batches = batched_articles(spark, sf).groupBy("execution_id", "batch_no").agg(F.to_json(F.collect_list(item)).alias("l"))
+    bare = F.col("batch_no") % 3 == 1
+    payload = F.when(bare, F.col("l")).when(F.col("batch_no") % 3 == 2, "{}").otherwise(F.concat(F.lit('{"articles":'), "l", F.lit("}")))
+    read = P.read_payloads(batches.select("execution_id", "batch_no", payload.alias("payload")))
+    sheet = P.payload_sheet(read, ["execution_id", "batch_no"], F.lit("now")).drop("Fecha de Extracción")
+    return sheet.withColumn("places", F.array_join(F.from_json("places", "ARRAY<STRING>"), ","))
+
+
+@query("export_run_files", sql(EXECUTIONS_SQL, *NEWS, body="""
+SELECT execution_id, article_id, url, date, source, array_to_string(places, ',') AS places
+FROM articles WHERE execution_id IN (SELECT execution_id FROM executions WHERE status = 'COMPLETED')"""))
+def export_run_files(spark, sf):
+    """Files of the completed runs, read back."""
+    path = new_folder(spark, "export")
+    chosen = executions(spark, sf).filter(F.col("status") == "COMPLETED")
+    P.write_run_files(articles(spark, sf).select("execution_id", "article_id", "url", "date", "source", "places"), path, chosen)
+    back = spark.read.schema("execution_id STRING, article_id STRING, url STRING, date STRING, source STRING, places ARRAY<STRING>").json(path)
+    return back.withColumn("places", F.array_join("places", ","))

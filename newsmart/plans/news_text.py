@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
 from newsmart.functions import crypto
 from newsmart.functions import text as X
+from newsmart.functions.payload import clean_json, clean_nested
 from newsmart.operators import pages as P
 from newsmart.operators import retrieval as R
 from newsmart.plans.bindings import NEWS, RUNS_NEWS, article_keys, articles, executions, sql, table, with_text
@@ -19,9 +22,12 @@ KEY_CONF = "spark.newsmart.chat.key"
 
 
 def chat_key(spark):
-    """AES key from the session; tests and checks without one use a key derived from the application id."""
-    configured = spark.conf.get(KEY_CONF, None)
-    return F.lit(configured) if configured else F.substring(F.md5(F.lit(spark.sparkContext.applicationId)), 1, 16)
+    """AES key from the session. A local session (tests) without one draws a key for itself; a cluster must be given one."""
+    if not spark.conf.get(KEY_CONF, None):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"set {KEY_CONF} to the key of the chat texts")
+        spark.conf.set(KEY_CONF, secrets.token_hex(16))
+    return F.lit(spark.conf.get(KEY_CONF))
 
 
 # --- feeds and pages --------------------------------------------------------------------------
@@ -169,6 +175,27 @@ def sanitize_payload(spark, sf):
     return dirty_turns(spark, sf).select("conv_id", "turn", X.clean_payload(F.col("text")).alias("text"))
 
 
+@query("sanitize_nested", sql(_DIRTY_SQL, body="""
+SELECT conv_id, turn, clean AS query, clean || '|x|' AS names, clean AS deep, turn AS n, CASE WHEN turn % 2 = 0 THEN clean END AS maybe,
+       clean AS typed_value, clean AS typed_list
+FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '(?i)javascript:', '', 'g'), @WS@) AS clean FROM dirty)"""
+                              .replace("@WS@", _WS)))
+def sanitize_nested(spark, sf):
+    """Payloads as JSON text of objects and lists in each other, and as columns of nested types."""
+    turns = dirty_turns(spark, sf)
+    maybe = F.when(F.col("turn") % 2 == 0, F.col("text"))
+    payload = F.struct(
+        F.col("text").alias("query"), F.col("turn").alias("n"), maybe.alias("maybe"),
+        F.struct(F.array("text", F.lit("<b>x</b>"), F.lit(" ")).alias("names"), F.array(F.struct(F.create_map(F.lit("k"), F.col("text")).alias("m"))).alias("l")).alias("f"))
+    typed = F.struct(F.create_map(F.lit("<k>"), F.col("text")).alias("m"), F.array(F.struct("text")).alias("a"))
+    rows = turns.select("conv_id", "turn", F.to_json(payload).alias("json"), typed.alias("typed"))
+    clean = rows.select("conv_id", "turn", clean_json(F.col("json")).alias("json"), clean_nested(F.col("typed"), rows.schema["typed"].dataType).alias("typed"))
+    back = F.from_json("json", "query STRING, n LONG, maybe STRING, f STRUCT<names: ARRAY<STRING>, l: ARRAY<STRUCT<m: MAP<STRING, STRING>>>>")
+    return clean.withColumn("b", back).select(
+        "conv_id", "turn", "b.query", F.array_join("b.f.names", "|").alias("names"), F.try_element_at(F.get("b.f.l", F.lit(0))["m"], F.lit("k")).alias("deep"), "b.n", "b.maybe",
+        F.try_element_at("typed.m", F.lit("<k>")).alias("typed_value"), F.array_join(F.col("typed.a")["text"], "|").alias("typed_list"))
+
+
 _QUANT_SQL = "(?i)(^|[^\\p{L}\\p{N}_])(" + "|".join(S.QUANTITY_WORDS) + ")($|[^\\p{L}\\p{N}_])"
 
 

@@ -103,7 +103,7 @@ def names(spark: SparkSession, folder: str) -> dict[str, float]:
     return {s.getPath().getName(): s.getModificationTime() / 1000 for s in files.listStatus(place)}
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     files, place = _at(spark, path)
     stream = files.open(place)
     try:
@@ -163,7 +163,7 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
 
 def entry(spark: SparkSession, base: str, version: int) -> dict:
     """What is noted of a version: its data folders and whatever its writer added."""
-    return json.loads(_read_text(spark, _entry_path(base, version)))
+    return json.loads(read_text(spark, _entry_path(base, version)))
 
 
 def new_data(base: str) -> str:

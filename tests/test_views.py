@@ -15,7 +15,9 @@ from newsmart.operators import history as H
 from newsmart.operators import regions as G
 from newsmart.operators import retrieval as R
 from newsmart.operators import bits, sqlguard
+from newsmart.functions.payload import clean_json, clean_nested
 from newsmart.operators.grams import contained
+from newsmart.operators.paging import read_page, write_directory
 from newsmart.operators.requests import rejections
 
 
@@ -289,11 +291,95 @@ def test_requests(spark):
         [], ["query"], ["nqueries"], ["nqueries", "country"], ["query", "nqueries", "country"]]
 
 
+@pytest.mark.parametrize("n,rows", [(0, 10), (1, 10), (57, 10), (57, 1000), (200, 7)])
+def test_pages_through_the_directory(spark, tmp_path, n, rows):
+    """Every page equals the page of the sorted table, also where it crosses ranges, and reads only the ranges it needs."""
+    rnd = random.Random(n)
+    data = [(i, rnd.choice(["a", "b", None]), rnd.randrange(5)) for i in range(n)]
+    df = spark.createDataFrame(data, "pos LONG, name STRING, k INT").repartition(3)
+    order = [F.col("k").desc_nulls_last(), F.col("name").asc_nulls_first(), F.col("pos").asc_nulls_first()]
+    write_directory(df, [("k", True), ("name", False), ("pos", False)], str(tmp_path), rows)
+    for number in (-3, 1, 2, 5, 19, 1000):
+        want = A.page(df, order, number, 10).collect()
+        got = read_page(spark, str(tmp_path), number, 10)
+        assert got.collect() == want and got.columns == [*df.columns, "page_start", "page_end", "page_total"]
+    if n == 57 and rows == 10:
+        files = read_page(spark, str(tmp_path), 3, 10).inputFiles()
+        plan = read_page(spark, str(tmp_path), 3, 10)._jdf.queryExecution().executedPlan().toString()
+        assert len(files) >= 5 and "PartitionFilters: [" in plan and "_range" in plan.split("PartitionFilters: [")[1][:60]
+
+
+def plain_clean(x):
+    import re
+
+    if isinstance(x, dict):
+        return {k: plain_clean(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [plain_clean(v) for v in x]
+    return re.sub(r"javascript:", "", re.sub(r"<[^>]+>", "", x), flags=re.I).strip() if isinstance(x, str) else x
+
+
+def test_nested_payloads(spark):
+    import json
+
+    rnd = random.Random(9)
+
+    def value(depth):
+        kind = rnd.randrange(7 if depth else 5)
+        if kind == 5:
+            return {rnd.choice(["<b>k", "a", "b", "", "Ñ"]): value(depth - 1) for _ in range(rnd.randrange(3))}
+        if kind == 6:
+            return [value(depth - 1) for _ in range(rnd.randrange(3))]
+        return [" <b>x</b> javascript:y ", "JavaScript:<a", rnd.randrange(10**12), None, rnd.random() < 0.5][kind]
+
+    made = [value(6) for _ in range(150)]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(made)] + [(-1, None), (-2, "no json"), (-3, "")], "i INT, p STRING")
+    got = {r.i: r.c for r in df.select("i", clean_json(F.col("p")).alias("c")).collect()}
+    assert all(got[i] is None for i in (-1, -2, -3))
+    assert [json.loads(got[i]) if v is not None else None for i, v in enumerate(made)] == [plain_clean(v) for v in made]
+    deep = spark.createDataFrame([("[" * 7 + "1" + "]" * 7,)], "p STRING").select(clean_json(F.col("p")))
+    with pytest.raises(Exception, match="too deep"):
+        deep.collect()
+
+
+def test_clean_columns_of_nested_types(spark):
+    kind = "s STRING, a ARRAY<STRING>, m MAP<STRING, ARRAY<STRUCT<t: STRING, n: INT>>>, st STRUCT<x: STRUCT<y: STRING>, b: BINARY>"
+    rows = [("<i>a", [" b ", None], {"<k>": [("javascript:c", 1), None], "z": None}, (("<b>d</b>",), bytearray(b"<i>"))), (None, None, None, None)]
+    df = spark.createDataFrame(rows, kind)
+    out = df.select(*(clean_nested(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields))
+    first, second = out.collect()
+    assert (first.s, first.a, first.m["<k>"][0].t, first.m["<k>"][0].n, first.m["<k>"][1], first.m["z"]) == ("a", ["b", None], "c", 1, None, None)
+    assert first.st.x.y == "d" and first.st.b == b"<i>" and tuple(second) == (None,) * 4
+    assert out.schema.simpleString() == df.schema.simpleString()
+
+
+def test_run_files_are_about_as_many_as_runs(spark, tmp_path):
+    import glob
+
+    rows = spark.range(0, 6000, 1, 24).selectExpr("cast(id % 30 AS STRING) AS execution_id", "id AS article_id")
+    X.write_run_files(rows, str(tmp_path / "all"))
+    assert len(glob.glob(f"{tmp_path}/all/*/*.json")) <= 30 + 8
+    X.write_run_files(rows, str(tmp_path / "few"), spark.createDataFrame([("3",), ("4",), ("none",)], "execution_id STRING"))
+    back = spark.read.json(str(tmp_path / "few"))
+    assert back.count() == 400 and {str(r.execution_id) for r in back.select("execution_id").distinct().collect()} == {"3", "4"}
+
+
+def test_payload_sheet_holds_all_fields(spark):
+    payloads = spark.createDataFrame([(1, '{"articles":[{"article_id":"a","n":5,"states":["x","y"],"o":{"k":null}},{"title":"t"}]}'), (2, "[]"), (3, '[{"Resumen Extraído":"s","i":"own"}]')], "i INT, payload STRING")
+    sheet = X.payload_sheet(X.read_payloads(payloads), ["i"], F.lit("now"))
+    assert sheet.columns == ["i", "article_id", "n", "o", "states", "title", "Fecha de Extracción"]
+    assert sorted((tuple(r) for r in sheet.collect()), key=repr) == [
+        (1, "a", "5", '{"k":null}', '["x","y"]', None, "now"), (1, None, None, None, None, "t", "now"), (3, None, None, None, None, None, "now")]
+    with pytest.raises(ValueError, match="over 2 rows"):
+        X.payload_sheet(X.read_payloads(payloads), ["i"], F.lit("now"), most=2)
+
+
 def test_exports(spark, tmp_path):
     payloads = spark.createDataFrame([
         (1, '{"articles":[{"article_id":"a"}],"params":{"k":"v"}}'), (2, '[{"article_id":"b"}]'), (3, '{"articles":[]}'),
         (4, '"text"'), (5, '{"articles":[{"article_id":"c"}],"metadata":{"m":"1"}}')], "i INT, payload STRING")
     got = {r.i: (r.error, r.params) for r in X.read_payloads(payloads).collect()}
+    assert {r.i: r.articles for r in X.read_payloads(payloads).collect()}[1] == [{"article_id": "a"}]
     assert got == {1: (None, {"k": "v"}), 2: (None, {}), 3: ("No articles to export", {}), 4: ("Invalid data format", {}), 5: (None, {"m": "1"})}
     rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("1", "c")], "execution_id STRING, article_id STRING")
     X.write_run_files(rows, str(tmp_path / "out"))
