@@ -18,18 +18,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart.llm.words import _powers_to, mix, slices, text_bytes, windows, words_of
-from newsmart.sources.versions import durable
+from newsmart.sources.versions import durable, few_rows
 
 SHINGLE = 5
 SIMILAR = 0.8
 RARITY_BITS = 20
 HASH_BITS = 64 - RARITY_BITS
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 #: Bits of the map that narrows down which lines' token sets are read again.
 MAP_BITS = 24
 
 
-def lines_of(batch: pa.RecordBatch, k: int):
-    """(text number and line number of each line, its hash, its tokens and whose they are); lines without words have hash 0."""
+def lines_of(batch: pa.RecordBatch):
+    """(text number and line number of each line, its words, its hash); lines without words have hash 0."""
     data, offset = text_bytes(batch.column("text"))
     cuts = np.flatnonzero(data == 10) + 1
     bounds = np.sort(np.concatenate([offset, cuts]), kind="stable")
@@ -46,10 +48,25 @@ def lines_of(batch: pa.RecordBatch, k: int):
     a, b = w.first[:-1], w.first[1:]
     whole = mix((sums[b] - sums[a]) * inverse[a])
     whole[a == b] = 0
-    token, at = windows(w.hash, w.first, k)
-    line = np.searchsorted(w.first, at, "right") - 1
-    short = np.flatnonzero((b > a) & (b - a < k))
-    return doc, number, whole, np.concatenate([token, mix(whole[short])]), np.concatenate([line, short])
+    return doc, number, w, whole
+
+
+def line_tokens(w, k: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all lines, or of the chosen ones (a flag for each line), and whose they are."""
+    h, first = w.hash, w.first
+    if chosen is not None:
+        n = np.where(chosen, w.counts, 0)
+        h, first = h[np.repeat(chosen, w.counts)], np.concatenate([[0], np.cumsum(n)])
+    token, at = windows(h, first, k)
+    size = np.diff(first)
+    short = np.flatnonzero((size > 0) & (size < k))
+    whole = np.zeros(0, np.uint64)
+    if len(short):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        power, inverse = _powers_to(len(h) + 1)
+        np.cumsum(h * power[: len(h)], dtype=np.uint64, out=sums[1:])
+        whole = mix(mix((sums[first[short + 1]] - sums[first[short]]) * inverse[first[short]]))
+    return np.concatenate([token, whole]), np.concatenate([np.searchsorted(first, at, "right") - 1, short])
 
 
 def token_sets(token: np.ndarray, line: np.ndarray, rarity: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +84,9 @@ def token_sets(token: np.ndarray, line: np.ndarray, rarity: np.ndarray, n: int)
 def _rarity(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in slices(batches, "text"):
-            counts += np.bincount(lines_of(batch, k)[3] >> np.uint64(64 - RARITY_BITS), minlength=1 << RARITY_BITS)
+        for batch in slices(batches, "text", SLICE):
+            token, _ = line_tokens(lines_of(batch)[2], k)
+            counts += np.bincount(token >> np.uint64(64 - RARITY_BITS), minlength=1 << RARITY_BITS)
         parts = np.split(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32), 64)
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "data"])
 
@@ -80,12 +98,12 @@ def _sum_parts(group: pa.Table) -> pa.Table:
     return pa.table({"part": group.column("part").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def _occurrences(k: int):
+def _occurrences():
     """Rows (line, id, key, no) of all lines that hold words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            doc, number, whole, _, _ = lines_of(batch, k)
+        for batch in slices(batches, "text", SLICE):
+            doc, number, _, whole = lines_of(batch)
             has = np.flatnonzero(whole)
             own = pa.array(doc[has])
             yield pa.RecordBatch.from_arrays(
@@ -100,15 +118,14 @@ def _prefixes(k: int, rarity, similar: float):
     """Rows (token, line, n, at, id, no): the prefix tokens of each line; a block's equal lines once, at the earliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            doc, number, whole, token, line = lines_of(batch, k)
+        for batch in slices(batches, "text", SLICE):
+            doc, number, w, whole = lines_of(batch)
             ids = batch.column("id").to_numpy()
             order = np.lexsort((number, ids[doc], whole))
             first = np.zeros(len(whole), bool)
             first[order[np.flatnonzero(np.diff(whole[order].view(np.int64), prepend=~whole[order[:1]].view(np.int64)))]] = True
             first &= whole != 0
-            mine = first[line]
-            token, bounds = token_sets(token[mine], line[mine], rarity.value, len(whole))
+            token, bounds = token_sets(*line_tokens(w, k, first), rarity.value, len(whole))
             n = np.diff(bounds)
             most = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
             most[n == 0] = 0
@@ -126,14 +143,13 @@ def _sets(k: int, rarity, wanted):
     """Rows (line, tokens) of the lines that the bit map holds; a block's equal lines once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            _, _, whole, token, line = lines_of(batch, k)
+        for batch in slices(batches, "text", SLICE):
+            _, _, w, whole = lines_of(batch)
             first = np.zeros(len(whole), bool)
             first[np.unique(whole, return_index=True)[1]] = True
             place = (whole & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
             first &= (whole != 0) & ((wanted.value[place >> 3] >> (place & 7)) & 1 == 1)
-            mine = first[line]
-            token, bounds = token_sets(token[mine], line[mine], rarity.value, len(whole))
+            token, bounds = token_sets(*line_tokens(w, k, first), rarity.value, len(whole))
             own = np.flatnonzero(first)
             offsets = pa.array(np.append(bounds[own], len(token)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(whole[own].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64)))], ["line", "tokens"])
@@ -191,9 +207,9 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, k: int = SHINGLE,
     """
     spark = docs.sparkSession
     docs = keyed(docs, id_col, text_col).select("id", "key", "text")
-    parts = docs.mapInArrow(_rarity(k), "part int, data binary").groupBy("part").applyInArrow(_sum_parts, "part int, data binary").collect()  # 64 rows, 8 MB
+    parts = docs.mapInArrow(_rarity(k), "part int, data binary").groupBy("part").applyInArrow(_sum_parts, "part int, data binary")
     counts = np.zeros((64, (1 << RARITY_BITS) // 64), np.int64)
-    for row in parts:
+    for row in few_rows(parts, 64).to_pylist():  # 8 MB
         counts[row["part"]] = np.frombuffer(row["data"], np.int64)
     rarity = spark.sparkContext.broadcast(np.minimum(counts.reshape(-1), (1 << RARITY_BITS) - 1).astype(np.int32))
     prefixes = docs.mapInArrow(_prefixes(k, rarity, similar), "token long, line long, n int, at int, id long, no int")
@@ -203,10 +219,10 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, k: int = SHINGLE,
     )
     low = (1 << MAP_BITS) - 1
     place = F.col("line").bitwiseAND(low) + 1
-    bits = met.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = met.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     wanted = np.zeros(1 << MAP_BITS >> 3, np.uint8)  # 2 MB
-    for row in bits:
-        raw = np.frombuffer(bytes(row["bits"]), np.uint8)
+    for row in few_rows(bits, (1 << MAP_BITS) // 32_768).to_pylist():
+        raw = np.frombuffer(row["bits"], np.uint8)
         at = (row["bucket"] - 1) * len(raw)
         wanted[at : at + len(raw)] = raw
     sets = docs.mapInArrow(_sets(k, rarity, spark.sparkContext.broadcast(wanted)), "line long, tokens array<long>")
@@ -224,7 +240,7 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, k: int = SHINGLE,
     others = met.filter("rank > 0").select("token", F.col("line").alias("other"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("rank").alias("_rank"))
     pairs = left.join(others, "token").filter(F.col("_rank") < F.col("rank")).filter(may_match(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), similar))
     gone = gone.unionByName(matching(pairs.select("line", "other"))).withColumn("gone", F.lit(True))
-    places = durable(docs.mapInArrow(_occurrences(k), "line long, id long, key long, no int"))
+    places = durable(docs.mapInArrow(_occurrences(), "line long, id long, key long, no int"))
     firsts = places.groupBy("line").agg(F.min(F.struct("id", "no", "key")).alias("first")).join(gone, "line", "left").withColumnRenamed("line", "_l")
     out = places.join(firsts, F.col("line") == F.col("_l")).filter(F.col("gone").isNotNull() | (F.struct("id", "no", "key") != F.col("first")))
     return out.groupBy("id", "key").agg(F.sort_array(F.collect_set("no")).alias("removed"))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from newsmart.llm.graphs import components
 from newsmart.llm.lines import RARITY_BITS, _sum_parts, may_match, token_sets
 from newsmart.llm.words import mix, slices, windows, words_of
-from newsmart.sources.versions import durable
+from newsmart.sources.versions import durable, few_rows
 
 SEED = 42
 #: The ring's segments as (first bit, number of bits).
@@ -352,9 +352,9 @@ def similar_classes(texts: DataFrame, similar: float = 0.8, shingle: int = 5) ->
     parities, none of which drops a similar pair; what is left is verified on whole shingle sets.
     """
     spark = texts.sparkSession
-    parts = texts.mapInArrow(_rarities(shingle), "part int, data binary").groupBy("part").applyInArrow(_sum_parts, "part int, data binary").collect()  # 64 rows, 8 MB
+    parts = texts.mapInArrow(_rarities(shingle), "part int, data binary").groupBy("part").applyInArrow(_sum_parts, "part int, data binary")
     counts = np.zeros((64, (1 << RARITY_BITS) // 64), np.int64)
-    for row in parts:
+    for row in few_rows(parts, 64).to_pylist():  # 8 MB
         counts[row["part"]] = np.frombuffer(row["data"], np.int64)
     rarity = spark.sparkContext.broadcast(np.minimum(counts.reshape(-1), (1 << RARITY_BITS) - 1).astype(np.int32))
     prefixes = texts.mapInArrow(_prefixes(shingle, rarity, similar), "token long, node long, n int, at int")
