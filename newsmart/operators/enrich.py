@@ -49,43 +49,55 @@ def batch_payload(batched: DataFrame, text: str = "content_snippet") -> DataFram
     )
 
 
-def call_model(requests: DataFrame, model: ModelCall) -> DataFrame:
-    """One call per row of ``articles`` (array of article structs). A call that raises gives NULL and the
-    message; it never fails the task."""
-
-    @F.pandas_udf("raw_response STRING, call_error STRING")
+def request_rows(batched: DataFrame) -> DataFrame:
+    """Model requests, one row a batch: execution_id, batch_no and ``articles``, the batch's rows as structs of all other
+    columns in article_id order. The articles ride along with their answer, so nothing has to be joined back to them."""
+    others = [c for c in batched.columns if c not in ("execution_id", "batch_no", "article_id")]
+    rows = F.collect_list(F.struct("article_id", *others))
+    by_id = F.array_sort(rows, lambda a, b: F.when(a["article_id"] < b["article_id"], -1).when(a["article_id"] > b["article_id"], 1).otherwise(0))
+    return batched.groupBy("execution_id", "batch_no").agg(by_id.alias("articles"))
+
+
+def call_model(
+    requests: DataFrame, model: ModelCall, text: str = "content_snippet", asked: str = "articles", raw: str = "raw_response", error: str = "call_error"
+) -> DataFrame:
+    """Adds the model's answer to every row, one call per filled array of article structs in ``asked``; rows with none are
+    not asked for. A call that raises gives a NULL answer and the message; it never fails the task."""
+
+    @F.pandas_udf("response STRING, error STRING")
     def ask(batches: pd.Series) -> pd.DataFrame:
         out = []
         for rows in batches:
             try:
-                out.append((model([dict(r) for r in rows]), None))
+                out.append((model([dict(r) for r in rows]) if rows is not None and len(rows) else None, None))
             except Exception as exc:  # noqa: BLE001 - any failure of user code is a dead letter, not a lost task
                 out.append((None, str(exc)))
-        return pd.DataFrame(out, columns=["raw_response", "call_error"])
+        return pd.DataFrame(out, columns=["response", "error"])
 
-    return requests.withColumn("_a", ask("articles")).select("*", "_a.*").drop("_a", "articles")
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    shown = F.transform(asked, lambda a: F.struct(a["article_id"].alias("article_id"), filled(a["title"]).alias("title"), filled(a[text]).alias("text")))
+    answered = requests.withColumn("_a", ask(shown))
+    return answered.select(*requests.columns, F.col("_a.response").alias(raw), F.col("_a.error").alias(error))
 
 
-def request_rows(batched: DataFrame, text: str = "content_snippet", single: bool = False) -> DataFrame:
-    """Model requests: one per batch, or one per article for the retry pass."""
-    item = F.struct("article_id", F.coalesce("title", F.lit("")).alias("title"),
-                    F.coalesce(text, F.lit("")).alias("text"))
-    if single:
-        return batched.select("execution_id", "article_id", F.array(item).alias("articles"))
-    return batched.groupBy("execution_id", "batch_no").agg(F.array_sort(F.collect_list(item)).alias("articles"))
+def with_answers(rows: DataFrame, answers: DataFrame, keys: list[str], raw: str = "raw_response", error: str = "call_error") -> DataFrame:
+    """The same from answers that were given elsewhere: ``answers`` holds the keys, raw_response and call_error. A row without
+    an answer stays, unanswered."""
+    given = answers.select(*keys, F.col("raw_response").alias(raw), F.col("call_error").alias(error))
+    return rows.join(given, keys, "left")
 
 
-def parse_answers(answers: DataFrame) -> DataFrame:
+def parse_answers(answers: DataFrame, raw: str = "raw_response", error: str = "call_error") -> DataFrame:
     """Adds results (array, NULL when the text is no JSON object) and answer_error. Text without readable
     results is looked at a second time, to tell broken JSON from an object that holds none."""
-    read = answers.withColumn("_results", F.from_json("raw_response", S.MODEL_ANSWER)["results"])
-    none, text = F.col("_results").isNull(), F.col("raw_response")
-    error = (
-        F.when(text.isNull(), F.coalesce("call_error", F.lit("no response")))
+    read = answers.withColumn("_results", F.from_json(raw, S.MODEL_ANSWER)["results"])
+    none, text = F.col("_results").isNull(), F.col(raw)
+    problem = (
+        F.when(text.isNull(), F.coalesce(error, F.lit("no response")))
         .when(none & F.try_parse_json(text).isNull(), F.lit("JSONDecodeError"))
         .when(none & ~F.ltrim(text).startswith("{"), F.lit("response is no object"))
     )
-    return read.withColumn("answer_error", error).withColumn(
+    return read.withColumn("answer_error", problem).withColumn(
         "results", F.when(F.col("answer_error").isNull(), F.coalesce("_results", F.array()))
     ).drop("_results")
 
@@ -132,29 +144,23 @@ def validate_metrics(rows: DataFrame) -> DataFrame:
     ).drop("_c")
 
 
-def _checked(parsed: DataFrame, *keep: str) -> DataFrame:
-    """Parsed answers with all records checked; the raw text stays only where it is needed later."""
-    records = F.transform("results", lambda r: checked_record(lambda f: r[f]))
-    failed = F.when(F.col("answer_error").isNotNull(), F.col("raw_response"))
-    return parsed.select(*keep, F.lit(True).alias("_answered"), "answer_error", failed.alias("failed_response"), records.alias("_records"))
-
-
-def _error_or_silence() -> Column:
-    """answer_error after a left join with answers: a request without an answer row got no response."""
-    return F.when(F.col("_answered").isNull(), "no response").otherwise(F.col("answer_error"))
-
-
 RECORD_FIELDS = ["sentiment_score", "summary", "entities_list", "locations_list"]
+QUEUED = ("missed", "invalid")
 
 
-def first_pass(batched: DataFrame, answers: DataFrame) -> DataFrame:
-    """One row per article: its result (the last valid one, else the last one), the batch's answer_error,
-    and what to do next (valid / missed / invalid / failed).
+def first_pass(answered: DataFrame) -> DataFrame:
+    """One row per article out of answered requests (``request_rows`` with raw_response and call_error): its result (the last
+    valid one, else the last one), the batch's answer_error, and what to do next (valid / missed / invalid / failed).
 
-    Answers are read and checked once per batch; the articles of a batch then pick theirs from its few
-    records, so one join by batch is all that moves data. A batch without any answer has failed."""
-    parsed = _checked(parse_answers(answers), "execution_id", "batch_no")
-    mine = F.filter(F.coalesce("_records", F.array()), lambda r: r["article_id"] == F.col("article_id"))
+    Answers are read and checked once per batch; the batch's articles, which stand on the same row, then pick theirs from
+    its few records. Nothing moves between tasks. A batch without any answer has failed."""
+    records = F.transform("results", lambda r: checked_record(lambda f: r[f]))
+    parsed = parse_answers(answered).select(
+        "execution_id", "batch_no", "answer_error", F.when(F.col("answer_error").isNotNull(), F.col("raw_response")).alias("failed_response"),
+        F.coalesce(records, F.array()).alias("_records"), "articles",
+    )
+    rows = parsed.select(*(c for c in parsed.columns if c != "articles"), F.inline("articles"))
+    mine = F.filter("_records", lambda r: r["article_id"] == F.col("article_id"))
     good = F.filter("_mine", lambda r: F.size(r["problems"]) == 0)
     state = (
         F.when(F.col("answer_error").isNotNull(), "failed")
@@ -162,71 +168,58 @@ def first_pass(batched: DataFrame, answers: DataFrame) -> DataFrame:
         .when(F.size("_best.problems") > 0, "invalid")
         .otherwise("valid")
     )
+    others = [f.name for f in answered.schema["articles"].dataType.elementType.fields if f.name != "article_id"]
     return (
-        batched.join(parsed, ["execution_id", "batch_no"], "left")
-        .withColumn("answer_error", _error_or_silence())
-        .withColumn("_mine", mine)
+        rows.withColumn("_mine", mine)
         .withColumn("_best", F.coalesce(F.try_element_at(good, F.lit(-1)), F.try_element_at("_mine", F.lit(-1))))
-        .withColumn("state", state)
-        .select(*batched.columns, "state", "answer_error", "failed_response",
+        .select("execution_id", "batch_no", "article_id", *others, state.alias("state"), "answer_error", "failed_response",
                 *[F.col(f"_best.{f}").alias(f) for f in RECORD_FIELDS])
     )
 
 
 def retry_queue(first: DataFrame) -> DataFrame:
     """Articles to ask again one by one, each once; missed ones come before invalid ones, by article_id."""
-    return first.filter(F.col("state").isin("missed", "invalid")).withColumn(
+    return first.filter(F.col("state").isin(*QUEUED)).withColumn(
         "retry_order", F.when(F.col("state") == "missed", 0).otherwise(1)
     )
 
 
-def second_pass(retried: DataFrame, answers: DataFrame) -> DataFrame:
-    """Outcome of the single retries: recovered, or dlq with its reason. The first result that names the
-    article counts."""
-    parsed = parse_answers(answers)
+def call_again(first: DataFrame, model: ModelCall, text: str = "content_snippet") -> DataFrame:
+    """Adds retry_response and retry_error: the answers to single requests for the queued articles."""
+    one = F.when(F.col("state").isin(*QUEUED), F.array(F.struct("article_id", "title", text)))
+    return call_model(first.withColumn("_one", one), model, text, "_one", "retry_response", "retry_error").drop("_one")
+
+
+def settle(retried: DataFrame) -> DataFrame:
+    """One row per article with state and outcome valid / recovered / dlq; every article gets exactly one.
+
+    ``retried``: rows of ``first_pass`` with retry_response and retry_error, which count for queued articles only. The first
+    result that names the article counts there."""
+    read = parse_answers(retried.withColumnRenamed("answer_error", "_batch_error"), "retry_response", "retry_error")
     own = F.filter(F.coalesce("results", F.array()), lambda r: r["article_id"] == F.col("article_id"))
-    checked = parsed.select(
-        "execution_id", "article_id", F.lit(True).alias("_answered"), "answer_error", "raw_response",
-        F.get(F.transform(F.slice(own, 1, 1), lambda r: checked_record(lambda f: r[f])), F.lit(0)).alias("_hit"),
-    )
-    reason = (
+    hit = F.get(F.transform(F.slice(own, 1, 1), lambda r: checked_record(lambda f: r[f])), F.lit(0))
+    queued, failed = F.col("state").isin(*QUEUED), F.col("state") == "failed"
+    again = (
         F.when(F.col("answer_error").isNotNull(), F.col("answer_error"))
         .when(F.col("_hit").isNull(), F.lit(MISSED_AGAIN))
         .when(F.size("_hit.problems") > 0, F.concat(F.lit("invalid: "), F.array_join("_hit.problems", ",")))
     )
-    keep = retried.drop("answer_error", "failed_response", "state", "retry_order", *RECORD_FIELDS)
-    return (
-        keep.join(checked, ["execution_id", "article_id"], "left")
-        .withColumn("answer_error", _error_or_silence())
-        .withColumn("error_reason", reason)
-        .select(
-            *keep.columns, "error_reason",
-            F.when(F.col("answer_error").isNotNull(), "").when(F.col("error_reason").isNotNull(), F.col("raw_response"))
-            .alias("raw_response"),
-            F.when(F.col("error_reason").isNull(), "recovered").otherwise("dlq").alias("outcome"),
-            *[F.when(F.col("error_reason").isNull(), F.col(f"_hit.{f}")).alias(f) for f in RECORD_FIELDS],
-        )
+    kept_text = F.when(F.col("answer_error").isNotNull(), "").when(F.col("_again").isNotNull(), F.col("retry_response"))
+    outcome = F.when(failed, "dlq").when(~queued, "valid").when(F.col("_again").isNull(), "recovered").otherwise("dlq")
+    gone = ("answer_error", "failed_response", "retry_response", "retry_error", *RECORD_FIELDS)
+    return read.withColumn("_hit", hit).withColumn("_again", again).select(
+        *(c for c in retried.columns if c not in gone),
+        F.when(queued, F.col("_again")).when(failed, F.col("_batch_error")).alias("error_reason"),
+        F.when(queued, kept_text).when(failed, F.coalesce("failed_response", F.lit("None"))).alias("raw_response"),
+        outcome.alias("outcome"),
+        *(F.when(queued, F.when(F.col("_again").isNull(), F.col(f"_hit.{f}"))).when(~failed, F.col(f)).alias(f) for f in RECORD_FIELDS),
     )
 
 
-def settle(first: DataFrame, retry_answers: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row per article with outcome valid / recovered / dlq; every article gets exactly one."""
-    queue = retry_queue(first)
-    again = second_pass(queue, retry_answers(queue))
-    failed = F.col("state") == "failed"
-    done = first.filter(F.col("state").isin("valid", "failed")).select(
-        *[c for c in first.columns if c not in ("state", "answer_error", "failed_response", *RECORD_FIELDS)],
-        F.when(failed, F.col("answer_error")).alias("error_reason"),
-        F.when(failed, F.coalesce("failed_response", F.lit("None"))).alias("raw_response"),
-        F.when(failed, "dlq").otherwise("valid").alias("outcome"),
-        *[F.when(~failed, F.col(f)).alias(f) for f in RECORD_FIELDS],
-    )
-    return done.unionByName(again)
-
-
-def dead_letters(settled: DataFrame) -> DataFrame:
+def dead_letters(settled: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows of the dead-letter table; ``timestamp`` is the time of the pass, or ``at``."""
     return settled.filter(F.col("outcome") == "dlq").select(
-        "article_id", "execution_id", "raw_response", "error_reason"
+        "article_id", "execution_id", "raw_response", "error_reason", (F.current_timestamp() if at is None else at).cast("timestamp").alias("timestamp")
     )
 
 
@@ -253,6 +246,16 @@ def enrich_update(articles: DataFrame, metrics_: DataFrame) -> DataFrame:
     )
 
 
+def fact_update(fact: DataFrame, metrics_: DataFrame) -> DataFrame:
+    """The other half of the update: word_count, entity_count and sentiment_score of facts that exist take the new values;
+    results without a fact row add none, facts without a result keep their measures."""
+    measures = ["word_count", "entity_count", "sentiment_score"]
+    new = metrics_.select("article_id", "execution_id", *(F.col(c).alias(f"_{c}") for c in measures), F.lit(True).alias("_there"))
+    both = fact.join(new, ["article_id", "execution_id"], "left")
+    taken = {c: F.when(F.col("_there"), F.col(f"_{c}").cast(fact.schema[c].dataType)).otherwise(F.col(c)) for c in measures}
+    return both.withColumns(taken).select(*fact.columns)
+
+
 def geodata_fallback(articles: DataFrame, failed: DataFrame) -> DataFrame:
     """Empty places for the articles of failed batches, in their own run only."""
     marks = failed.select("article_id", "execution_id").distinct().withColumn("_failed", F.lit(True))
@@ -264,11 +267,10 @@ def geodata_fallback(articles: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def enrich(batched: DataFrame, model: ModelCall, text: str = "content_snippet") -> DataFrame:
-    """The whole flow with a real model function. Model answers are written to the checkpoint folder
-    once: they are read by several branches and must not be asked for twice."""
-    answers = durable(call_model(request_rows(batched, text), model))
-    first = durable(first_pass(batched, answers))
-    return durable(settle(first, lambda q: durable(call_model(request_rows(q, text, single=True), model))))
+    """The whole flow with a real model function. Only what the model said is written to the checkpoint folder, once after
+    the batches and once after the retries, with the articles it belongs to: it must not be asked for twice."""
+    answered = durable(call_model(request_rows(batched), model, text))
+    return settle(durable(call_again(first_pass(answered), model, text)))
 
 
 # Small lexicon of the offline default model.

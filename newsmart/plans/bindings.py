@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
-from newsmart.operators.enrich import assign_batches
+from newsmart.operators.enrich import QUEUED, assign_batches, first_pass, request_rows, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,72 +124,69 @@ def batched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_places(assign_batches(article_keys(spark, sf_dir)), spark, sf_dir)
 
 
-def _answer(pos: Column, sentiment: Column, summary: Column) -> Column:
+def _answer(of, sentiment: Column, summary: Column) -> Column:
+    """JSON text of one result; ``of`` gives a field of the article."""
     entity = lambda text, kind: F.concat(
         F.lit('{"entity_text":"'), text, F.lit(f'","entity_type":"{kind}"}}')
     )
-    places = F.coalesce(F.col("places"), F.array())
+    places = F.coalesce(of("places"), F.array())
     entities = F.concat(
-        F.array(entity(F.coalesce(F.col("source"), F.lit("nobody")), "ORGANIZATION")),
+        F.array(entity(F.coalesce(of("source"), F.lit("nobody")), "ORGANIZATION")),
         F.transform(places, lambda p: entity(p, "LOCATION")),
     )
     quoted = F.transform(places, lambda p: F.concat(F.lit('"'), p, F.lit('"')))
     return F.concat(
-        F.lit('{"article_id":"'), F.col("article_id"), F.lit('","sentiment_score":'), sentiment, summary,
+        F.lit('{"article_id":"'), of("article_id"), F.lit('","sentiment_score":'), sentiment, summary,
         F.lit(',"entities_list":['), F.array_join(entities, ","),
         F.lit('],"locations_list":['), F.array_join(quoted, ","), F.lit("]}"),
     )
 
 
-def _plain_sentiment() -> Column:
+def _plain_sentiment(pos: Column) -> Column:
     return F.concat(
-        F.when(F.col("pos") % 2 == 0, "-").otherwise(""), F.lit("0."),
-        F.lpad((F.col("pos") % 100).cast("string"), 2, "0"),
+        F.when(pos % 2 == 0, "-").otherwise(""), F.lit("0."),
+        F.lpad((pos % 100).cast("string"), 2, "0"),
     )
 
 
-def responses(batched: DataFrame) -> DataFrame:
-    """One raw model answer per batch. By pos % 20: 3 leaves the article out, 7 leaves the summary out,
+def responses(requests: DataFrame) -> DataFrame:
+    """Requests with one raw model answer each. By pos % 20: 3 leaves the article out, 7 leaves the summary out,
     11 gives a sentiment that is no number, 13 a number as text. By the lowest pos of the batch: % 11 = 5
     cuts the JSON short, % 13 = 6 is a failed call."""
-    pos = F.col("pos")
-    sentiment = (
-        F.when(pos % 20 == 11, '"abc"').when(pos % 20 == 13, '"0.5"').otherwise(_plain_sentiment())
-    )
-    summary = F.when(pos % 20 == 7, "").otherwise(
-        F.concat(F.lit(',"summary":"About '), F.col("article_id"), F.lit('"'))
-    )
-    answer = F.when(pos % 20 != 3, _answer(pos, sentiment, summary))
-    per_batch = batched.groupBy("execution_id", "batch_no").agg(
-        F.min("pos").alias("_low"),
-        F.array_sort(F.collect_list(F.struct("article_id", answer.alias("text")))).alias("_rows"),
-    )
-    whole = F.concat(
-        F.lit('{"results":['),
-        F.array_join(F.filter(F.col("_rows")["text"], lambda t: t.isNotNull()), ","), F.lit("]}"),
-    )
-    low = F.col("_low")
-    return per_batch.withColumn("_whole", whole).select(
-        "execution_id", "batch_no",
-        F.when(low % 13 == 6, None).when(low % 11 == 5, F.expr("left(_whole, length(_whole) - 7)"))
+
+    def answer(a: Column) -> Column:
+        pos = a["pos"]
+        sentiment = F.when(pos % 20 == 11, '"abc"').when(pos % 20 == 13, '"0.5"').otherwise(_plain_sentiment(pos))
+        summary = F.when(pos % 20 == 7, "").otherwise(F.concat(F.lit(',"summary":"About '), a["article_id"], F.lit('"')))
+        return F.when(pos % 20 != 3, _answer(lambda f: a[f], sentiment, summary))
+
+    whole = F.concat(F.lit('{"results":['), F.array_join(F.transform("articles", answer), ","), F.lit("]}"))
+    low = F.array_min(F.col("articles")["pos"])
+    return requests.withColumns({"_whole": whole, "_low": low}).select(
+        *requests.columns,
+        F.when(F.col("_low") % 13 == 6, None).when(F.col("_low") % 11 == 5, F.expr("left(_whole, length(_whole) - 7)"))
         .otherwise(F.col("_whole")).alias("raw_response"),
-        F.when(low % 13 == 6, "model call failed").alias("call_error"),
+        F.when(F.col("_low") % 13 == 6, "model call failed").alias("call_error"),
     )
 
 
-def retry_responses(retry: DataFrame) -> DataFrame:
-    """One raw answer per retried article. By pos % 7: 0 is a failed call, 1 leaves the article out
+def retry_responses(first: DataFrame) -> DataFrame:
+    """First-pass rows with one raw answer per queued article. By pos % 7: 0 is a failed call, 1 leaves the article out
     again, 2 is invalid again, the rest is fine."""
-    kind = F.col("pos") % 7
-    sentiment = F.when(kind == 2, '"abc"').otherwise(_plain_sentiment())
+    kind, queued = F.col("pos") % 7, F.col("state").isin(*QUEUED)
+    sentiment = F.when(kind == 2, '"abc"').otherwise(_plain_sentiment(F.col("pos")))
     summary = F.concat(F.lit(',"summary":"Again '), F.col("article_id"), F.lit('"'))
-    answer = F.when(kind == 1, "").otherwise(_answer(F.col("pos"), sentiment, summary))
-    return retry.select(
-        "execution_id", "article_id",
-        F.when(kind == 0, None)
-        .otherwise(F.concat(F.lit('{"results":['), answer, F.lit("]}"))).alias("raw_response"),
-        F.when(kind == 0, "model call failed").alias("call_error"),
-    )
+    answer = F.when(kind == 1, "").otherwise(_answer(F.col, sentiment, summary))
+    return first.withColumns({
+        "retry_response": F.when(queued & (kind != 0), F.concat(F.lit('{"results":['), answer, F.lit("]}"))),
+        "retry_error": F.when(queued & (kind == 0), "model call failed"),
+    })
+
+
+def settled_articles(spark: SparkSession, sf_dir: str, batched: DataFrame | None = None) -> DataFrame:
+    """Batched articles with the outcome of both passes. From the batches on no row moves."""
+    requests = request_rows(batched_articles(spark, sf_dir) if batched is None else batched)
+    return settle(retry_responses(first_pass(responses(requests))))
 
 
 # --- the same views in SQL -------------------------------------------------------------------

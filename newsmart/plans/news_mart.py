@@ -12,8 +12,7 @@ from newsmart.operators import export as X
 from newsmart.operators.regions import region_names
 from newsmart.plans.bindings import (
     ANSWERED, BATCHED, EXECUTIONS_SQL, NEWS, RUNS_NEWS, article_keys, articles, batched_articles, executions,
-    full_articles, responses, retry_responses, sql, table, with_places,
-    with_text,
+    full_articles, responses, settled_articles, sql, with_places, with_text, table,
 )
 from newsmart.plans.catalog import query
 from newsmart.plans.news_analytics import region_table
@@ -23,20 +22,13 @@ CUT = "1998-01-01"  # articles up to here were loaded earlier
 
 
 def first_pass(spark, sf):
-    """Articles with their batch answers. Batches and the outcome of the pass are read by several
-    branches, so each is written once."""
-    batched = durable(batched_articles(spark, sf))
-    return durable(E.first_pass(batched, responses(batched)))
+    """Articles with their batch answers."""
+    return E.first_pass(responses(E.request_rows(batched_articles(spark, sf))))
 
 
-def settled_articles(spark, sf):
-    """Written once as well: results, entities and dead letters are all read from it."""
-    return durable(E.settle(first_pass(spark, sf), retry_responses))
-
-
-def article_metrics(spark, sf):
+def article_metrics(spark, sf, batched=None):
     """Settled articles with word counts; words are counted once per document."""
-    done = settled_articles(spark, sf).filter(F.col("outcome") != "dlq")
+    done = settled_articles(spark, sf, batched).filter(F.col("outcome") != "dlq")
     counted = with_text(done, spark, sf, word_count=word_count(F.col("content_snippet")))
     return counted.withColumn("entity_count", F.size("entities_list"))
 
@@ -73,9 +65,10 @@ def empty(spark, ddl):
     return spark.createDataFrame([], ddl)
 
 
-def dim_source_table(spark, sf):
+def dim_source_table(spark, sf, rows=None):
     """Two loads: sources seen before the cut, then all. Articles shrink to one row per source first."""
-    rows = durable(articles(spark, sf).groupBy("source").agg(F.min("date").alias("date")))
+    rows = articles(spark, sf) if rows is None else rows
+    rows = durable(rows.groupBy("source").agg(F.min("date").alias("date")))
     first = M.merge_dim_source(empty(spark, S.DIM_SOURCE), rows.filter(F.col("date") < CUT))
     return M.merge_dim_source(first, rows)
 
@@ -86,14 +79,20 @@ def dim_date_table(spark, sf):
     return M.merge_dim_date(first, rows)
 
 
-def fact_table(spark, sf, sources=None):
-    """First load without measures, then the measures of all articles that got a result."""
-    sources = durable(dim_source_table(spark, sf)) if sources is None else sources
+def fact_and_sources(spark, sf):
+    """(fact, dim_source): a first load without measures, then the measures of all articles that got a result. The batched
+    articles are written once; sources, first load and results are read from them."""
+    batched = durable(batched_articles(spark, sf).select("execution_id", "batch_no", "article_id", "pos", "date", "source", "places"))
+    sources = durable(dim_source_table(spark, sf, batched))
     columns = ["article_id", "execution_id", "date", "source"]
     measures = ["word_count", "entity_count", "sentiment_score"]
-    bare = articles(spark, sf).select(*columns, *[F.lit(None).alias(c) for c in measures])
-    measured = article_metrics(spark, sf).select(*columns, *measures)
-    return M.upsert(M.fact_rows(bare, sources), durable(M.fact_rows(measured, sources)), M.KEYS)
+    bare = batched.select(*columns, *[F.lit(None).alias(c) for c in measures])
+    measured = article_metrics(spark, sf, batched).select(*columns, *measures)
+    return M.upsert(M.fact_rows(bare, sources), M.fact_rows(measured, sources), M.KEYS), sources
+
+
+def fact_table(spark, sf):
+    return fact_and_sources(spark, sf)[0]
 
 
 @query("batch_assign", sql(*BATCHED, body="SELECT article_id, execution_id, batch_no FROM batched"))
@@ -120,7 +119,7 @@ SELECT execution_id, batch_no, article_id,
        (1 + len(coalesce(places, [])))::INT AS n_entities, array_to_string(coalesce(places, []), ',') AS locations
 FROM answers WHERE pos % 20 <> 3 AND low % 13 <> 6 AND low % 11 <> 5"""))
 def responses_scan(spark, sf):
-    parsed = E.parse_answers(responses(batched_articles(spark, sf)))
+    parsed = E.parse_answers(responses(E.request_rows(batched_articles(spark, sf))))
     return E.answer_rows(parsed, ["execution_id", "batch_no"]).select(
         "execution_id", "batch_no", "article_id", F.col("sentiment_score").try_cast("double").alias("sentiment_score"),
         "summary", F.size("entities_list").alias("n_entities"), F.array_join("locations_list", ",").alias("locations"))
@@ -133,7 +132,7 @@ SELECT execution_id, article_id, CASE pos % 20 WHEN 7 THEN 'summary' WHEN 11 THE
          AS sentiment_score
 FROM answers WHERE pos % 20 <> 3 AND low % 13 <> 6 AND low % 11 <> 5"""))
 def validate_metrics(spark, sf):
-    parsed = E.parse_answers(responses(batched_articles(spark, sf)))
+    parsed = E.parse_answers(responses(E.request_rows(batched_articles(spark, sf))))
     checked = E.validate_metrics(E.answer_rows(parsed, ["execution_id", "batch_no"]))
     return checked.select("execution_id", "article_id", F.array_join("problems", ",").alias("problems"),
                           F.col("sentiment_score").cast("double").alias("sentiment_score"))
@@ -155,11 +154,28 @@ dlq AS (
               WHEN pos % 7 = 0 THEN 'model call failed' WHEN pos % 7 = 1 THEN '{E.MISSED_AGAIN}'
               ELSE 'invalid: sentiment_score' END AS error_reason
   FROM outcomes WHERE outcome = 'dlq')"""
+PASS_AT = "2024-01-01 00:00:00"
+DLQ_BODY = f"SELECT *, TIMESTAMP '{PASS_AT}' AS \"timestamp\" FROM dlq"
 
 
-@query("dlq_rows", sql(*ANSWERED, DLQ_SQL, body="SELECT * FROM dlq"))
+@query("dlq_rows", sql(*ANSWERED, DLQ_SQL, body=DLQ_BODY))
 def dlq_rows(spark, sf):
-    return E.dead_letters(settled_articles(spark, sf))
+    return E.dead_letters(settled_articles(spark, sf), F.lit(PASS_AT))
+
+
+@query("fact_update", sql(*MART, """
+old_fact AS (SELECT * FROM fact WHERE date_key < DATE '1997-01-01'),
+all_metrics AS (SELECT article_id, execution_id, word_count AS w, entity_count AS e, sentiment_score AS s FROM metrics)""", body="""
+SELECT article_id, execution_id, coalesce(w, 1)::INT AS word_count, coalesce(e, 2)::INT AS entity_count,
+       coalesce(s::DOUBLE, 3) AS sentiment_score
+FROM old_fact LEFT JOIN all_metrics USING (article_id, execution_id)"""))
+def fact_update(spark, sf):
+    """Facts of some years take the measures of all results; results of other years add no facts."""
+    batched = durable(batched_articles(spark, sf).select("execution_id", "batch_no", "article_id", "pos", "date", "source", "places"))
+    marks = {"word_count": F.lit(1), "entity_count": F.lit(2), "sentiment_score": F.lit(3).cast("decimal(5,2)")}
+    fact = batched.filter(F.col("date") < "1997-01-01").select("article_id", "execution_id").withColumns(marks)
+    done = E.fact_update(fact, article_metrics(spark, sf, batched))
+    return done.withColumn("sentiment_score", F.col("sentiment_score").cast("double"))
 
 
 @query("merge_metrics", sql(*ANSWERED, _METRICS_SQL, body="""
@@ -213,7 +229,7 @@ def enrich_update(spark, sf):
 SELECT article_id, execution_id, CASE WHEN outcome = 'dlq' AND retry_reason IS NULL THEN '[]' ELSE geodata END AS geodata
 FROM outcomes"""))
 def geodata_fallback(spark, sf):
-    first = first_pass(spark, sf)
+    first = durable(first_pass(spark, sf).select("article_id", "execution_id", "state", "geodata"))
     return E.geodata_fallback(first, first.filter(F.col("state") == "failed")).select("article_id", "execution_id", "geodata")
 
 
@@ -240,8 +256,8 @@ SELECT year(date_key)::INT AS year, source_name, count(*) AS n_articles, sum(wor
        sum(entity_count)::BIGINT AS entities, sum(sentiment_score)::DOUBLE / count(*) AS avg_sentiment
 FROM fact LEFT JOIN dim_source USING (source_id) GROUP BY 1, 2"""))
 def star_report(spark, sf):
-    sources = durable(dim_source_table(spark, sf))
-    return M.star_report(fact_table(spark, sf, sources), dim_date_table(spark, sf), sources, ["year", "source_name"])
+    fact, sources = fact_and_sources(spark, sf)
+    return M.star_report(fact, dim_date_table(spark, sf), sources, ["year", "source_name"])
 
 
 @query("avg_sentiment", sql(*MART, body="""
@@ -346,14 +362,10 @@ SELECT outcome AS stage, count(*) AS n FROM outcomes GROUP BY outcome
 UNION ALL SELECT 'target', count(*) FROM outcomes
 UNION ALL SELECT retry_reason, count(*) FROM outcomes WHERE retry_reason IS NOT NULL GROUP BY retry_reason"""))
 def funnel(spark, sf):
-    """Counters of an enrichment pass: target, missed, invalid, and the three outcomes."""
-    first = first_pass(spark, sf)
-    counted = lambda df, c: df.groupBy(F.col(c).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-    target = first.agg(F.count(F.lit(1)).alias("n")).select(F.lit("target").alias("stage"), "n")
-    return (
-        counted(E.settle(first, retry_responses), "outcome").unionByName(target)
-        .unionByName(counted(E.retry_queue(first), "state"))
-    )
+    """Counters of an enrichment pass: target, missed, invalid, and the three outcomes, counted in one go."""
+    stages = F.array(F.lit("target"), F.col("outcome"), F.when(F.col("state").isin(*E.QUEUED), F.col("state")))
+    each = settled_articles(spark, sf).select(F.explode(F.array_compact(stages)).alias("stage"))
+    return each.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("export_rows", sql(*ANSWERED, body="""

@@ -11,7 +11,7 @@ from newsmart.plans.bindings import (
 )
 from newsmart.plans.catalog import ORACLES, query
 from newsmart.plans.news_history import PROGRESS_SQL, STEPS
-from newsmart.plans.news_mart import DLQ_SQL
+from newsmart.plans.news_mart import DLQ_BODY, DLQ_SQL, PASS_AT
 from newsmart.streaming import limits as L
 from newsmart.streaming import runs as R
 
@@ -90,7 +90,7 @@ def _enriched(spark, sf):
         R.file_stream(spark, folder, rows.schema, files_per_batch=2), responses, retry_responses, base,
         ["article_id", "execution_id", "outcome", F.col("sentiment_score").cast("double").alias("sentiment_score"),
          F.size("entities_list").alias("entity_count")],
-        there.groupBy("execution_id").agg(F.count(F.lit(1)).alias("target")))
+        there.groupBy("execution_id").agg(F.count(F.lit(1)).alias("target")), F.lit(PASS_AT))
     return base
 
 
@@ -101,7 +101,7 @@ def stream_enrich(spark, sf):
     return spark.read.parquet(f"{_enriched(spark, sf)}/metrics").drop("batch")
 
 
-@query("stream_dlq", sql(*ANSWERED, DLQ_SQL, body="SELECT * FROM dlq"))
+@query("stream_dlq", sql(*ANSWERED, DLQ_SQL, body=DLQ_BODY))
 def stream_dlq(spark, sf):
     return spark.read.parquet(f"{_enriched(spark, sf)}/dlq").drop("batch")
 

@@ -96,15 +96,17 @@ def append_files(stream: DataFrame, base: str) -> str:
 
 def enrich_stream(
     batched: DataFrame,
-    answers: Callable[[DataFrame], DataFrame],
-    retry_answers: Callable[[DataFrame], DataFrame],
+    ask: Callable[[DataFrame], DataFrame],
+    ask_again: Callable[[DataFrame], DataFrame],
     base: str,
     columns: list[str | Column],
     targets: DataFrame | None = None,
+    passed_at: Column | None = None,
 ) -> None:
     """Enriches arriving batches: results go to ``metrics``, failures to ``dlq``, and one progress row an article to
     ``events``. Rows of one model batch must arrive in one file. The stream's checkpoint takes the place of looking for
-    unfinished articles.
+    unfinished articles. ``ask`` adds raw_response and call_error to requests (``enrich.request_rows``), ``ask_again``
+    retry_response and retry_error to rows of the first pass.
 
     The model is asked once: its answers are written under the micro-batch's number before anything reads them, and so are
     the retries'. A micro-batch that is repeated after a failure goes on from the answers that are there.
@@ -117,12 +119,11 @@ def enrich_stream(
 
     def each(rows: DataFrame, number: int) -> None:
         at = lambda kind: batch_folder(f"{base}/{kind}", number)
-        asked = written_once(spark, at("answers"), lambda: answers(rows))
-        first = written_once(spark, at("first"), lambda: E.first_pass(rows, asked))
-        again = written_once(spark, at("retries"), lambda: retry_answers(E.retry_queue(first)))
-        settled = written_once(spark, at("settled"), lambda: E.settle(first, lambda _: again))
+        answered = written_once(spark, at("answers"), lambda: ask(E.request_rows(rows)))
+        retried = written_once(spark, at("retries"), lambda: ask_again(E.first_pass(answered)))
+        settled = E.settle(retried)
         settled.filter(F.col("outcome") != "dlq").select(*columns).write.mode("overwrite").parquet(at("metrics"))
-        E.dead_letters(settled).write.mode("overwrite").parquet(at("dlq"))
+        E.dead_letters(settled, passed_at).write.mode("overwrite").parquet(at("dlq"))
         events = written_once(spark, at("events"), lambda: article_events(settled, done.read(), targets))
         done.merge(events.groupBy("execution_id").agg(F.max("current").alias("current")), number)
 

@@ -23,7 +23,7 @@ def record(article, score=0.5, **changes):
 def run_first(spark, articles, answers):
     batched = spark.createDataFrame(articles, "execution_id STRING, article_id STRING, batch_no LONG")
     raw = spark.createDataFrame(answers, "execution_id STRING, batch_no LONG, raw_response STRING, call_error STRING")
-    return E.first_pass(batched, raw)
+    return E.first_pass(E.with_answers(E.request_rows(batched), raw, ["execution_id", "batch_no"]))
 
 
 def test_record_rules(spark):
@@ -264,11 +264,28 @@ def test_payload(spark, text):
     assert got.payload == "\n----\nARTICLE ID: a\nTITLE: T\nTEXT: " + "x" * 3000 + "\n\n----\nARTICLE ID: b\nTEXT: \n"
 
 
+def test_facts_take_the_measures_of_results(spark):
+    fact = spark.createDataFrame([("a", "e", 1, 1, 1), ("b", "e", 2, 2, 2)], "article_id STRING, execution_id STRING, word_count INT, entity_count INT, sentiment_score INT")
+    fact = fact.withColumn("sentiment_score", F.col("sentiment_score").cast("decimal(5,2)"))
+    new = spark.createDataFrame([("a", "e", 9, 8, None), ("c", "e", 7, 7, 0.5), ("b", "other", 7, 7, 0.5)], "article_id STRING, execution_id STRING, word_count INT, entity_count INT, sentiment_score DOUBLE")
+    got = E.fact_update(fact, new)
+    assert got.schema == fact.schema
+    assert sorted(map(tuple, got.collect())) == [("a", "e", 9, 8, None), ("b", "e", 2, 2, 2)]
+
+
+def test_requests_carry_their_articles(spark):
+    rows = [("e", 0, "b", {"k": 1}), ("e", 0, "a", None), ("f", 0, "c", {})]
+    df = spark.createDataFrame(rows, "execution_id STRING, batch_no LONG, article_id STRING, extra MAP<STRING, INT>")
+    got = {r.execution_id: [(a.article_id, a.extra) for a in r.articles] for r in E.request_rows(df).collect()}
+    assert got == {"e": [("a", None), ("b", {"k": 1})], "f": [("c", {})]}
+
+
 def test_batches_and_retries_without_an_answer_row_are_dead_letters(spark):
     good = json.dumps({"results": [record("a")]})
     first = run_first(spark, [("e", "a", 0), ("e", "b", 0), ("e", "c", 1)], [("e", 0, good, None)])
     silent = spark.createDataFrame([], "execution_id STRING, article_id STRING, raw_response STRING, call_error STRING")
-    rows = {r.article_id: r for r in E.settle(first, lambda queue: silent).collect()}
+    retried = E.with_answers(first, silent, ["execution_id", "article_id"], "retry_response", "retry_error")
+    rows = {r.article_id: r for r in E.settle(retried).collect()}
     assert {a: (r.outcome, r.error_reason) for a, r in rows.items()} == {
         "a": ("valid", None), "b": ("dlq", "no response"), "c": ("dlq", "no response")}
     assert rows["c"].raw_response == "None" and rows["b"].raw_response == ""

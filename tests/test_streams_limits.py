@@ -227,13 +227,13 @@ def test_model_is_asked_once(spark, tmp_path):
     folder, base = land(spark, tmp_path, df, "pos", 2), R.new_folder(spark, "t")
     failing = {"retries": True}
 
-    def answers(batched):
-        return E.call_model(E.request_rows(batched), model)
+    def answers(requests):
+        return E.call_model(requests, model)
 
-    def retries(queue):
+    def retries(first):
         if failing["retries"]:
             raise RuntimeError("lost")
-        return E.call_model(E.request_rows(queue, single=True), model)
+        return E.call_again(first, model)
 
     targets = df.groupBy("execution_id").agg(F.count(F.lit(1)).alias("target"))
 
