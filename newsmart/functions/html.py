@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import html as html_text
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -82,47 +80,29 @@ def drop_noise(page: str | None) -> str | None:
     return "".join(parser.out)
 
 
-class _ImageFinder(HTMLParser):
-    """First declared images by kind and all picture elements, in page order."""
+class _Images(HTMLParser):
+    """Addresses of a page's images by the place that names them."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.declared: dict[str, str | None] = {}
-        self.pictures: list[str] = []
+        self.found: list[list[str]] = [[] for _ in S.IMAGE_PLACES]
 
     def handle_starttag(self, tag, attrs):
-        named = dict(attrs)
-        if tag == "meta" and named.get("property") == "og:image":
-            self.declared.setdefault("og", named.get("content"))
-        if tag == "meta" and named.get("name") == "twitter:image":
-            self.declared.setdefault("twitter", named.get("content"))
-        if tag == "link" and "image_src" in (named.get("rel") or "").split():
-            self.declared.setdefault("link", named.get("href"))
-        if tag == "img" and named.get("src") and not named["src"].startswith("data:"):
-            self.pictures.append(named["src"])
+        named = {k: v or "" for k, v in reversed(attrs)}
+        for (place, naming, name, address), found in zip(S.IMAGE_PLACES, self.found):
+            if tag == place and (naming is None or name in (named.get(naming, "").split() if naming == "rel" else [named.get(naming)])):
+                found.append(named.get(address, ""))
 
     handle_startendtag = handle_starttag
 
 
-def choose_image(page: str | None, base: str | None) -> str:
-    """First usable image address: declared ones, then pictures; no data: text, no logos and the like."""
-    if not page:
-        return ""
-    finder = _ImageFinder()
-    finder.feed(page)
-    finder.close()
-    candidates = [finder.declared.get(k) for k in ("og", "twitter", "link")] + finder.pictures
-    for candidate in candidates:
-        address = html_text.unescape(candidate or "").strip()
-        if not address or any(w in address.lower() for w in S.BAD_IMAGE_WORDS):
-            continue
-        if base and not address.startswith(("http", "//")):
-            address = urljoin(base, address)
-        if address.startswith("//"):
-            address = "https:" + address
-        if address.startswith("http"):
-            return address
-    return ""
+def image_addresses(page: str | None) -> list[str]:
+    """What a page offers as its image, best first: the first of each place that declares one, then all pictures."""
+    tree = _Images()
+    tree.feed(page or "")
+    tree.close()
+    *declared, pictures = tree.found
+    return [found[0] for found in declared if found] + pictures
 
 
 @F.pandas_udf(T.StringType())
@@ -130,6 +110,6 @@ def strip_noise(pages: pd.Series) -> pd.Series:
     return pages.map(drop_noise)
 
 
-@F.pandas_udf(T.StringType())
-def lead_image(pages: pd.Series, bases: pd.Series) -> pd.Series:
-    return pd.Series([choose_image(p, b) for p, b in zip(pages, bases)])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def page_images(pages: pd.Series) -> pd.Series:
+    return pages.map(image_addresses)

@@ -47,6 +47,12 @@ def filter_chips(filters: Column) -> Column:
     )
 
 
+def trigger_label(selected: Column, kind: str) -> Column:
+    """Text of a filter's button: all, the one that is picked, or how many are."""
+    n = F.size(F.coalesce(selected, F.array().cast("array<string>")))
+    return F.when(n == 0, f"All {kind}s").when(n == 1, F.get(selected, F.lit(0))).otherwise(F.concat(n, F.lit(f" {kind}s")))
+
+
 def compact_json(**fields: Column) -> Column:
     """JSON object without NULL, '' and [] members; 0 and false stay."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))

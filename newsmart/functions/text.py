@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,29 +143,40 @@ def first_object(c: Column) -> Column:
     return blank_to_null(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
 
 
+def _holds_any(c: Column, words: Sequence[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+
+
 def message_class(c: Column) -> Column:
-    """error / complete / running out of a progress message."""
-    low = F.lower(c)
-    failed = c.contains("Error") | c.contains("❌") | low.contains("failed")
-    done = c.contains("éxito")
-    for word in ("exito", "complete", "completado", "success", "iniciado"):
-        done = done | low.contains(word)
-    return F.when(failed, "error").when(done, "complete").otherwise("running")
+    """error / complete / running out of a progress message: the first class of the table that has a word in it."""
+    known = [F.when(_holds_any(c, exact) | _holds_any(F.lower(c), any_case), F.lit(name)) for name, exact, any_case in S.MESSAGE_CLASSES]
+    return F.coalesce(*known, F.lit("running"))
 
 
 def step_label(c: Column) -> Column:
-    """English label of a progress step; the '(n/m)...' counter is kept."""
-    counter = F.regexp_extract(c, r"(?i)(?:Analizando artículos|Analyzing articles)\s*(\(\d+/\d+\)\.\.\.)", 1)
-    either = lambda a, b: c.contains(a) | c.contains(b)
+    """English label of a progress step by the table of labels; the '(n/m)...' counter of a running analysis is kept."""
+    counter = blank_to_null(F.regexp_extract(c, r"(?i)Anal(?:izando artículos|yzing articles)\s*(\(\d+/\d+\)\.\.\.)", 1))
+    known = [F.when(_holds_any(c, words), F.lit(label)) for words, label in S.STEP_LABELS]
+    return F.coalesce(F.concat(F.lit("Analyzing articles "), counter), *known, F.when(c != "", c), F.lit(S.DEFAULT_STEP))
+
+
+def resolve_url(address: Column, base: Column) -> Column:
+    """A page's relative address made whole by the page's own: rooted, beside it, or a query of it; '.' and '..' are walked."""
+    part = lambda n: F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)", n)
+    site, folder = F.concat(part(1), part(2)), F.regexp_replace(part(3), r"[^/]*$", "")
+    path = F.regexp_extract(address, r"^[^?#]*", 0)
+    rest = F.substring(address, F.char_length(path) + 1, F.char_length(address))
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    steps = F.split(whole, "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(
+        steps, none, lambda done, s: F.when(s == "..", F.when(F.size(done) > 1, up(done)).otherwise(done)).when(s == ".", done).otherwise(F.array_append(done, s)))
+    ends = F.element_at(steps, -1).isin(".", "..")
+    joined = F.concat(F.array_join(walked, "/"), F.when(ends, "/").otherwise(""))
     return (
-        F.when(F.coalesce(c, F.lit("")) == "", S.DEFAULT_STEP)
-        .when(counter != "", F.concat(F.lit("Analyzing articles "), counter))
-        .when(either("Extrayendo texto", "Extracting text"), "Extracting text from articles...")
-        .when(either("Iniciando análisis", "Starting LLM"), "Starting LLM analysis...")
-        .when(either("Análisis completo", "Analysis complete"), "Analysis complete.")
-        .when(either("Buscando artículos", "Fetching discovery"), "Fetching news and metadata from Google...")
-        .when(either("Extracción finalizada", "Extraction complete"), "Articles successfully collected.")
-        .otherwise(c)
+        F.when(address.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), address).when(address.startswith("//"), F.concat(part(1), address))
+        .when(path == "", F.concat(site, part(3), rest)).otherwise(F.concat(site, joined, rest))
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsmart import schemas as S
 from newsmart.functions.dates import iso_utc, minutes_seconds, seconds_between
+from newsmart.functions.text import blank_to_null
 from newsmart.operators.ranking import first_rows, table_position
 
 
@@ -184,3 +185,15 @@ def run_kind() -> list[Column]:
         F.when(status.eqNullSafe("COMPLETED"), "analyzed").otherwise("raw").alias("run_type"),
         (F.col("total_articles") == 0).alias("is_empty"),
     ]
+
+
+def run_chips(runs: DataFrame, by: str, shown: int = S.CHIPS_SHOWN) -> DataFrame:
+    """(by, chips): labels of the first runs of each selection (by execution_id), and how many more there are. Only these
+    first runs and a count leave a task, however many runs a selection has."""
+    label = F.coalesce(blank_to_null(F.col("search_term")), F.substring("execution_id", 1, 8))
+    named = runs.select(by, "execution_id", label.alias("label"))
+    first = first_rows(named, [by], [F.col("execution_id")], shown).groupBy(by).agg(
+        F.array_sort(F.collect_list(F.struct("execution_id", "label")))["label"].alias("_first"))
+    counts = named.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    more = F.when(F.col("_n") > shown, F.array(F.concat(F.lit("+"), F.col("_n") - shown, F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return first.join(counts, by).select(by, F.concat("_first", more).alias("chips"))

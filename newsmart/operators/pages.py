@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
-from newsmart.functions.html import lead_image, strip_noise
+from newsmart.functions.html import page_images, strip_noise
+from newsmart.functions.text import resolve_url, strip
 
 #: HTML5 names of characters as JSON text, from the standard library.
 NAMES = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
@@ -67,5 +68,16 @@ def page_extract(pages: DataFrame, clean: bool = False) -> DataFrame:
     return bare.withColumn("text", F.when(enough, main).otherwise(visible_text(F.col("_html")))).drop("_html")
 
 
+def lead_image(html: Column, url: Column) -> Column:
+    """First usable image address of a page, whole; empty if there is none. The page tree only lists what the page offers;
+    blanks, data: pictures, logos and the like go here, and relative addresses are resolved against the page's own."""
+    bad = "|".join(S.BAD_IMAGE_WORDS)
+    offered = F.filter(F.transform(page_images(html), strip), lambda a: (a != "") & ~F.lower(a).rlike(bad) & ~a.startswith("data:"))
+    page = F.coalesce(url, F.lit(""))
+    near = lambda a: F.when(a.startswith("http") | a.startswith("//") | (page == ""), a).otherwise(resolve_url(a, page))
+    whole = F.transform(F.transform(offered, near), lambda a: F.when(a.startswith("//"), F.concat(F.lit("https:"), a)).otherwise(a))
+    return F.coalesce(F.get(F.filter(whole, lambda a: a.startswith("http")), F.lit(0)), F.lit(""))
+
+
 def with_lead_image(pages: DataFrame) -> DataFrame:
     return pages.withColumn("image_url", lead_image(F.col("html"), F.col("url")))

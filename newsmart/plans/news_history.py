@@ -48,17 +48,25 @@ latest_progress AS (
   FROM progress GROUP BY run_id)"""
 
 HISTORY_SQL = """
+all_runs AS (
+  SELECT * FROM executions
+  UNION ALL SELECT 'empty-' || n_nationkey, TIMESTAMP '2024-02-01' + to_minutes(n_nationkey), 'Nothing in ' || n_name,
+    '{"country":"' || n_name || '"}', n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'SCRAPED' ELSE 'COMPLETED' END, NULL, NULL FROM nation),
 history AS (
-  SELECT e.*, coalesce(n, 0) AS total_articles FROM executions e
-  LEFT JOIN (SELECT execution_id, count(*) AS n FROM articles
-             WHERE CAST(execution_id AS INT) % 9 <> 4 GROUP BY execution_id) USING (execution_id))"""
+  SELECT e.*, coalesce(n, 0) AS total_articles FROM all_runs e
+  LEFT JOIN (SELECT execution_id, count(*) AS n FROM articles GROUP BY execution_id) USING (execution_id))"""
 HISTORY = (*RUNS_NEWS, HISTORY_SQL)
 
 
 def history(spark, sf):
-    """Runs with counts; the articles of every ninth run are left out so that empty runs occur."""
-    kept = article_keys(spark, sf).filter(F.col("execution_id").cast("int") % 9 != 4)
-    return H.history_list(executions(spark, sf), kept)
+    """Runs with counts; a run for each nation has found nothing."""
+    empty = table(spark, sf, "nation").select(
+        F.concat(F.lit("empty-"), "n_nationkey").alias("execution_id"),
+        F.expr("timestamp'2024-02-01 00:00:00' + make_interval(0, 0, 0, 0, 0, n_nationkey)").alias("timestamp"),
+        F.concat(F.lit("Nothing in "), "n_name").alias("search_term"), F.concat(F.lit('{"country":"'), "n_name", F.lit('"}')).alias("filters"),
+        F.when(F.col("n_nationkey") % 2 == 0, "SCRAPED").otherwise("COMPLETED").alias("status"),
+        F.lit(None).cast("timestamp").alias("end_time"), F.lit(None).cast("timestamp").alias("scraped_at"))
+    return H.history_list(executions(spark, sf).unionByName(empty), article_keys(spark, sf))
 
 
 @query("history_list", sql(*HISTORY, body="""
@@ -103,6 +111,24 @@ def filter_chips(spark, sf):
         F.coalesce(F.try_element_at(stored, F.lit("qrangedate")), F.lit("All time")).alias("dates"))
 
 
+@query("run_chips", sql(*RUNS, """
+numbered AS (SELECT status, search_term, row_number() OVER (PARTITION BY status ORDER BY execution_id) AS rn,
+                    count(*) OVER (PARTITION BY status) AS n FROM executions)""", body="""
+SELECT status, string_agg(search_term, ' | ' ORDER BY rn) FILTER (WHERE rn <= 3) ||
+       CASE WHEN any_value(n) > 3 THEN ' | +' || any_value(n) - 3 || ' more' ELSE '' END AS chips FROM numbered GROUP BY status"""))
+def run_chips(spark, sf):
+    """Chips of a view over all runs of a status."""
+    return H.run_chips(executions(spark, sf), "status").select("status", F.array_join("chips", " | ").alias("chips"))
+
+
+@query("trigger_label", sql(*NEWS, body="""
+SELECT article_id, execution_id, CASE len(coalesce(places, [])) WHEN 0 THEN 'All States' WHEN 1 THEN places[1] ELSE len(places) || ' States' END AS label
+FROM articles"""))
+def trigger_label(spark, sf):
+    """Button text if the places of an article were the ones picked."""
+    return articles(spark, sf).select("article_id", "execution_id", N.trigger_label(F.col("places"), "State").alias("label"))
+
+
 @query("execution_country", sql(*RUNS, body="""
 SELECT execution_id, CASE CAST(execution_id AS INT) % 4 WHEN 0 THEN 'mx' WHEN 1 THEN 'mx' ELSE country END AS country
 FROM executions"""))
@@ -118,6 +144,8 @@ def execution_country(spark, sf):
 SELECT execution_id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'mx' END AS key,
        CASE WHEN n_nationkey % 2 = 0 THEN 'Country of ' || n_name ELSE 'Mexico' END AS country_name,
        CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'es' END AS hl,
+       CASE WHEN n_nationkey % 2 = 0 THEN 1.5 ELSE 23.6345 END::DOUBLE AS lat, CASE WHEN n_nationkey % 2 = 0 THEN 2.5 ELSE -102.5528 END::DOUBLE AS lon,
+       CASE WHEN n_nationkey % 2 = 0 THEN 4 ELSE 5 END::INT AS zoom, n_nationkey % 2 = 1 AS has_hints,
        n_nationkey % 2 = 1 OR n_nationkey IN (SELECT min(n_nationkey) FROM nation GROUP BY n_regionkey) AS has_map
 FROM executions JOIN nation ON country = n_name"""))
 def country_config(spark, sf):
@@ -136,7 +164,7 @@ def country_config(spark, sf):
     runs = G.resolve_country(executions(spark, sf), settings)
     flags = mapped.select("key", F.lit(True).alias("has_map"))
     return runs.join(flags, "key", "left").select(
-        "execution_id", "key", "country_name", "hl", F.coalesce("has_map", F.lit(False)).alias("has_map"))
+        "execution_id", "key", "country_name", "hl", "lat", "lon", "zoom", (F.col("llm_hints") != "").alias("has_hints"), F.coalesce("has_map", F.lit(False)).alias("has_map"))
 
 
 @query("regions_scan", """

@@ -32,6 +32,9 @@ def chat_key(spark):
 
 # --- feeds and pages --------------------------------------------------------------------------
 
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"  # what XML does not allow
+
+
 def feed_items(spark, sf):
     """documents -> one feed item text each; the feed is the document's source, the place its doc_id.
     Every tenth date is no date, every seventh item has no source, every fifth a picture."""
@@ -41,7 +44,8 @@ def feed_items(spark, sf):
     when = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, doc_id % 8000)")
     date = F.when(doc % 10 == 9, "yesterday").otherwise(F.date_format(when, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
     picture = F.when(doc % 5 == 0, F.concat(F.lit('<img alt="x" src="https://img.example/'), doc, F.lit('.jpg">'))).otherwise("")
-    body = F.concat(F.lit("<p>"), F.coalesce(F.regexp_extract("text", r"^([\p{L} ]*)", 1), F.lit("")), F.lit("</p>"), picture)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), CONTROL, " ")
+    body = F.concat(F.lit("<p>"), escape(text), F.lit("</p>"), picture)
     source = F.when(doc % 7 != 0, F.concat(
         F.lit('<source url="https://'), "source", F.lit('.example">Source '), "source", F.lit("</source>"))).otherwise("")
     xml = F.concat(
@@ -59,7 +63,7 @@ SELECT source AS feed, doc_id AS pos, 'g' || doc_id AS guid, 'Item & ' || doc_id
             ELSE strftime(TIMESTAMP '2024-01-01' + to_hours(doc_id % 8000), '%Y-%m-%d %H:%M:%S') END AS date,
        CASE WHEN doc_id % 7 = 0 THEN 'Desconocido' ELSE 'Source ' || source END AS source,
        CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'https://' || source || '.example' END AS source_url,
-       trim(regexp_replace(regexp_extract(text, '^([\\p{L} ]*)', 1), ' +', ' ', 'g'), ' ') AS summary,
+       trim(regexp_replace(coalesce(text, ''), '[\\x00-\\x20\\x7f]+', ' ', 'g'), ' ') AS summary,
        CASE WHEN doc_id % 5 = 0 THEN 'https://img.example/' || doc_id || '.jpg' END AS feed_image_url
 FROM items WHERE rn <= 300""")
 def rss_items(spark, sf):
@@ -226,33 +230,61 @@ def question_keywords(spark, sf):
 
 _LOG = ["Error: timeout", "Resolving URL for: x", "All processing complete!", "Extracción con éxito", "lote iniciado", "FAILED once"]
 _STEPS = ["Analizando artículos (5/11)...", "Extrayendo texto de artículos", "Iniciando análisis LLM", "Análisis completo",
-          "Fetching discovery (10%)...", ""]
+          "Fetching discovery (10%)...", "nothing known"]
 
 
-@query("log_class", f"""
-SELECT event_id, ['error','running','complete','complete','complete','error'][event_id % 6 + 1] AS message_class,
-  ['Analyzing articles (5/11)...','Extracting text from articles...','Starting LLM analysis...','Analysis complete.',
-   'Fetching news and metadata from Google...','{S.DEFAULT_STEP}'][event_id % 6 + 1] AS step FROM events""")
-def log_class(spark, sf):
-    at = (F.col("event_id") % 6 + 1).cast("int")
-    message = F.element_at(F.array(*[F.lit(m) for m in _LOG]), at)
-    step = F.element_at(F.array(*[F.lit(m) for m in _STEPS]), at)
-    return table(spark, sf, "events").select(
-        "event_id", X.message_class(message).alias("message_class"), X.step_label(step).alias("step"))
+def _listed_sql(words):
+    return "[" + ",".join(f"'{w}'" for w in words) + "][turn % 6 + 1]"
+
+
+def _any_sql(text, words):
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-@query("fenced_blocks", """
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'SELECT ' || turn || ' AS t' WHEN 1 THEN 'select 1' END AS statement,
-  CASE turn % 3 WHEN 2 THEN '{"locations": ["A' || turn || '"]}' END AS object FROM conversations""")
+_SAID_SQL = f"""
+said AS (
+  SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE substring(text, 1, length(text) // 2) || ' ' || {_listed_sql(_LOG)} || ' ' || text END AS m,
+         CASE WHEN text = '' THEN '' WHEN turn % 7 = 0 THEN text ELSE text || {_listed_sql(_STEPS)} || text END AS s
+  FROM conversations)"""
+_CLASS_SQL = " ".join(f"WHEN {_any_sql('m', e)} OR {_any_sql('lower(m)', a)} THEN '{n}'" for n, e, a in S.MESSAGE_CLASSES)
+_LABEL_SQL = " ".join(f"WHEN {_any_sql('s', words)} THEN '{label}'" for words, label in S.STEP_LABELS)
+_COUNTER_SQL = r"'(?i)Anal(izando artículos|yzing articles)\s*(\(\d+/\d+\)\.\.\.)'"
+
+
+@query("log_class", sql(_SAID_SQL, body=f"""
+SELECT conv_id, turn, CASE {_CLASS_SQL} ELSE 'running' END AS message_class,
+  CASE WHEN s = '' THEN '{S.DEFAULT_STEP}' WHEN regexp_matches(s, {_COUNTER_SQL})
+       THEN 'Analyzing articles ' || regexp_extract(s, {_COUNTER_SQL}, 2) {_LABEL_SQL} ELSE s END AS step
+FROM said"""))
+def log_class(spark, sf):
+    """Messages and steps inside whole chat texts."""
+    text, at = F.col("text"), (F.col("turn") % 6 + 1).cast("int")
+    listed = lambda words: F.element_at(F.array(*map(F.lit, words)), at)
+    half = F.substring(text, F.lit(1), F.expr("char_length(text) div 2"))
+    message = F.when(F.col("turn") % 2 == 0, text).otherwise(F.concat_ws(" ", half, listed(_LOG), text))
+    step = F.when(text == "", "").when(F.col("turn") % 7 == 0, text).otherwise(F.concat(text, listed(_STEPS), text))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", X.message_class(message).alias("message_class"), X.step_label(step).alias("step"))
+
+
+@query("fenced_blocks", r"""
+WITH told AS (
+  SELECT conv_id, turn, CASE turn % 4
+    WHEN 0 THEN text || chr(10) || '```SQL' || chr(10) || ' SELECT "' || text || '" AS t' || chr(10) || '```' || text
+    WHEN 1 THEN '  Select "' || text || '" ' WHEN 2 THEN text || '```json {"locations": ["' || text || '"]}' || chr(10) || '``` ' || text ELSE text END AS t
+  FROM conversations), bare AS (SELECT *, trim(t, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS b FROM told)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?is)```sql\s*.*?\s*```') THEN trim(regexp_extract(t, '(?is)```sql\s*(.*?)\s*```', 1))
+    WHEN starts_with(lower(b), 'select') THEN b END AS statement,
+  nullif(regexp_extract(replace(replace(t, '```json', ''), '```', ''), '(?s)(\{.*\})', 1), '') AS object FROM bare""")
 def fenced_blocks(spark, sf):
-    turn = F.col("turn")
-    text = (
-        F.when(turn % 3 == 0, F.concat(F.lit("Here:\n```SQL\n SELECT "), turn, F.lit(" AS t\n```\nbye")))
-        .when(turn % 3 == 1, " select 1 ")
-        .otherwise(F.concat(F.lit('Sure ```json\n{"locations": ["A'), turn, F.lit('"]}\n``` done'))))
+    """Blocks around and between whole chat texts."""
+    text, kind = F.col("text"), F.col("turn") % 4
+    told = (
+        F.when(kind == 0, F.concat(text, F.lit('\n```SQL\n SELECT "'), text, F.lit('" AS t\n```'), text))
+        .when(kind == 1, F.concat(F.lit('  Select "'), text, F.lit('" ')))
+        .when(kind == 2, F.concat(text, F.lit('```json {"locations": ["'), text, F.lit('"]}\n``` '), text)).otherwise(text))
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", X.fenced_sql(text).alias("statement"),
-        F.when(turn % 3 == 2, X.first_object(text)).alias("object"))
+        "conv_id", "turn", X.fenced_sql(told).alias("statement"), X.first_object(told).alias("object"))
 
 
 def cited_answers(spark, sf):

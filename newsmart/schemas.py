@@ -68,6 +68,19 @@ DEFAULT_COUNTRY = "mx"
 DEFAULT_QUERY = "noticias"
 DEFAULT_STEP = "Starting..."
 DEFAULT_SOURCE = "Desconocido"
+# Texts of progress steps and the label shown for them.
+STEP_LABELS = [
+    (("Extrayendo texto", "Extracting text"), "Extracting text from articles..."),
+    (("Iniciando análisis", "Starting LLM"), "Starting LLM analysis..."),
+    (("Análisis completo", "Analysis complete"), "Analysis complete."),
+    (("Buscando artículos", "Fetching discovery"), "Fetching news and metadata from Google..."),
+    (("Extracción finalizada", "Extraction complete"), "Articles successfully collected."),
+]
+# Classes of progress messages: words as written, words in any case.
+MESSAGE_CLASSES = [
+    ("error", ("Error", "❌"), ("failed",)),
+    ("complete", ("éxito",), ("exito", "complete", "completado", "success", "iniciado")),
+]
 
 # --- Fixed values: limits --------------------------------------------------------------------
 
@@ -82,6 +95,7 @@ MIN_ARTICLE_CHARS = 200
 MIN_EXTRACT_CHARS = 100
 SQL_ROWS = 50
 CHAT_TURNS = 6
+CHIPS_SHOWN = 3
 RATE_WINDOW_SEC = 60
 RATE_LIMIT = 10
 DISCOVERY_RATE_LIMIT = 15
@@ -93,6 +107,11 @@ NOISE_CLASS_TAGS = ["div", "ul", "li", "section"]
 NOISE_WORDS = [
     "share", "social", "whatsapp", "twitter", "facebook", "linkedin", "email", "print", "newsletter", "ads",
 ]
+# Places of a page that name its image: tag, attribute that tells the kind and its value, attribute with the address.
+IMAGE_PLACES = [
+    ("meta", "property", "og:image", "content"), ("meta", "name", "twitter:image", "content"),
+    ("link", "rel", "image_src", "href"), ("img", None, None, "src"),
+]
 BAD_IMAGE_WORDS = [
     "logo", "icon", "avatar", "advertisement", "facebook", "twitter", "share", "banner", "placeholder",
 ]
@@ -135,9 +154,9 @@ COLOUR_LOWEST = "#c6dafc"
 COLOUR_NONE = "#e8eaed"
 COUNTRY_DEFAULTS = {
     "mx": {"country_name": "Mexico", "center": [23.6345, -102.5528], "zoom": 5, "hl": "es", "gl": "MX",
-           "ceid": "MX:es"},
+           "ceid": "MX:es", "llm_hints": "CDMX and DF are Ciudad de México, Edomex is Estado de México; México alone needs its context."},
     "usa": {"country_name": "United States", "center": [39.8283, -98.5795], "zoom": 4, "hl": "en", "gl": "US",
-            "ceid": "US:en"},
+            "ceid": "US:en", "llm_hints": "Postal abbreviations such as TX or CA stand for the states."},
 }
 REGION_ALIASES = {"CDMX": "Ciudad de México", "DF": "Ciudad de México", "Edomex": "Estado de México"}
 

@@ -34,7 +34,9 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 def config_rows(config: DataFrame) -> DataFrame:
     """JSON text of the country settings (column ``config``) -> one row per country key."""
     entries = config.select(F.explode(F.from_json("config", S.COUNTRY_CONFIG)).alias("key", "_c"))
-    return entries.select("key", F.coalesce("_c.country_name", "key").alias("country_name"), "_c.hl", "_c.gl", "_c.ceid")
+    return entries.select("key", F.coalesce("_c.country_name", "key").alias("country_name"), "_c.hl", "_c.gl", "_c.ceid",
+                          F.get("_c.center", F.lit(0)).alias("lat"), F.get("_c.center", F.lit(1)).alias("lon"), "_c.zoom",
+                          F.coalesce("_c.llm_hints", F.lit("")).alias("llm_hints"))
 
 
 def default_config_json() -> str:
