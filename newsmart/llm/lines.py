@@ -98,22 +98,6 @@ def _sum_parts(group: pa.Table) -> pa.Table:
     return pa.table({"part": group.column("part").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def _occurrences():
-    """Rows (line, id, key, no) of all lines that hold words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            doc, number, _, whole = lines_of(batch)
-            has = np.flatnonzero(whole)
-            own = pa.array(doc[has])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(whole[has].view(np.int64)), batch.column("id").take(own), batch.column("key").take(own), pa.array(number[has].astype(np.int32))],
-                ["line", "id", "key", "no"],
-            )
-
-    return run
-
-
 def _prefixes(k: int, rarity, similar: float):
     """Rows (token, line, n, at, id, no): the prefix tokens of each line; a block's equal lines once, at the earliest."""
 
@@ -139,20 +123,24 @@ def _prefixes(k: int, rarity, similar: float):
     return run
 
 
-def _sets(k: int, rarity, wanted):
-    """Rows (line, tokens) of the lines that the bit map holds; a block's equal lines once."""
+def _occurrences(k: int, rarity, wanted):
+    """Rows (line, id, key, no, tokens) of all lines that hold words; tokens where the bit map holds the line, once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            _, _, w, whole = lines_of(batch)
+            doc, number, w, whole = lines_of(batch)
             first = np.zeros(len(whole), bool)
             first[np.unique(whole, return_index=True)[1]] = True
             place = (whole & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
             first &= (whole != 0) & ((wanted.value[place >> 3] >> (place & 7)) & 1 == 1)
             token, bounds = token_sets(*line_tokens(w, k, first), rarity.value, len(whole))
-            own = np.flatnonzero(first)
-            offsets = pa.array(np.append(bounds[own], len(token)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(whole[own].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64)))], ["line", "tokens"])
+            has = np.flatnonzero(whole)
+            own = pa.array(doc[has])
+            offsets = pa.array(np.append(bounds[has], len(token)).astype(np.int32), mask=np.append(~first[has], False))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(whole[has].view(np.int64)), batch.column("id").take(own), batch.column("key").take(own), pa.array(number[has].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64)))],
+                ["line", "id", "key", "no", "tokens"],
+            )
 
     return run
 
@@ -164,11 +152,16 @@ def may_match(n: Column, at: Column, other_n: Column, other_at: Column, similar:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, line, id and no: those of tokens with several lines, each line once, numbered within the
-    token by place (id, no), with the earliest line of the token beside them."""
+    """Of rows sorted by token: those of tokens with several lines, each line once, numbered within the token by place (id,
+    no), with the earliest line of the token beside them."""
 
     def group(table: pa.Table) -> pa.RecordBatch:
         c = {name: table.column(name).to_numpy() for name in table.schema.names}
+        many = np.ones(len(c["token"]), bool)
+        many[1:-1] = (c["token"][1:-1] == c["token"][:-2]) | (c["token"][1:-1] == c["token"][2:])
+        c = {name: x[many] for name, x in c.items()}  # most tokens stand alone
+        order = np.lexsort((c["no"], c["id"], c["line"], c["token"]))
+        c = {name: x[order] for name, x in c.items()}
         new = np.ones(len(c["token"]), bool)
         new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["line"][1:] != c["line"][:-1])
         c = {name: x[new] for name, x in c.items()}
@@ -214,7 +207,7 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, k: int = SHINGLE,
     rarity = spark.sparkContext.broadcast(np.minimum(counts.reshape(-1), (1 << RARITY_BITS) - 1).astype(np.int32))
     prefixes = docs.mapInArrow(_prefixes(k, rarity, similar), "token long, line long, n int, at int, id long, no int")
     met = durable(
-        prefixes.repartition("token").sortWithinPartitions("token", "line", "id", "no")
+        prefixes.repartition("token").sortWithinPartitions("token")
         .mapInArrow(_met, "token long, line long, n int, at int, rank int, lead_line long, lead_n int, lead_at int")
     )
     low = (1 << MAP_BITS) - 1
@@ -225,7 +218,8 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, k: int = SHINGLE,
         raw = np.frombuffer(row["bits"], np.uint8)
         at = (row["bucket"] - 1) * len(raw)
         wanted[at : at + len(raw)] = raw
-    sets = docs.mapInArrow(_sets(k, rarity, spark.sparkContext.broadcast(wanted)), "line long, tokens array<long>")
+    told = durable(docs.mapInArrow(_occurrences(k, rarity, spark.sparkContext.broadcast(wanted)), "line long, id long, key long, no int, tokens array<long>"))
+    places, sets = told.select("line", "id", "key", "no"), told.filter("tokens is not null").select("line", "tokens")
     sets = durable(sets.join(met.select("line").distinct(), "line", "left_semi").dropDuplicates(["line"]))
 
     def matching(pairs: DataFrame) -> DataFrame:
@@ -240,7 +234,6 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, k: int = SHINGLE,
     others = met.filter("rank > 0").select("token", F.col("line").alias("other"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("rank").alias("_rank"))
     pairs = left.join(others, "token").filter(F.col("_rank") < F.col("rank")).filter(may_match(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), similar))
     gone = gone.unionByName(matching(pairs.select("line", "other"))).withColumn("gone", F.lit(True))
-    places = durable(docs.mapInArrow(_occurrences(), "line long, id long, key long, no int"))
     firsts = places.groupBy("line").agg(F.min(F.struct("id", "no", "key")).alias("first")).join(gone, "line", "left").withColumnRenamed("line", "_l")
     out = places.join(firsts, F.col("line") == F.col("_l")).filter(F.col("gone").isNotNull() | (F.struct("id", "no", "key") != F.col("first")))
     return out.groupBy("id", "key").agg(F.sort_array(F.collect_set("no")).alias("removed"))
