@@ -47,6 +47,21 @@ def dedup_url_quota(
     return ranked.filter(F.col("rank") <= quota)
 
 
+def long_enough(text: Column, least: int = S.MIN_ARTICLE_CHARS) -> Column:
+    return F.length(strip(F.coalesce(text, F.lit("")))) > least
+
+
+def search_counters(articles: DataFrame, scope: Sequence[str], url: Column, valid: Column, quota: Column | None = None) -> DataFrame:
+    """Counters of a search run: buffer (all articles), valid (text ``long_enough``), unique (different addresses among these) and
+    returned (at most the quota). Addresses are counted one group each before they are counted per run, so a large run is
+    spread over its addresses."""
+    each = articles.groupBy(*scope, url.alias("_url")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(valid).alias("_good"))
+    sums = each.groupBy(*scope).agg(
+        F.sum("_n").alias("buffer"), F.sum("_good").alias("valid"), F.count_if(F.col("_good") > 0).alias("unique"))
+    most = F.lit(S.DEFAULT_ARTICLES) if quota is None else quota
+    return sums.withColumn("returned", F.least(F.col("unique"), most.cast("long")))
+
+
 def selection_rank(cache: DataFrame, chosen: DataFrame, query: str) -> DataFrame:
     """Cache rows; those of ``query`` get ui_selected = rank of the chosen address, else 0. Rows of other
     queries keep their selection."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsmart import schemas as S
 from newsmart.functions.dates import iso_utc, minutes_seconds, seconds_between
 from newsmart.functions.text import blank_to_null
-from newsmart.operators.ranking import first_rows, table_position
+from newsmart.operators.ranking import first_rows, range_position
 
 
 def history_list(runs: DataFrame, articles: DataFrame) -> DataFrame:
@@ -129,8 +129,7 @@ def jobs_order(column: str, direction: str, now: Column) -> list[Column]:
 def queue_position(runs: DataFrame) -> DataFrame:
     """Place of every queued run in the waiting line (oldest first); only queued rows are numbered."""
     queued = runs.filter(F.col("status") == "QUEUED_FOR_ANALYSIS")
-    minute = F.date_trunc("minute", F.col("timestamp"))
-    return table_position(queued, minute, [F.col("timestamp"), F.col("execution_id")], "queue_position")
+    return range_position(queued, [F.col("timestamp"), F.col("execution_id")], "queue_position")
 
 
 def next_queued(runs: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmart.sources.versions import durable
+
 LARGE_GROUP = 1_000_000
 
 
@@ -83,6 +85,15 @@ def table_position(df: DataFrame, bucket: Column, order: Sequence[Column], out:
     )
 
 
+def range_position(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """1-based position over the whole table in ``order``, which should tell rows apart.
+
+    Rows are dealt by sampled ranges of the order itself, so they spread evenly whatever the keys look like, and written
+    once, so that a repeated task finds the same ranges; only the sizes of the ranges pass through one task."""
+    dealt = durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return table_position(dealt, F.col("_range"), order, out).drop("_range")
+
+
 def hash_bucket(c: Column, digits: int = 3) -> Column:
     """Even spread of text over 16**digits buckets."""
     return F.substring(F.md5(c), 1, digits)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsmart import schemas as S
 from newsmart.functions.text import fold, without_marks
 from newsmart.operators.grams import contained
-from newsmart.sources.versions import few_rows
+from newsmart.sources.versions import durable, few_rows
 
 #: Names that a model function may be given as a Python list.
 MODEL_NAMES = 10_000
@@ -75,7 +75,7 @@ def choropleth(articles: DataFrame, regions: DataFrame, count_unlocated: bool =
     named = (
         articles.select(F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("_n"))
     )
-    per_region = match_regions(named, regions).groupBy("region").agg(F.sum("_n").alias("n"))
+    per_region = durable(match_regions(named, regions).groupBy("region").agg(F.sum("_n").alias("n")))
     most = per_region.agg(F.greatest(F.max("n"), F.lit(1)).alias("m")).scalar()
     return per_region.withColumn("max_n", most).withColumn("colour", colour_class(F.col("n"), F.col("max_n")))
 

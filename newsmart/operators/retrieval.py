@@ -14,7 +14,10 @@ from newsmart.functions import crypto
 from newsmart.functions.text import citations, question_keywords, strip
 from newsmart.operators import bits, sqlguard
 from newsmart.operators.analytics import most_frequent
-from newsmart.operators.ranking import first_rows, numbered_first_rows
+from newsmart.operators.grams import contained
+from newsmart.operators.ranking import first_rows, hash_bucket, numbered_first_rows, table_position
+from newsmart.sources import versions as V
+from newsmart.sources.tables import fitted, layout
 from newsmart.sources.versions import durable
 
 
@@ -41,23 +44,16 @@ def keyword_search(articles: DataFrame, keywords: list[str], k: int = 8, latest:
 def search_many(questions: DataFrame, articles: DataFrame, k: int = 8) -> DataFrame:
     """keyword_search for a table of (question_id, keywords), without comparing questions to articles.
 
-    A keyword is a run of letters, so it can only sit inside one letter run of a title. Distinct title
-    words are cut into all their substrings of four letters and more and meet the keywords by equality;
-    each keyword keeps its k newest articles, which contain the k newest of any set of keywords."""
+    A keyword is a run of at least four letters, so it can only sit inside one letter run of a title. Keywords meet the
+    distinct title words that contain them through an index of their grams (``grams.py``); each keyword keeps its k newest
+    articles, which contain the k newest of any set of keywords."""
     pairs = questions.select("question_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
     wanted = pairs.select("keyword").distinct()
     runs = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("([a-záéíóúñ]{4,})"), F.lit(1)))
     posts = articles.select("article_id", "execution_id", "date", F.explode(runs).alias("word"))
     newest_per_word = first_rows(posts, ["word"], _newest(), k)
     words = newest_per_word.select("word").distinct()
-    starts = F.sequence(F.lit(1), F.length("word") - 3)
-    parts = F.flatten(F.transform(
-        starts, lambda i: F.transform(
-            F.sequence(F.lit(4), F.length("word") - i + 1),
-            lambda n: F.substring(F.col("word"), i, n),
-        ),
-    ))
-    inside = words.select("word", F.explode(F.array_distinct(parts)).alias("keyword")).join(wanted, "keyword")
+    inside = contained(wanted, words, "keyword", "word", size=4)
     per_keyword = first_rows(
         inside.join(newest_per_word, "word").drop("word").distinct(), ["keyword"], _newest(), k
     )
@@ -151,6 +147,25 @@ def chat_rows(turns: DataFrame, key: Column) -> DataFrame:
                        "timestamp")
 
 
+def append_chat(spark: SparkSession, root: str, turns: DataFrame, key: Column) -> int:
+    """Adds the two encrypted rows of every answered question to the stored chat history, with the next ids; returns the
+    version that holds them. Ids follow run, time and role; a rival's rows that come in between push them on."""
+    rows = durable(chat_rows(turns, key))
+    order = [F.col("execution_id"), F.col("timestamp"), F.col("role").desc(), F.col("encrypted_content")]
+    numbered = table_position(rows, hash_bucket(F.coalesce("execution_id", F.lit(""))), order, "_n")
+
+    def attempt(version: int, current: int | None) -> tuple[list[str], dict, list[str]]:
+        base, top, old = f"{root}/chat_history", 0, []
+        if current is not None:
+            old = V.entry(spark, base, current)["data"]
+            top = V.read_version(spark, base, current, layout("chat_history")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+        folder = V.new_data(base)
+        fitted("chat_history", numbered.withColumn("id", F.col("_n") + top).drop("_n")).write.parquet(f"{base}/{folder}")
+        return [*old, folder], {}, [folder]
+
+    return V.committed(spark, f"{root}/chat_history", attempt)
+
+
 def corpus_summary(articles: DataFrame) -> DataFrame:
     """Totals and text date range in one pass. Rows without places text drop out of the located count."""
     return articles.agg(

@@ -21,10 +21,11 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer -> runs; filters is JSON text."""
+def executions(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """customer -> runs, or one of them; filters is JSON text."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    cust = cust if run is None else cust.filter(F.col("c_custkey") == int(run))
     key = F.col("c_custkey")
     started = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, c_custkey)")
     later = lambda m: F.expr(f"_started + make_interval(0, 0, 0, 0, 0, {m})")
@@ -49,9 +50,10 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders -> one row per (article, run), the lowest order key first."""
+def article_keys(spark: SparkSession, sf_dir: str, run: str | None = None) -> DataFrame:
+    """orders -> one row per (article, run), the lowest order key first; of one run, found by its number in the scan."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = orders if run is None else orders.filter(F.col("o_custkey") == int(run))
     return (
         orders.groupBy(F.expr("o_orderkey div 3").alias("_no"), "o_custkey")
         .agg(F.min("o_orderkey").alias("pos"), F.min_by("o_orderdate", "o_orderkey").alias("_date"))
@@ -65,14 +67,16 @@ def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def article_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> source name and sorted place names per order.
+def article_places(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """lineitem -> source name and sorted place names per order, or of the orders in ``only`` (pos).
 
     Both shrink before the shuffle, in plain numbers: the lowest supplier key and the set of nation keys.
     Names are looked up afterwards."""
     nation = table(spark, sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    if only is not None:
+        lines = lines.join(only.select(F.col("pos").alias("l_orderkey")), "l_orderkey", "left_semi")
     names = nation.agg(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("n")).scalar()
     per_order = (
         lines.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -87,8 +91,9 @@ def article_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_places(keys: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.join(article_places(spark, sf_dir), "pos", "left").withColumns({
+def with_places(keys: DataFrame, spark: SparkSession, sf_dir: str, few: bool = False) -> DataFrame:
+    """``few``: the keys are few next to all lines, which are then cut to theirs before they are grouped."""
+    return keys.join(article_places(spark, sf_dir, keys if few else None), "pos", "left").withColumns({
         "geodata": F.to_json("places"),
         "image_url": F.concat(F.lit("https://img.example/"), F.col("pos").cast("string"), F.lit(".jpg")),
     })

@@ -14,11 +14,12 @@ from newsmart.operators import history as H
 from newsmart.operators.requests import rejections
 from newsmart.plans.bindings import (
     ARTICLES_SQL, BATCHED, EXECUTIONS_SQL, NEWS, RUNS, RUNS_NEWS, article_keys, articles, batched_articles, executions,
-    pick, sql, table, with_text,
+    pick, sql, table, with_places, with_text,
 )
 from newsmart.plans.catalog import query
 from newsmart.sources import regions as G
 from newsmart.sources.feeds import unresolved
+from newsmart.sources.tables import append_rows, merge_rows, read_table
 from newsmart.sources.versions import new_folder
 
 NOW = "2024-01-02 12:00:00"
@@ -186,8 +187,37 @@ def regions_scan(spark, sf):
 @query("by_execution", sql(*NEWS, body="""
 SELECT article_id, execution_id, date, source FROM articles WHERE execution_id = '7'"""))
 def by_execution(spark, sf):
-    return articles(spark, sf).filter(F.col("execution_id") == "7").select(
-        "article_id", "execution_id", "date", "source")
+    return with_places(article_keys(spark, sf, "7"), spark, sf, few=True).select("article_id", "execution_id", "date", "source")
+
+
+@query("search_counters", sql(*NEWS, body="""
+SELECT execution_id, count(*) AS buffer, count(*) FILTER (good) AS valid, count(DISTINCT url) FILTER (good) AS "unique",
+       least(count(DISTINCT url) FILTER (good), 3 + CAST(execution_id AS BIGINT) % 9) AS returned
+FROM (SELECT *, length(trim(scraped_text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) > 200 AS good FROM articles) GROUP BY execution_id"""))
+def search_counters(spark, sf):
+    """Counters of every run; texts are measured once per document before they meet their articles."""
+    rows = with_text(article_keys(spark, sf), spark, sf, good=U.long_enough(F.col("scraped_text")))
+    counted = U.search_counters(rows.select("execution_id", "url", "good"), ["execution_id"], F.col("url"), F.col("good"),
+                                3 + F.col("execution_id").cast("long") % 9)
+    return counted.select("execution_id", "buffer", "valid", "unique", "returned")
+
+
+@query("stored_tables", sql(*RUNS_NEWS, body="""
+SELECT a.article_id, a.execution_id, a.url, a.date, a.source, a.geodata, a.image_url, e.status, e.search_term, e.country
+FROM articles a JOIN executions e USING (execution_id)"""))
+def stored_tables(spark, sf):
+    """Runs and articles stored in two loads each and read back by their layouts."""
+    root = new_folder(spark, "mart")
+    runs = executions(spark, sf).withColumn("filters", F.from_json("filters", "map<string,string>"))
+    news = articles(spark, sf).select("article_id", "execution_id", "url", "date", "source", "geodata", "image_url")
+    early = F.col("date") < "1996-01-01"
+    append_rows(root, "articles", news.filter(early))
+    merge_rows(spark, root, "articles", lambda old: old.unionByName(news.filter(~early), allowMissingColumns=True))
+    append_rows(root, "search_executions", runs)
+    stored, of = read_table(spark, root, "articles"), read_table(spark, root, "search_executions")
+    return stored.join(of, "execution_id").select(
+        "article_id", "execution_id", "url", "date", "source", "geodata", "image_url", "status", "search_term",
+        F.try_element_at("filters", F.lit("country")).alias("country"))
 
 
 @query("by_execution_set", sql(*RUNS_NEWS, body="""
@@ -203,7 +233,7 @@ def by_execution_set(spark, sf):
 SELECT execution_id, search_term, status, article_id, url, date FROM executions LEFT JOIN articles USING (execution_id)
 WHERE execution_id = '11'"""))
 def run_detail(spark, sf):
-    return H.run_detail(executions(spark, sf), articles(spark, sf), "11").select(
+    return H.run_detail(executions(spark, sf, "11"), article_keys(spark, sf, "11"), "11").select(
         "execution_id", "search_term", "status", "article_id", "url", "date")
 
 

@@ -53,7 +53,7 @@ def stream_dedup(spark, sf):
         "url", "article_id", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, pos)").alias("arrived"))
     folder = landed(rows, spark, "arrivals", "article_id")
     stream = R.file_stream(spark, folder, rows.schema, files_per_batch=2)
-    path = R.append_files(R.unique_arrivals(stream, ["url"], "arrived", "36500 days"), R.new_folder(spark, "unique"))
+    path = R.append_files(R.unique_arrivals(stream, ["url"], "arrived", "365 days"), R.new_folder(spark, "unique"))
     return spark.read.parquet(path).select("url", "article_id")
 
 

@@ -12,9 +12,11 @@ from newsmart.functions import text as X
 from newsmart.functions.payload import clean_json, clean_nested
 from newsmart.operators import pages as P
 from newsmart.operators import retrieval as R
-from newsmart.plans.bindings import NEWS, RUNS_NEWS, article_keys, articles, executions, sql, table, with_text
+from newsmart.plans.bindings import NEWS, RUNS_NEWS, article_keys, articles, executions, sql, table, with_places, with_text
 from newsmart.plans.catalog import query
 from newsmart.sources import feeds as D
+from newsmart.sources.tables import read_table
+from newsmart.sources.versions import durable, new_folder
 
 QUESTION = "¿Cuántas noticias hablan de oredat, enterprise, retition y sobre tion en que mentere?"
 _WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -322,16 +324,17 @@ hits AS (SELECT * FROM articles WHERE EXISTS (SELECT 1 FROM kws WHERE contains(l
 
 
 def search_hits(spark, sf):
-    """Titles are matched once per document; the few hits get their text afterwards."""
+    """Keys and titles are searched; the few hits, written once, get their text and places afterwards."""
     words = R.keywords_of(spark, QUESTION)
-    rows = with_text(articles(spark, sf), spark, sf).drop("scraped_text", "content_snippet")
-    hits = R.keyword_search(rows, words).drop("title")
-    return with_text(hits, spark, sf)
+    rows = with_text(article_keys(spark, sf), spark, sf).drop("scraped_text", "content_snippet")
+    hits = durable(R.keyword_search(rows, words).drop("title"))
+    return with_text(with_places(hits, spark, sf, few=True), spark, sf)
 
 
 @query("keyword_search", sql(*NEWS, _HITS_SQL, body="SELECT article_id, execution_id, title, date FROM hits"))
 def keyword_search(spark, sf):
-    return search_hits(spark, sf).select("article_id", "execution_id", "title", "date")
+    rows = with_text(article_keys(spark, sf), spark, sf).select("article_id", "execution_id", "title", "date")
+    return R.keyword_search(rows, R.keywords_of(spark, QUESTION))
 
 
 @query("latest_articles", sql(*NEWS, body="""
@@ -426,6 +429,25 @@ def chat_append(spark, sf):
                        size.cast("long").alias("n_bytes"))
 
 
+@query("chat_append_table", sql(_PAIRS_SQL, """
+told AS (
+  SELECT CAST(conv_id AS VARCHAR) AS execution_id, turn, 'user' AS role, question AS content FROM pairs
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), turn, 'assistant', answer FROM pairs),
+first_load AS (SELECT *, row_number() OVER (ORDER BY substring(md5(execution_id), 1, 3), execution_id, turn, role DESC) AS id FROM told WHERE turn < 2),
+second_load AS (SELECT *, (SELECT count(*) FROM told WHERE turn < 2) + row_number() OVER (
+  ORDER BY substring(md5(execution_id), 1, 3), execution_id, turn, role DESC) AS id FROM told WHERE turn >= 2)""", body="""
+SELECT id, execution_id, role, content FROM first_load UNION ALL SELECT id, execution_id, role, content FROM second_load"""))
+def chat_append_table(spark, sf):
+    """Two loads into the stored chat history, read back by its layout."""
+    root, key = new_folder(spark, "mart"), chat_key(spark)
+    turns = _answered(spark, sf)
+    late = F.minute("timestamp") >= 2
+    for part in (~late, late):
+        R.append_chat(spark, root, turns.filter(part), key)
+    stored = read_table(spark, root, "chat_history")
+    return stored.select("id", "execution_id", "role", crypto.decrypt_text(F.col("encrypted_content"), key).alias("content"))
+
+
 @query("chat_roundtrip", sql(_PAIRS_SQL, body="""
 SELECT CAST(conv_id AS VARCHAR) AS execution_id, 'user' AS role, question AS content, question <> '' AS hidden FROM pairs
 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'assistant', answer, answer <> '' FROM pairs"""))

@@ -289,3 +289,56 @@ def test_batches_and_retries_without_an_answer_row_are_dead_letters(spark):
     assert {a: (r.outcome, r.error_reason) for a, r in rows.items()} == {
         "a": ("valid", None), "b": ("dlq", "no response"), "c": ("dlq", "no response")}
     assert rows["c"].raw_response == "None" and rows["b"].raw_response == ""
+
+
+def test_stored_tables_are_typed(spark, tmp_path):
+    from newsmart.sources import tables as TB
+
+    root = str(tmp_path)
+    assert TB.read_table(spark, root, "job_progress").columns == ["run_id", "ts", "progress_pct", "current_step"]
+    rows = spark.createDataFrame([("r", "2024-01-01 00:00:00", "0.5")], "run_id STRING, ts STRING, progress_pct STRING")
+    assert TB.append_rows(root, "job_progress", rows) == 1 and TB.append_rows(root, "job_progress", rows) == 2
+    back = TB.read_table(spark, root, "job_progress")
+    assert back.count() == 2 and dict(back.dtypes)["progress_pct"] == "float" and back.first().current_step is None
+    assert TB.merge_rows(spark, root, "job_progress", lambda old: old.distinct()) == 3
+    assert TB.read_table(spark, root, "job_progress").count() == 1
+    with pytest.raises(ValueError, match="no columns other"):
+        TB.append_rows(root, "job_progress", rows.withColumn("other", F.lit(1)))
+    with pytest.raises(KeyError):
+        TB.layout("nothing")
+
+
+def test_chat_ids_go_on(spark, tmp_path):
+    from newsmart.functions import crypto
+    from newsmart.operators import retrieval as R
+    from newsmart.sources import tables as TB
+
+    key = F.lit("0123456789abcdef")
+    turns = lambda *runs: spark.createDataFrame([(r, f"q{r}", f"a{r}", None) for r in runs], "execution_id STRING, question STRING, answer STRING, timestamp TIMESTAMP")
+    R.append_chat(spark, str(tmp_path), turns("1", "2"), key)
+    R.append_chat(spark, str(tmp_path), turns("1", None), key)
+    rows = TB.read_table(spark, str(tmp_path), "chat_history").withColumn("plain", crypto.decrypt_text(F.col("encrypted_content"), key)).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, 9))
+    assert sorted((r.execution_id or "", r.role, r.plain) for r in rows[:4]) == [("1", "assistant", "a1"), ("1", "user", "q1"), ("2", "assistant", "a2"), ("2", "user", "q2")]
+    assert [r.role for r in rows] == ["user", "assistant"] * 4
+
+
+def test_range_positions(spark):
+    import random
+
+    from newsmart.operators.ranking import range_position
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, 1, 1, 1, 7]), i) for i in range(300)]
+    got = range_position(spark.createDataFrame(rows, "k INT, i INT"), [F.col("k"), F.col("i").desc()], "n").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, -r[1]))
+    assert [(r.k, r.i) for r in sorted(got, key=lambda r: r.n)] == want and sorted(r.n for r in got) == list(range(1, 301))
+
+
+def test_search_counters(spark):
+    from newsmart.operators import dedup as U
+
+    rows = [("e", "u1", "x" * 201), ("e", "u1", " " + "x" * 201), ("e", "u2", "x" * 200 + "  "), ("e", "u3", None), ("f", "u1", "y" * 300), ("g", None, "")]
+    df = spark.createDataFrame(rows, "execution_id STRING, url STRING, t STRING")
+    got = U.search_counters(df, ["execution_id"], F.col("url"), U.long_enough(F.col("t")), F.lit(1)).collect()
+    assert {r.execution_id: tuple(r[1:]) for r in got} == {"e": (4, 2, 1, 1), "f": (1, 1, 1, 1), "g": (1, 0, 0, 0)}
