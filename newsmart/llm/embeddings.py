@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from newsmart.sources.versions import durable, few_rows
 SAMPLE = 20_000
 BLOCK = 1024
 MOST_CELLS = 1024
+#: Lengths that get centres of their own, the most frequent ones; vectors of the others are compared in blocks all the same.
+MOST_LENGTHS = 64
 ROUNDS = 8
 
 
@@ -55,24 +58,31 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), size)
 
 
-def _assign(centres: np.ndarray, threshold: float):
-    """Rows (cell, home, node, n, unit): each vector in its own cell and in all that could hold a partner."""
-    size = centres.shape[1]
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+def _assign(centres: dict[int, np.ndarray], threshold: float):
+    """Rows (size, cell, home, node, n, unit): each vector in its own cell and in all that could hold a partner, among the
+    cells of its length; lengths without centres are one cell."""
+    apart = {size: np.linalg.norm(c[:, None] - c[None], axis=2) for size, c in centres.items()}
     reach = np.sqrt(2 - 2 * threshold) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                x = _matrix(batch.column("unit"), size)
-                dots = x @ centres.T
-                own = np.argmax(dots, axis=1)
-                row, cell = np.nonzero(dots[np.arange(len(x)), own][:, None] - dots <= reach * apart[own])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(cell == own[row]), batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row)), batch.column("unit").take(pa.array(row))],
-                    ["cell", "home", "node", "n", "unit"],
-                )
+            sizes = pc.list_value_length(whole.column("unit")).to_numpy()
+            for size in np.unique(sizes).tolist():
+                mine = whole.take(pa.array(np.flatnonzero(sizes == size)))
+                for at in range(0, mine.num_rows, 2048):
+                    batch = mine.slice(at, 2048)
+                    if size in centres:
+                        x = _matrix(batch.column("unit"), size)
+                        dots = x @ centres[size].T
+                        own = np.argmax(dots, axis=1)
+                        row, cell = np.nonzero(dots[np.arange(len(x)), own][:, None] - dots <= reach * apart[size][own])
+                        home = cell == own[row]
+                    else:
+                        row, cell, home = np.arange(batch.num_rows), np.zeros(batch.num_rows, int), np.ones(batch.num_rows, bool)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row), size, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), *(batch.column(c).take(pa.array(row)) for c in ("node", "n", "unit"))],
+                        ["size", "cell", "home", "node", "n", "unit"],
+                    )
 
     return run
 
@@ -90,8 +100,9 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare(size: int, threshold: float):
-    def run(group: pa.Table) -> pa.Table:
+def _compare(threshold: float):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        size = key[0].as_py()
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         left, right = np.flatnonzero(group.column("left").to_numpy()), np.flatnonzero(~group.column("left").to_numpy())
         unit = _matrix(group.column("unit").combine_chunks(), size)
@@ -124,36 +135,35 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; only vectors of the most
-    frequent length are compared with each other (the least on a tie), as a cosine needs equal lengths. Equal unit vectors
-    are compared once and count with their number. Ids are unique; rows with a null id link with nothing.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors are compared with
+    those of their own length, as a cosine needs equal lengths. Equal unit vectors are compared once and count with their
+    number. Ids are unique; rows with a null id link with nothing.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     sound = F.col("vec_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
     units = given.filter(F.coalesce(sound, F.lit(False))).select("vec_id", unit_vector(F.col("_v")).alias("unit"))
-    size = units.groupBy(F.size("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
     alone = given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     alone = alone.withColumn("kept", F.lit(True))
-    if size is None:
-        return alone
-    size = size["size"]
-    members = durable(units.filter(F.size("unit") == size).withColumn("hash", F.xxhash64("unit")))
+    members = durable(units.withColumn("hash", F.xxhash64("unit")))
     nodes = members.groupBy("hash", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = durable(nodes.select("node", "n", "hash", "unit"))
-    count = nodes.count()
-    fit = few_rows(nodes.orderBy("hash").limit(sample).select("unit"), sample)["unit"].combine_chunks().flatten().to_numpy().reshape(-1, size)
-    k = cells or int(min(MOST_CELLS, max(1, count // block), len(fit)))
-    centres = fit_centres(fit, k)
-    dealt = durable(nodes.select("node", "n", "unit").mapInArrow(_assign(centres, threshold), "cell int, home boolean, node long, n long, unit array<double>"))
-    sizes = dealt.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("all"))
-    blocks = sizes.select("cell", *(F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(f"n_{c}") for c in ("homes", "all")))
-    dealt = dealt.join(F.broadcast(blocks), "cell")  # one row for each cell
+    frequent = nodes.groupBy(F.size("unit").alias("size")).count().filter(F.col("count") > (0 if cells else block)).orderBy(F.desc("count"), "size")
+    centres = {}
+    for large in few_rows(frequent.limit(MOST_LENGTHS), MOST_LENGTHS).to_pylist():
+        size = large["size"]
+        fit = nodes.filter(F.size("unit") == size).orderBy("hash").limit(sample).select("unit")
+        fit = few_rows(fit, sample)["unit"].combine_chunks().flatten().to_numpy().reshape(-1, size)
+        centres[size] = fit_centres(fit, min(cells or min(MOST_CELLS, large["count"] // block), len(fit)))
+    dealt = durable(nodes.select("node", "n", "unit").mapInArrow(_assign(centres, threshold), "size int, cell int, home boolean, node long, n long, unit array<double>"))
+    sizes = dealt.groupBy("size", "cell").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("all"))
+    blocks = sizes.select("size", "cell", *(F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(f"n_{c}") for c in ("homes", "all")))
+    dealt = dealt.join(F.broadcast(blocks), ["size", "cell"])  # a row for each cell: 64 lengths x 1024, one for each further length
     place = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = dealt.filter("home").select("cell", F.pmod(place, "n_homes").alias("i"), every(F.col("n_all")).alias("j"), "node", "n", "unit", F.lit(True).alias("left"))
-    right = dealt.select("cell", every(F.col("n_homes")).alias("i"), F.pmod(place, "n_all").alias("j"), "node", "n", "unit", F.lit(False).alias("left"))
+    left = dealt.filter("home").select("size", "cell", F.pmod(place, "n_homes").alias("i"), every(F.col("n_all")).alias("j"), "node", "n", "unit", F.lit(True).alias("left"))
+    right = dealt.select("size", "cell", every(F.col("n_homes")).alias("i"), F.pmod(place, "n_all").alias("j"), "node", "n", "unit", F.lit(False).alias("left"))
     both = left.unionByName(right.select(*left.columns))
-    found = durable(both.groupBy("cell", "i", "j").applyInArrow(_compare(size, threshold), "node long, links long, root long"))
+    found = durable(both.groupBy("size", "cell", "i", "j").applyInArrow(_compare(threshold), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(links, "node", "left").join(groups, "node", "left").select("hash", F.col("unit").alias("_u"), F.col("node").alias("_node"), "n", "links", "component")

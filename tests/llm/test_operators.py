@@ -442,6 +442,24 @@ def test_vectors_edges(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("block,cells", [(16, None), (1024, None), (8, 3)])
+def test_vectors_of_several_lengths(spark, block, cells):
+    """Every length is compared within itself, the most frequent one or not, with centres or without."""
+    rng = np.random.default_rng(block)
+    vectors = {}
+    for size, many in ((3, 40), (2, 25), (5, 90), (1, 4)):
+        base = rng.normal(size=(6, size))
+        for _ in range(many):
+            vectors[len(vectors) * 3 % 1000 + 1] = (base[rng.integers(6)] + rng.normal(size=size) * 0.1).tolist()
+    vectors |= {5010: [1.0, 2.0], 5011: [1.0, 2.0], 5012: [2.0, 4.0], 5013: [1.0, 2.0, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
+    links = [(i, j) for i in unit for j in unit if j < i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95]
+    part, count = plain_components(list(unit), links), Counter(k for pair in links for k in pair)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, block=block, cells=cells).collect()}
+    assert got == {i: (count[i], part[i], part[i] == i) for i in unit} and got[5011][0] >= 2
+
+
 def test_lm(spark, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
     tokens = {r.doc_id: [*words(lowered(r.text)), None] for r in docs.collect()}
