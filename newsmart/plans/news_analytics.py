@@ -349,10 +349,11 @@ def text_measures(spark, sf):
 
 
 @query("located_runs", sql(*NEWS, body="""
-SELECT execution_id, bool_or(len(coalesce(places, [])) > 0) AS has_geodata, min(CAST(date AS TIMESTAMP))::VARCHAR AS first_at
+SELECT execution_id, bool_or(len(coalesce(places, [])) > 0) AS has_geodata, bool_and(len(coalesce(places, [])) > 1) AS all_widely, min(CAST(date AS TIMESTAMP))::VARCHAR AS first_at
 FROM articles GROUP BY execution_id"""))
 def located_runs(spark, sf):
-    """Per run: whether any article has places, and its first date."""
+    """Per run: whether any article has places, whether all have several, and its first date."""
     at = F.date_format(F.min(any_timestamp(F.col("date"))), "yyyy-MM-dd HH:mm:ss")
     return articles(spark, sf).groupBy("execution_id").agg(
-        F.bool_or(F.size(F.coalesce("places", F.array())) > 0).alias("has_geodata"), at.alias("first_at"))
+        F.bool_or(F.size(F.coalesce("places", F.array())) > 0).alias("has_geodata"),
+        F.bool_and(F.size(F.coalesce("places", F.array())) > 1).alias("all_widely"), at.alias("first_at"))

@@ -119,6 +119,19 @@ def page_extract(spark, sf):
     return P.page_extract(table(spark, sf, "pages").repartition("page_id")).select("page_id", "text")
 
 
+@query("page_extract_clean", f"""
+WITH stripped AS (SELECT page_id, {_STRIP_SQL} AS html FROM pages),
+texts AS (SELECT page_id, {_text_sql("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)")} AS main,
+          {_text_sql("html")} AS whole FROM stripped)
+SELECT page_id, CASE WHEN length(main) > 100 THEN main ELSE whole END AS text FROM texts""")
+def page_extract_clean(spark, sf):
+    """The same ladder with its rung that drops share bars: bars put into and around the articles leave no trace."""
+    bar = F.lit('<div class="share-bar">Share<div>this <b>now</b></div></div>')
+    html = F.replace(F.replace("html", F.lit("<article>"), F.concat(bar, F.lit("<article>"), bar)), F.lit("</article>"), F.concat(bar, F.lit("</article>")))
+    pages = table(spark, sf, "pages").repartition("page_id").withColumn("html", html)
+    return P.page_extract(pages, clean=True).select("page_id", "text")
+
+
 @query("strip_noise", f"""
 SELECT page_id, {_text_sql(_STRIP_SQL)} AS text FROM pages""")
 def strip_noise(spark, sf):
@@ -223,6 +236,13 @@ def _keywords_sql(text: str) -> str:
             f"lambda w: regexp_matches(w, '^[a-zA-ZáéíóúÁÉÍÓÚñÑ]{{4,}}$') AND w NOT IN {_STOP_SQL})[1:5]")
 
 
+@query("display_name", """
+SELECT DISTINCT url, list_extract(string_split(url, '/'), -1) AS name FROM pages""")
+def display_name(spark, sf):
+    """Last part of slash-separated names."""
+    return table(spark, sf, "pages").select("url", X.display_name(F.col("url")).alias("name")).distinct()
+
+
 @query("question_keywords", f"""
 SELECT conv_id, turn, array_to_string({_keywords_sql('text')}, ',') AS keywords FROM conversations""")
 def question_keywords(spark, sf):

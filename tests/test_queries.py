@@ -11,7 +11,7 @@ from conftest import SF
 from newsmart.plans import ORACLES, QUERIES
 
 
-PYTHON = {"enrich_batches", "strip_noise", "lead_image", "rate_limit"}
+PYTHON = {"enrich_batches", "strip_noise", "page_extract_clean", "lead_image", "rate_limit", "discovery_limit"}
 
 
 def check_plan(name, df):
