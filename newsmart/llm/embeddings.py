@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart.llm.graphs import components
+from newsmart.llm.words import mix
 from newsmart.sources.versions import durable, few_rows
 
 #: Vectors that centres are fitted on, at most, and rows of a block.
@@ -26,6 +27,8 @@ BLOCK = 1024
 MOST_CELLS = 1024
 #: Lengths that get centres of their own, the most frequent ones; vectors of the others are compared in blocks all the same.
 MOST_LENGTHS = 64
+#: Further lengths, one cell each; more are an error (n different lengths take n * n / 2 components at least).
+FURTHER_LENGTHS = 1_000_000
 ROUNDS = 8
 
 
@@ -58,31 +61,73 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), size)
 
 
-def _assign(centres: dict[int, np.ndarray], threshold: float):
-    """Rows (size, cell, home, node, n, unit): each vector in its own cell and in all that could hold a partner, among the
-    cells of its length; lengths without centres are one cell."""
-    apart = {size: np.linalg.norm(c[:, None] - c[None], axis=2) for size, c in centres.items()}
-    reach = np.sqrt(2 - 2 * threshold) + 1e-9
+class _Cells:
+    """Cells of vectors among those of their length; lengths without centres are one cell."""
+
+    def __init__(self, centres: dict[int, np.ndarray], threshold: float):
+        self.centres, self.reach = centres, np.sqrt(2 - 2 * threshold) + 1e-9
+        self.apart = {size: np.linalg.norm(c[:, None] - c[None], axis=2) for size, c in centres.items()}
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, home): each vector's own cell and all others that could hold a partner of it."""
+        size = x.shape[1]
+        if size not in self.centres:
+            return np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        dots = x @ self.centres[size].T
+        own = np.argmax(dots, axis=1)
+        row, cell = np.nonzero(dots[np.arange(len(x)), own][:, None] - dots <= self.reach * self.apart[size][own])
+        return row, cell, cell == own[row]
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for whole in batches:
+        sizes = pc.list_value_length(whole.column("unit")).to_numpy()
+        for size in np.unique(sizes).tolist():
+            mine = whole.take(pa.array(np.flatnonzero(sizes == size)))
+            for at in range(0, mine.num_rows, rows):
+                yield size, mine.slice(at, rows)
+
+
+def _count(cells: _Cells):
+    """Rows (size, cell, homes, all): how many vectors of a batch are at home in a cell, and how many visit it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, batch in _by_length(batches, 2048):
+            _, cell, home = cells.of(_matrix(batch.column("unit"), size))
+            every, homes = np.bincount(cell), np.bincount(cell[home], minlength=cell.max() + 1)
+            some = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), size), pa.int32()), pa.array(some, pa.int32()), pa.array(homes[some], pa.int64()), pa.array(every[some], pa.int64())],
+                ["size", "cell", "homes", "all"],
+            )
+
+    return run
+
+
+def _deal(cells: _Cells, blocks: dict[tuple[int, int], tuple[int, int]]):
+    """Rows (size, cell, i, j, data): packed vectors of block i at home in a cell and of block j among all its vectors, in
+    every pair of blocks. Data begins with whether they are at home; node, n and components follow, vector by vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            sizes = pc.list_value_length(whole.column("unit")).to_numpy()
-            for size in np.unique(sizes).tolist():
-                mine = whole.take(pa.array(np.flatnonzero(sizes == size)))
-                for at in range(0, mine.num_rows, 2048):
-                    batch = mine.slice(at, 2048)
-                    if size in centres:
-                        x = _matrix(batch.column("unit"), size)
-                        dots = x @ centres[size].T
-                        own = np.argmax(dots, axis=1)
-                        row, cell = np.nonzero(dots[np.arange(len(x)), own][:, None] - dots <= reach * apart[size][own])
-                        home = cell == own[row]
-                    else:
-                        row, cell, home = np.arange(batch.num_rows), np.zeros(batch.num_rows, int), np.ones(batch.num_rows, bool)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), size, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), *(batch.column(c).take(pa.array(row)) for c in ("node", "n", "unit"))],
-                        ["size", "cell", "home", "node", "n", "unit"],
-                    )
+        for size, batch in _by_length(batches, 256):
+            x = _matrix(batch.column("unit"), size)
+            row, cell, home = cells.of(x)
+            node = batch.column("node").to_numpy()
+            packed = np.concatenate([np.stack([node, batch.column("n").to_numpy()], axis=1), x.view(np.int64)], axis=1)
+            homes, every = np.array([blocks[size, c] for c in cell.tolist()], np.int64).reshape(-1, 2).T
+            place = (mix(node.view(np.uint64))[row] >> np.uint64(1)).astype(np.int64)
+            out = []
+            for left, own, count in ((True, np.flatnonzero(home), every), (False, np.arange(len(row)), homes)):
+                take = np.repeat(own, count[own])
+                other = np.arange(len(take)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+                i = place[take] % homes[take] if left else other
+                j = other if left else place[take] % every[take]
+                order = np.lexsort((j, i, cell[take]))
+                take, i, j = take[order], i[order], j[order]
+                new = np.flatnonzero(np.diff(cell[take], prepend=-1) | np.diff(i, prepend=-1) | np.diff(j, prepend=-1))
+                for lo, hi in zip(new, np.append(new[1:], len(take)), strict=True):
+                    out.append((size, int(cell[take[lo]]), int(i[lo]), int(j[lo]), bytes([left]) + packed[row[take[lo:hi]]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["size", "cell", "i", "j", "data"])
 
     return run
 
@@ -103,9 +148,12 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _compare(threshold: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         size = key[0].as_py()
-        node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
-        left, right = np.flatnonzero(group.column("left").to_numpy()), np.flatnonzero(~group.column("left").to_numpy())
-        unit = _matrix(group.column("unit").combine_chunks(), size)
+        data = [raw.as_buffer() for raw in group.column("data")]
+        rows = [np.frombuffer(d, np.int64, (len(d) - 1) // 8, 1).reshape(-1, size + 2) for d in data]
+        at_home = np.repeat([memoryview(d)[0] == 1 for d in data], [len(r) for r in rows])
+        left, right = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+        whole = np.concatenate(rows)
+        node, n, unit = whole[:, 0].copy(), whole[:, 1].copy(), np.ascontiguousarray(whole[:, 2:]).view(np.float64)
         links = np.zeros(len(node), np.int64)
         a, b = [], []
         for at in range(0, len(left), 256):
@@ -154,16 +202,12 @@ def near_vectors(
         fit = nodes.filter(F.size("unit") == size).orderBy("hash").limit(sample).select("unit")
         fit = few_rows(fit, sample)["unit"].combine_chunks().flatten().to_numpy().reshape(-1, size)
         centres[size] = fit_centres(fit, min(cells or min(MOST_CELLS, large["count"] // block), len(fit)))
-    dealt = durable(nodes.select("node", "n", "unit").mapInArrow(_assign(centres, threshold), "size int, cell int, home boolean, node long, n long, unit array<double>"))
-    sizes = dealt.groupBy("size", "cell").agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("all"))
-    blocks = sizes.select("size", "cell", *(F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int").alias(f"n_{c}") for c in ("homes", "all")))
-    dealt = dealt.join(F.broadcast(blocks), ["size", "cell"])  # a row for each cell: 64 lengths x 1024, one for each further length
-    place = F.xxhash64("node")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = dealt.filter("home").select("size", "cell", F.pmod(place, "n_homes").alias("i"), every(F.col("n_all")).alias("j"), "node", "n", "unit", F.lit(True).alias("left"))
-    right = dealt.select("size", "cell", every(F.col("n_homes")).alias("i"), F.pmod(place, "n_all").alias("j"), "node", "n", "unit", F.lit(False).alias("left"))
-    both = left.unionByName(right.select(*left.columns))
-    found = durable(both.groupBy("size", "cell", "i", "j").applyInArrow(_compare(threshold), "node long, links long, root long"))
+    places, vectors_ = _Cells(centres, threshold), nodes.select("node", "n", "unit")
+    counts = vectors_.mapInArrow(_count(places), "size int, cell int, homes long, all long").groupBy("size", "cell").agg(F.sum("homes").alias("homes"), F.sum("all").alias("all"))
+    cut = lambda n: max(1, -(-n // block))
+    blocks = {(r["size"], r["cell"]): (cut(r["homes"]), cut(r["all"])) for r in few_rows(counts, MOST_LENGTHS * MOST_CELLS + FURTHER_LENGTHS).to_pylist()}
+    dealt = vectors_.mapInArrow(_deal(places, blocks), "size int, cell int, i long, j long, data binary")
+    found = durable(dealt.groupBy("size", "cell", "i", "j").applyInArrow(_compare(threshold), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(links, "node", "left").join(groups, "node", "left").select("hash", F.col("unit").alias("_u"), F.col("node").alias("_node"), "n", "links", "component")
