@@ -155,12 +155,16 @@ dlq AS (
               ELSE 'invalid: sentiment_score' END AS error_reason
   FROM outcomes WHERE outcome = 'dlq')"""
 PASS_AT = "2024-01-01 00:00:00"
-DLQ_BODY = f"SELECT *, TIMESTAMP '{PASS_AT}' AS \"timestamp\" FROM dlq"
+DLQ_BODY = f"SELECT *, '{PASS_AT}' AS \"timestamp\" FROM dlq"
+
+
+def shown_time(rows):
+    return rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("dlq_rows", sql(*ANSWERED, DLQ_SQL, body=DLQ_BODY))
 def dlq_rows(spark, sf):
-    return E.dead_letters(settled_articles(spark, sf), F.lit(PASS_AT))
+    return shown_time(E.dead_letters(settled_articles(spark, sf), F.lit(PASS_AT)))
 
 
 @query("fact_update", sql(*MART, """

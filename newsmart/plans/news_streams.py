@@ -11,7 +11,7 @@ from newsmart.plans.bindings import (
 )
 from newsmart.plans.catalog import ORACLES, query
 from newsmart.plans.news_history import PROGRESS_SQL, STEPS
-from newsmart.plans.news_mart import DLQ_BODY, DLQ_SQL, PASS_AT
+from newsmart.plans.news_mart import DLQ_BODY, DLQ_SQL, PASS_AT, shown_time
 from newsmart.streaming import limits as L
 from newsmart.streaming import runs as R
 
@@ -103,7 +103,7 @@ def stream_enrich(spark, sf):
 
 @query("stream_dlq", sql(*ANSWERED, DLQ_SQL, body=DLQ_BODY))
 def stream_dlq(spark, sf):
-    return spark.read.parquet(f"{_enriched(spark, sf)}/dlq").drop("batch")
+    return shown_time(spark.read.parquet(f"{_enriched(spark, sf)}/dlq").drop("batch"))
 
 
 @query("stream_article_events", sql(*ANSWERED, body="""
