@@ -150,3 +150,19 @@ def test_crypto(spark):
 def test_fold_composed_letters(spark):
     row = spark.createDataFrame([("Źrebię Śnieg ẵ Š ñandú",)], "t string").select(text.fold(F.col("t")).alias("t")).first()
     assert row.t == "zrebie snieg a s nandu"
+
+
+def test_a_cluster_session_draws_its_chat_key(spark):
+    from newsmart.plans.news_text import KEY_CONF, chat_key
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    drawn, given = Session(), Session()
+    row = spark.range(1).select(chat_key(drawn).alias("a"), chat_key(drawn).alias("b")).first()
+    assert row["a"] == row["b"] and len(row["a"]) == 32
+    given.conf = Conf({KEY_CONF: "0123456789abcdef"})
+    assert spark.range(1).select(chat_key(given)).first()[0] == "0123456789abcdef"
