@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import pytest
@@ -61,6 +62,17 @@ def test_trailing_count(spark):
     assert got == want
 
 
+def test_trailing_count_runs_on(spark):
+    """Counts are running sums: no frame slides over a slot, whose cost would be its requests squared. Times before 1970 and
+    repeated ones count as well."""
+    rows = [("a", (i * 7919 % 4000 - 2000) * 100_000 // 3, i) for i in range(4000)]
+    counted = L.trailing_count(spark.createDataFrame(rows, "ip STRING, t LONG, request_id LONG"))
+    assert "specifiedwindowframe(RangeFrame, -" not in counted._jdf.queryExecution().toString()
+    got = {r.request_id: r.n_recent for r in counted.collect()}
+    at = sorted(t for _, t, _ in rows)
+    assert got == {i: bisect.bisect_right(at, t) - bisect.bisect_right(at, t - 60 * L.MICROS) for _, t, i in rows}
+
+
 def test_client(spark):
     df = spark.createDataFrame([("a, b", "p"), (None, "p"), (None, None)], "f STRING, r STRING")
     assert [r[0] for r in df.select(L.client(F.col("f"), F.col("r"))).collect()] == ["a", "p", "unknown"]
