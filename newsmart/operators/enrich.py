@@ -267,10 +267,14 @@ def geodata_fallback(articles: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def enrich(batched: DataFrame, model: ModelCall, text: str = "content_snippet") -> DataFrame:
-    """The whole flow with a real model function. Only what the model said is written to the checkpoint folder, once after
-    the batches and once after the retries, with the articles it belongs to: it must not be asked for twice."""
-    answered = durable(call_model(request_rows(batched), model, text))
-    return settle(durable(call_again(first_pass(answered), model, text)))
+    """The whole flow with a real model function. Only what the model said is written to the checkpoint folder, with the
+    articles it belongs to, as it must not be asked for twice: once after the batches, and after the retries the rows that
+    were asked for again. All others are read from the first."""
+    first = first_pass(durable(call_model(request_rows(batched), model, text)))
+    queued = F.col("state").isin(*QUEUED)
+    again = durable(call_again(first.filter(queued), model, text))
+    none = F.lit(None).cast("string")
+    return settle(first.filter(~queued).withColumns({"retry_response": none, "retry_error": none}).unionByName(again))
 
 
 # Small lexicon of the offline default model.

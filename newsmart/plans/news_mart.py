@@ -403,8 +403,9 @@ SELECT article_id, execution_id, 'valid' AS outcome,
 def enrich_batches(spark, sf):
     """The whole flow with the offline model, called once per batch of five in Arrow batches."""
     places = region_names(region_table(spark, sf))
-    batched = durable(with_text(batched_articles(spark, sf), spark, sf).withColumn(
-        "content_snippet", F.concat_ws(" ", "content_snippet", F.array_join("places", ", "))))
+    batched = with_text(batched_articles(spark, sf), spark, sf).select(
+        "execution_id", "batch_no", "article_id", "title",
+        F.concat_ws(" ", "content_snippet", F.array_join("places", ", ")).alias("content_snippet"))
     done = E.enrich(batched, E.lexicon_model(places))
     return done.select(
         "article_id", "execution_id", "outcome", F.col("sentiment_score").cast("double").alias("sentiment_score"),

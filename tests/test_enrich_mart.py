@@ -92,6 +92,20 @@ def test_flow_with_a_model(spark):
         "bad1": ("dlq", "invalid: sentiment_score"), "boom": ("dlq", "no answer"), "x1": ("dlq", "no answer"), "x2": ("dlq", "no answer")}
 
 
+def test_only_retried_articles_are_written_again(spark, monkeypatch):
+    def model(rows):
+        return json.dumps({"results": [{"article_id": r["article_id"], "sentiment_score": 0, "summary": "", "entities_list": [], "locations_list": []}
+                                       for r in rows if len(rows) == 1 or not r["article_id"].startswith("late")]})
+
+    written, durable = [], E.durable
+    monkeypatch.setattr(E, "durable", lambda df: written.append(durable(df)) or written[-1])
+    rows = [("e", n, f"t {n}", f"text {n}", i // 5) for i, n in enumerate(["a", "b", "late1", "c", "d", "late2", "x", "y"])]
+    batched = spark.createDataFrame(rows, "execution_id STRING, article_id STRING, title STRING, content_snippet STRING, batch_no LONG")
+    done = {r.article_id: (r.outcome, r.title) for r in E.enrich(batched, model).collect()}
+    assert done == {n: ("recovered" if n.startswith("late") else "valid", f"t {n}") for _, n, *_ in rows}
+    assert [w.count() for w in written] == [2, 2]  # batches, articles that were missed
+
+
 def test_batches_of_five_in_a_hot_run(spark):
     rows = [("hot", f"{i * 7919 % 4096:03x}{i:05d}") for i in range(503)] + [("small", "a")]
     df = spark.createDataFrame(rows, "execution_id STRING, article_id STRING")
