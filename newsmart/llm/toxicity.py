@@ -92,7 +92,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(w[some])], ["bucket", "weight"])
 
 
-def _score(bucket_ids: np.ndarray, weights: np.ndarray):
+def _score(bucket_ids: np.ndarray, weights: np.ndarray, out: list[str]):
     table, bias = np.zeros(BUCKETS), weights[bucket_ids == BUCKETS].sum()
     inner = bucket_ids < BUCKETS
     table[bucket_ids[inner]] = weights[inner]
@@ -105,8 +105,7 @@ def _score(bucket_ids: np.ndarray, weights: np.ndarray):
             pair = np.unique(doc[hit] << BITS | bucket[hit])
             total = bias + np.bincount(pair >> BITS, table[pair & (BUCKETS - 1)], minlength=batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(score, pa.float64())], [*out, "score"])
 
     return run
 
@@ -122,11 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def score(docs: DataFrame, weights: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and score, 0 to 1, of every row's ``text``. Null texts count as empty: the bias alone."""
+    """The columns ``keep`` and score, 0 to 1, of every row's ``text``. Null texts count as empty: the bias alone. A text that
+    is kept goes to the workers once."""
     found = few_rows(weights, (1 << 20) + 1)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    fields = [f for f in rows.schema.fields if f.name != "text"]
-    run = _score(found["bucket"].to_numpy(), found["weight"].to_numpy())
+    rows = docs.select(*(c for c in keep if c != "text"), F.col("text").cast("string").alias("text"))
+    fields = [f for f in rows.schema.fields if f.name in keep]
+    run = _score(found["bucket"].to_numpy(), found["weight"].to_numpy(), [f.name for f in fields])
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
@@ -138,10 +138,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` of docs, held_out, score and predicted for every row; kept columns of these names give way.
     Rows whose crc32(doc_id) mod 5 is 0 are never learned from. Without labelled rows every score is one half."""
     keep = tuple(c for c in keep if c not in ("held_out", "score", "predicted"))
-    rows = docs.select(F.struct(*keep).alias("_kept"), F.col("doc_id").alias("_id"), "text")
+    whole = ("text",) if "text" in keep and dict(docs.dtypes)["text"] == "string" else ()
+    rows = docs.select(F.struct(*(c for c in keep if c not in whole), F.lit(0).alias("_")).alias("_kept"), F.col("doc_id").alias("_id"), "text")
     learned = docs.select("doc_id", "text"), labels.filter(fold(F.col("doc_id")) != 0).select("doc_id", "toxic")
-    scored = score(rows, fit(*learned), "_kept", "_id")
-    return scored.select("_kept.*", (fold(F.col("_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(rows, fit(*learned), "_kept", "_id", *whole)
+    kept = (F.col(c) if c in whole else F.col(f"_kept.`{c}`") for c in keep)
+    return scored.select(*kept, (fold(F.col("_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,15 @@ def test_toxicity_held_out(spark, no_docs):
     assert {r.score for r in toxicity.toxicity(docs.limit(5), empty, "doc_id").collect()} == {0.5}
 
 
+def test_toxicity_sends_a_kept_text_once(spark, edge_docs, edge_rows):
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(edge_docs, labels, "text", "doc_id", "lang")
+    assert got.columns == ["text", "doc_id", "lang", "held_out", "score", "predicted"]
+    assert sorted(repr((r.doc_id, r.text, r.lang)) for r in got.collect()) == sorted(repr((r[0], r[1], r[2])) for r in edge_rows)
+    structs = [x.split(")")[0] for x in got._jdf.queryExecution().analyzed().toString().split("struct(")[1:]]
+    assert structs and not any("text" in x for x in structs)
+
+
 def test_toxicity_edges(spark, edge_docs, edge_rows):
     labels = spark.createDataFrame([(0, 1), (0, 0), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(edge_docs, labels, *edge_docs.columns)
