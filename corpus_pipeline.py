@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsmart.llm.lines import without_repeated_lines
 from newsmart.llm.mixing import mix
 from newsmart.llm.packing import pack
-from newsmart.llm.simhash import similar_classes
+from newsmart.llm.simhash import near_texts
 from newsmart.llm.toxicity import toxicity as score_toxicity
 from newsmart.sources.versions import durable
 
@@ -38,10 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts at a similarity of 0.8 or more (five-word shingles) stays: that with the smallest
-    id (null: the largest). Texts without words are one group."""
+    """One document of each group of near texts stays: that with the smallest id (null: the largest). Texts are near by their
+    SimHash fingerprints (two or fewer differing bits), or at a similarity of 0.8 or more (five-word shingles). Texts without
+    words are one group."""
     rows = _with_key(docs)
-    classes = similar_classes(rows.select(F.col("_key").alias("node"), F.col("text").cast("string").alias("text")))
+    classes = near_texts(rows.select(F.col("_key").alias("node"), F.col("text").cast("string").alias("text")))
     both = rows.select("doc_id", "_key").join(classes, F.col("_key") == F.col("node"), "left")
     best = both.groupBy(F.coalesce("component", "_key").alias("_g")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("best")

@@ -209,6 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def near_texts(texts: DataFrame, most: int = 2, similar: float = 0.8) -> DataFrame:
+    """(node, component) of the rows of ``texts`` (node long, text) that are near another: the smallest node reachable over
+    SimHash fingerprints that differ in at most ``most`` bits, as in ``near_duplicates``, and over the exact links of
+    ``similar_classes``, which add the similar texts that fingerprints miss. Rows of one node hold one text."""
+    prints = durable(with_fingerprint(texts, "node"))
+    near = near_classes(prints.withColumnRenamed("node", "doc_id"), most)
+    links = prints.join(near, "print").select("node", F.col("component_id").alias("component"))
+    return components(links.unionByName(similar_classes(texts, similar)), "node", "component")
+
+
 def _shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in order, and where each text's begin. A text with fewer words is one shingle,
     one without words is the shingle 0, so every text has one at least."""

@@ -64,3 +64,12 @@ def test_edges(spark, edge_docs):
     assert mixed and set(mixed) <= set(given) and max(mixed.values()) <= 3
     packed = stages["packing"](spark, edge_docs, DIR).collect()
     assert sum(r.n_words for r in packed) == sum(len((t or "").encode().split()) for _, t in given)
+
+
+def test_near_dedup_goes_by_fingerprints(spark):
+    """Texts of one passage many times over with other ends have one fingerprint, whatever the share of their distinct shingles."""
+    text = lambda end: " ".join(["a b c d e f g"] * 40 + [f"{end}{i}" for i in range(20)])
+    texts = [text("x"), text("y"), "other words", text("z"), "other words here that are their own"]
+    assert not alike(texts[0], texts[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, DIR).collect()) == [0, 2, 4]
