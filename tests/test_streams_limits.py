@@ -271,3 +271,28 @@ def test_model_is_asked_once(spark, tmp_path):
     assert events == [(f"r{k}", n + 1, f"a{2 * n + k:02d}", 20) for k in range(2) for n in range(20)]
     outcomes = {r.article_id: r.outcome for r in spark.read.parquet(f"{base}/metrics").collect()}
     assert len(outcomes) == 40 and sum(o == "recovered" for o in outcomes.values()) == 8
+
+
+def test_enrichment_lands_in_as_many_files_as_shuffles_have_parts(spark):
+    """No task writes a fixed share of all articles, however many there are; the first batches still come first."""
+    from conftest import SF
+    from pathlib import Path
+
+    from newsmart.plans.catalog import QUERIES
+
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    landing = Path(V.work_dir(spark)) / "landing/batches"
+    old = set(landing.glob("*"))
+    try:
+        rows = QUERIES["stream_article_events"](spark, SF).collect()
+    finally:
+        spark.conf.unset(setting)
+    (folder,) = set(landing.glob("*")) - old
+    assert len(list(folder.glob("*.parquet"))) > 8
+    by_run = {}
+    for r in rows:
+        by_run.setdefault(r.execution_id, []).append(r)
+    for run in by_run.values():
+        run.sort(key=lambda r: r.article_id)
+        assert [(r.current, r.target) for r in run] == [(i + 1, len(run)) for i in range(len(run))]
