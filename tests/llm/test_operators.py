@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,6 +491,32 @@ def test_lm(spark, edge_docs, edge_rows, no_docs):
     assert all(r.score == 0 for r in lm.score_texts(edge_docs, F.lit(False)).collect())  # all that is known is "unknown"
 
 
+def dealt_table(monkeypatch, n_docs, n_words, often=(), groups=1):
+    """What the groups of the language model get of random texts, four fifths of them to learn from."""
+    import pyspark
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, n_words) % 50_000) for _ in range(n_docs)]
+    rows = pa.RecordBatch.from_pydict({"row": list(range(n_docs)), "train": [i % 5 > 0 for i in range(n_docs)], "text": texts})
+    return pa.Table.from_batches(lm._deal(np.array(often, np.uint64), groups)(iter([rows])))
+
+
+def test_pairs_of_a_group_take_little_memory(monkeypatch):
+    dealt = dealt_table(monkeypatch, 300, 1000)
+    dealt = dealt.filter(pc.equal(dealt["to"], 0))
+    tracemalloc.start()
+    cells = lm.Cells(dealt)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cells.count.sum() == 240 * 1001
+    assert peak < 140 * len(cells.count)  # 187 when all texts were kept in 64-bit numbers
+
+
 def test_seating_is_kept_whole():
     rng = np.random.default_rng(1)
     count = np.array([1, 2, 5, 40, 0, 300])
