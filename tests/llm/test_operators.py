@@ -517,6 +517,48 @@ def test_pairs_of_a_group_take_little_memory(monkeypatch):
     assert peak < 140 * len(cells.count)  # 187 when all texts were kept in 64-bit numbers
 
 
+def test_the_parent_is_resampled(monkeypatch):
+    """After each exchange all groups go on with the sums of the tables that all of them had opened by then."""
+    n, often = 3, np.array([], np.uint64)
+    dealt = dealt_table(monkeypatch, 60, 400, often, n)
+    own = [dealt.filter(pc.equal(dealt["to"], g)) for g in range(n)]
+    at = lambda rows, by, k: rows.filter(pc.equal(rows[by], k))
+    asked, rounds = pa.concat_tables([lm._ask(often, n)(g) for g in own]), []
+    for k in range(3):
+        answers = pa.concat_tables([lm._answer(often, k)(at(asked, "part", p)) for p in range(-1, n)])
+        of_groups = []
+        for g in range(n):
+            cells = lm.Cells(own[g])
+            part = (lm.mix(cells.words) % np.uint64(n)).astype(np.int64)
+            sent = lm.Answers(at(answers, "to", g), cells, part, often, k + 1)
+            of_groups.append({int(w): [*t.tolist()] for w, t in zip(cells.words, sent.tables.T, strict=True)})
+            opened = dict.fromkeys(map(int, cells.words), 0)
+            for row in at(asked, "to", g).to_pylist():
+                if row["part"] >= 0:
+                    r = lm.Reader(row["data"])
+                    r.take(np.uint8, int(r.take(np.int64, 1)[0]))
+                    if not k:
+                        r.take(np.int64, 2)
+                    words = r.types(int(r.take(np.int64, 1)[0]))
+                    if not k:
+                        r.small()
+                    opened |= dict(zip(map(int, words), r.small().tolist(), strict=True))
+            rounds.append((k, g, opened))
+        for words in of_groups:
+            for w, tables in words.items():
+                assert tables == [sum(o.get(w, 0) for j, _, o in rounds if j == i) for i in range(k + 1)]
+        if k < 2:
+            asked = pa.concat_tables([lm._score(often, n, 1, 4, k + 1, False)(own[g], at(answers, "to", g)) for g in range(n)])
+    first, second, third = ([o for j, _, o in rounds if j == k] for k in range(3))
+    assert first != second != third
+
+    parent = lm.Parent(np.array([True, True, False]))
+    parent.own = np.array([2, 1, 0])
+    parent.meet(np.array([5, 1, 0]), np.array([6, 2, 1, 0]))
+    parent.own += np.array([3, 0, 0])  # what a group opens itself counts at once
+    assert parent.chances().sum() == pytest.approx(1) and parent.chances()[0] == pytest.approx((8 - parent.d) / 10)
+
+
 def test_seating_is_kept_whole():
     rng = np.random.default_rng(1)
     count = np.array([1, 2, 5, 40, 0, 300])
