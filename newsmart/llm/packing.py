@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsmart.llm.words import with_word_count
+from newsmart.llm.words import count_words
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Words that a bin costs besides its length, such as a step's fixed part.
@@ -89,7 +89,7 @@ def _pack(lengths: tuple[int, ...], overhead: int, pieces: int):
             table = table.append_column("bin", pa.array(first + bins)).append_column("bin_length", pa.array(length[bins]))
             return table.append_column("bin_offset", pa.array(offset)).combine_chunks().to_batches()[0]
 
-        for whole in batches:
+        for whole in count_words(batches):
             n_words = np.asarray(whole.column("n_words"))
             parts = -(-n_words // longest)
             row = np.repeat(np.arange(len(parts)), parts)
@@ -114,8 +114,8 @@ def pack(docs: DataFrame, *keep: str, lengths: tuple[int, ...] = LENGTHS, overhe
     """A row for each piece: the columns ``keep``, piece (0, 1, ...), begin and n_words (which words of ``text``), bin,
     bin_length (the words that the bin holds room for) and bin_offset (where in it the piece begins). Every word of every
     row is in exactly one piece; texts that are null or hold no words have none. Bins are numbered by task."""
-    rows = with_word_count(docs, *keep)
-    fields = [f for f in rows.schema.fields if f.name != "n_words"]
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    fields = [f for f in rows.schema.fields if f.name != "text"]
     out = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("piece", "begin", "n_words", "bin", "bin_length", "bin_offset"))])
     return rows.mapInArrow(_pack(lengths, overhead, pieces), out)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from newsmart.llm import embeddings, lines, lm, minhash, mixing, packing, pii, simhash, substrings, toxicity
 from newsmart.llm.queries import ORACLES, QUERIES
-from newsmart.llm.words import windows, words_of
+from newsmart.llm.words import count_words, windows, words_of
 
 from llm_fixtures import DIR, edge_docs, edge_rows, no_docs, passage, sql  # noqa: F401
 
@@ -576,3 +576,16 @@ def test_digest_columns(spark):
     got = {r.doc_id: r for r in QUERIES["op9_pii"](spark, DIR).collect()}
     none = hashlib.sha256(b"").hexdigest()
     assert all((r.base_sha256 == none) == (r.n_email + r.n_ip + r.n_card + r.n_phone == 0) for r in got.values())
+
+
+def test_packing_counts_and_packs_in_one_pass(spark, edge_docs):
+    plan = packing.pack(edge_docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    texts = ["", None, *["ab \tc\n" * 1000] * 1400, " x", ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": list(range(len(texts)))})
+    tracemalloc.start()
+    counted = pa.Table.from_batches(list(count_words(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted["n_words"].to_pylist() == [0, 0, *[2000] * 1400, 1, 0] and counted["n"].to_pylist() == batch["n"].to_pylist()
+    assert peak < 20 << 20  # over 100 MB where eight megabytes were counted at once
