@@ -372,3 +372,14 @@ def test_search_counters(spark):
     df = spark.createDataFrame(rows, "execution_id STRING, url STRING, t STRING")
     got = U.search_counters(df, ["execution_id"], F.col("url"), U.long_enough(F.col("t")), F.lit(1)).collect()
     assert {r.execution_id: tuple(r[1:]) for r in got} == {"e": (4, 2, 1, 1), "f": (1, 1, 1, 1), "g": (1, 0, 0, 0)}
+
+
+def test_conditions_on_an_outcome_read_no_answer_again(spark):
+    """An answer is read in two places, after the batch and after the retry, whatever is asked of the outcome."""
+    from newsmart.plans.bindings import settled_articles
+
+    settled = settled_articles(spark, SF)
+    for rows in (settled.filter("outcome <> 'dlq'"), settled.filter("state = 'missed' OR outcome = 'dlq'"), E.dead_letters(settled)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") <= 2
+    assert settled.filter("outcome <> 'dlq'").count() + E.dead_letters(settled).count() == settled.count()
