@@ -378,8 +378,18 @@ def test_conditions_on_an_outcome_read_no_answer_again(spark):
     """An answer is read in two places, after the batch and after the retry, whatever is asked of the outcome."""
     from newsmart.plans.bindings import settled_articles
 
-    settled = settled_articles(spark, SF)
+    settled = settled_articles(spark, "/root/testdata/sf0.001")
     for rows in (settled.filter("outcome <> 'dlq'"), settled.filter("state = 'missed' OR outcome = 'dlq'"), E.dead_letters(settled)):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") <= 2
     assert settled.filter("outcome <> 'dlq'").count() + E.dead_letters(settled).count() == settled.count()
+
+
+@pytest.mark.parametrize("name", ["set_null", "star_report", "fact_upsert"])
+def test_the_star_reads_orders_and_lines_once(spark, monkeypatch, name):
+    from newsmart.plans import QUERIES, bindings
+
+    read, table = [], bindings.table
+    monkeypatch.setattr(bindings, "table", lambda spark, sf, name: read.append(name) or table(spark, sf, name))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert read.count("orders") == 1 and read.count("lineitem") == 1
