@@ -379,7 +379,7 @@ def test_conditions_on_an_outcome_read_no_answer_again(spark):
     from newsmart.plans.bindings import settled_articles
 
     settled = settled_articles(spark, "/root/testdata/sf0.001")
-    for rows in (settled.filter("outcome <> 'dlq'"), settled.filter("state = 'missed' OR outcome = 'dlq'"), E.dead_letters(settled)):
+    for rows in (settled.filter("outcome <> 'dlq'"), settled.filter("state = 'missed' OR outcome = 'dlq'"), E.dead_letters(settled), E.entity_rows(settled.filter("outcome <> 'dlq'"))):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") <= 2
     assert settled.filter("outcome <> 'dlq'").count() + E.dead_letters(settled).count() == settled.count()
