@@ -91,17 +91,22 @@ def evidence_block(hits: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the filter over cited ids, at most (16 MB).
+CITED_BITS = 1 << 27
+
+
 def citation_lookup(answers: DataFrame, articles: DataFrame, text: str = "text") -> DataFrame:
     """(cited, article_id, url) for every id cited in the answers: the first article (by pos) whose id
     starts with it or whose address contains it.
 
     Ids meet articles by equality: each article (once, at its first place) offers its id prefixes and address parts of just
     the lengths that are cited. A filter of bits over the cited ids, sized by their number, drops the parts that nobody cited
-    (all but some in a thousand) before anything is shuffled. What is left shrinks to its first article within each task,
-    so a part that every address holds ("http") moves one row a task."""
+    (all but some in a thousand; more than half of them at fifty million ids) before anything is shuffled. What is left shrinks
+    to its first place within each task, so a part that every address holds ("http") moves one row a task; only the part and
+    the place move, and the articles at these places are looked up afterwards."""
     cited = durable(answers.select(F.explode(citations(F.col(text))).alias("cited")).distinct())
     facts = cited.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("cited"))).alias("l")).first()
-    may = bits.may_hold(cited, "cited", facts["n"])
+    may = bits.may_hold(cited, "cited", facts["n"], CITED_BITS)
     lengths = F.array(*map(F.lit, facts["l"])).cast("array<int>")
     prefixes = F.transform(
         F.filter(lengths, lambda n: n <= F.length("article_id")), lambda n: F.substring("article_id", F.lit(1), n)
@@ -112,12 +117,13 @@ def citation_lookup(answers: DataFrame, articles: DataFrame, text: str = "text")
             F.sequence(F.lit(1), F.length("url") - n + 1), lambda i: F.substring(F.col("url"), i, n)
         ),
     ))
-    offers = (
-        articles.groupBy("article_id", "url").agg(F.min("pos").alias("pos"))
-        .select("pos", "article_id", "url", F.explode(F.array_distinct(F.concat(prefixes, parts))).alias("cited"))
-        .filter(may(F.col("cited")))
-    )
-    first = offers.groupBy("cited").agg(F.min(F.struct("pos", "article_id", "url")).alias("_f"))
+    places = articles.groupBy("article_id", "url").agg(F.min("pos").alias("pos"))
+    offers = places.select("pos", F.explode(F.array_distinct(F.concat(prefixes, parts))).alias("cited")).filter(may(F.col("cited")))
+    lowest = F.when(F.max(F.col("pos").isNull()), None).otherwise(F.min("pos"))  # none comes before all others
+    found = cited.join(offers.groupBy("cited").agg(lowest.alias("_pos")), "cited")
+    there = places.join(found, F.col("pos").eqNullSafe(F.col("_pos"))).filter(
+        F.startswith("article_id", "cited") | F.contains("url", "cited"))  # articles that share a place
+    first = there.groupBy("cited").agg(F.min(F.struct("pos", "article_id", "url")).alias("_f"))
     return cited.join(first, "cited", "left").select("cited", "_f.article_id", "_f.url")
 
 

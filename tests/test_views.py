@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -243,6 +244,17 @@ def test_citations_equal_brute_force(spark):
     assert R.citation_lookup(text.limit(0), df).count() == 0
 
 
+def test_citations_move_places_only(spark):
+    """Parts meet at the lowest place, which is a number; articles that share it, or have none, are told apart afterwards."""
+    arts = [(4, "ab1", "u/x"), (4, "aa2", "u/y"), (None, "ab3", "u/z"), (9, "cd4", "u/y")]
+    df = spark.createDataFrame(arts, "pos LONG, article_id STRING, url STRING")
+    text = spark.createDataFrame([("[Article ID: ab] [Article ID: aa] [Article ID: cd] [Article ID: y] [Article ID: x]",)], "text STRING")
+    found = R.citation_lookup(text, df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\bHashAggregate\(keys=\[cited#\d+\], functions=\[[^\n]*partial_min\(pos#", plan)
+    assert {r.cited: r.article_id for r in found.collect()} == {"ab": "ab3", "aa": "aa2", "cd": "cd4", "y": "aa2", "x": "ab1"}
+
+
 def lines_of(df):
     return [r.line for r in df.orderBy("line_no").collect()]
 
