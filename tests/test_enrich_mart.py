@@ -294,6 +294,18 @@ def test_payload(spark, text):
     assert got.payload == "\n----\nARTICLE ID: a\nTITLE: T\nTEXT: " + "x" * 3000 + "\n\n----\nARTICLE ID: b\nTEXT: \n"
 
 
+def test_payload_texts_are_sorted_once_after_their_move(spark):
+    rows = [("e", 0, "b", None, "2"), ("e", 0, "a", "T", "1"), ("e", 0, None, "U", "3"), ("f", 1, "a", "", None), (None, 1, "c", "", "4"), ("e", 0, "a", "S", "0")]
+    df = spark.createDataFrame(rows, "execution_id STRING, batch_no LONG, article_id STRING, title STRING, content_snippet STRING")
+    got = E.batch_payload(df)
+    head = "\n----\nARTICLE ID: "
+    assert {(r.execution_id, r.batch_no): (r.n_articles, r.payload) for r in got.collect()} == {
+        ("e", 0): (4, f"{head}a\nTITLE: S\nTEXT: 0\n{head}a\nTITLE: T\nTEXT: 1\n{head}b\nTEXT: 2\n"),
+        ("f", 1): (1, f"{head}a\nTEXT: \n"), (None, 1): (1, f"{head}c\nTEXT: 4\n")}
+    plan = E.batch_payload(df)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list" not in plan and plan.count("Exchange hashpartitioning(execution_id") == 1
+
+
 def test_facts_take_the_measures_of_results(spark):
     fact = spark.createDataFrame([("a", "e", 1, 1, 1), ("b", "e", 2, 2, 2)], "article_id STRING, execution_id STRING, word_count INT, entity_count INT, sentiment_score INT")
     fact = fact.withColumn("sentiment_score", F.col("sentiment_score").cast("decimal(5,2)"))
