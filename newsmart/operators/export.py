@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmart import schemas as S
-from newsmart.sources.versions import few_rows
+from newsmart.sources.versions import few_rows, local_path, remove
 
 
 def _filled(*names: str) -> Column:
@@ -54,14 +62,75 @@ def article_json(articles: DataFrame, fields: list[str]) -> DataFrame:
     return articles.select("execution_id", "article_id", F.to_json(F.struct(*fields)).alias("article"))
 
 
+#: What Spark writes as %XX in the name of a partition's folder, and its name for a missing value.
+_ESCAPED = re.compile(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_run_files(articles: DataFrame, path: str, runs: DataFrame | None = None) -> None:
     """JSON files, one folder per run; only of the runs in ``runs`` (execution_id) if given.
 
     Rows are gathered by run first, in parts of about equal size: small runs share a task and have one file each, a large run
-    is split over as many tasks as its size asks for. So there are about as many files as runs, not runs times tasks."""
+    is split over as many tasks as its size asks for. So there are about as many files as runs, not runs times tasks.
+
+    Spark's writer starts two processes a file on a local disk (Hadoop sets the rights of the file and of its checksum by
+    chmod), which with a file a run is nearly all its time; there the tasks write the same folders themselves."""
+    spark = articles.sparkSession
     chosen = articles if runs is None else articles.join(runs.select("execution_id").distinct(), "execution_id", "left_semi")
     gathered = chosen.hint("rebalance", F.col("execution_id"))
-    gathered.write.mode("overwrite").partitionBy("execution_id").json(path)
+    target = local_path(spark, path)
+    if target is None:
+        gathered.write.mode("overwrite").partitionBy("execution_id").json(path)
+        return
+    run = F.coalesce(F.nullif(F.col("execution_id").cast("string"), F.lit("")), F.lit(_NO_VALUE))
+    fields = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in articles.columns if c != "execution_id"))
+    lines = gathered.select(run.alias("run"), F.to_json(fields).cast("binary").alias("line")).sortWithinPartitions("run")
+    name = uuid.uuid4().hex
+    aside = f"{os.path.dirname(target)}/_{name}"
+    os.makedirs(aside)
+    try:
+        lines.mapInArrow(_write_folders(aside, name), "files LONG").write.format("noop").mode("overwrite").save()
+        open(f"{aside}/_SUCCESS", "w").close()
+        remove(spark, target)
+        os.rename(aside, target)
+    except BaseException:
+        remove(spark, aside)
+        raise
+
+
+def _write_folders(base: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the lines of each run, which come together, to one file in the run's folder. A file is put in place whole, by a
+    name that depends on the partition only: a task that is repeated or run twice leaves the same files. The folder ``base``
+    has to exist, so that a task that outlives its job writes nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"part-{TaskContext.get().partitionId():05d}-{name}.json"
+        aside = f"{base}/_{uuid.uuid4().hex}"
+        current, folder, out, files = None, None, None, 0
+
+        def place() -> None:
+            out.close()
+            os.replace(aside, f"{folder}/{part}")
+
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for key, group in itertools.groupby(rows, lambda row: row[0]):
+                if key != current:
+                    if out is not None:
+                        place()
+                    current, files = key, files + 1
+                    folder = f"{base}/execution_id=" + _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", key)
+                    try:
+                        os.mkdir(folder)
+                    except FileExistsError:
+                        pass
+                    out = open(aside, "wb")
+                out.writelines(line + b"\n" for _, line in group)
+        if out is not None:
+            place()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return run
 
 
 PAYLOAD_ARTICLES = "ARRAY<MAP<STRING, STRING>>"

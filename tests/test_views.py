@@ -376,6 +376,37 @@ def test_run_files_are_about_as_many_as_runs(spark, tmp_path):
     assert back.count() == 400 and {str(r.execution_id) for r in back.select("execution_id").distinct().collect()} == {"3", "4"}
 
 
+def test_run_folders_hold_files_and_nothing_else(spark, tmp_path):
+    """As Spark's writer leaves them, without the processes and checksum files that Hadoop adds to each."""
+    import os
+
+    keys = ["1", "a/b=c", "50% [x]:'\"#*?^{", "ä ö", "\t\\", "", None]
+    rows = [(k, i, None if i % 2 else "x\ny ü", [k, None]) for i, k in enumerate(keys * 40)]
+    df = spark.createDataFrame(rows, "execution_id STRING, id INT, `a.b` STRING, l ARRAY<STRING>").repartition(6)
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    for _ in range(2):
+        X.write_run_files(df, ours)
+    df.write.partitionBy("execution_id").json(theirs)
+    assert sorted(os.listdir(tmp_path)) == ["ours", "theirs"]
+    folders = sorted(n for n in os.listdir(theirs) if n.startswith("execution_id="))
+    assert sorted(os.listdir(ours)) == sorted(["_SUCCESS", *folders])
+    for f in folders:
+        assert all(n.startswith("part-") and n.endswith(".json") for n in os.listdir(f"{ours}/{f}"))
+        assert sum(n.startswith("part-") for n in os.listdir(f"{ours}/{f}")) <= 2
+    read = lambda p: sorted(map(repr, spark.read.schema(df.schema).json(p).collect()))
+    assert read(ours) == read(theirs) and len(read(ours)) == len(rows)
+
+
+def test_run_folders_of_a_failed_write_are_not_seen(spark, tmp_path):
+    df = spark.range(0, 200, 1, 4).selectExpr("cast(id % 20 AS STRING) AS execution_id", "id")
+    X.write_run_files(df, str(tmp_path / "out"))
+    with pytest.raises(Exception):
+        X.write_run_files(df.withColumn("id", F.raise_error(F.lit("no"))), str(tmp_path / "out"))
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and spark.read.json(str(tmp_path / "out")).count() == 200
+    X.write_run_files(df.limit(0), str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["_SUCCESS"]
+
+
 def test_payload_sheet_holds_all_fields(spark):
     payloads = spark.createDataFrame([(1, '{"articles":[{"article_id":"a","n":5,"states":["x","y"],"o":{"k":null}},{"title":"t"}]}'), (2, "[]"), (3, '[{"Resumen Extraído":"s","i":"own"}]')], "i INT, payload STRING")
     sheet = X.payload_sheet(X.read_payloads(payloads), ["i"], F.lit("now"))
