@@ -306,6 +306,15 @@ def test_payload_texts_are_sorted_once_after_their_move(spark):
     assert "partial_collect_list" not in plan and plan.count("Exchange hashpartitioning(execution_id") == 1
 
 
+def test_payload_of_packed_bodies(spark):
+    rows = [("e", n // 5, f"{n * 7919 % 1000:03d}", ["", None, "Tä"][n % 3], [None, "", "ü\n" * n + "x" * 3001][n % 3]) for n in range(1205)]
+    rows += [("f", 0, "a", "T", "1"), ("f", 0, "a", "S", "2"), ("f", 0, None, "S", "3"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "execution_id STRING, batch_no LONG, article_id STRING, title STRING, content_snippet STRING")
+    moved = df.withColumn("body", E.packed(E.article_body(F.col("title"), F.col("content_snippet"))))
+    got, want = E.batch_payload(moved.drop("title", "content_snippet").coalesce(1), body="body"), E.batch_payload(df)
+    assert got.dtypes == want.dtypes and set(got.collect()) == set(want.collect()) and got.count() == 243
+
+
 def test_facts_take_the_measures_of_results(spark):
     fact = spark.createDataFrame([("a", "e", 1, 1, 1), ("b", "e", 2, 2, 2)], "article_id STRING, execution_id STRING, word_count INT, entity_count INT, sentiment_score INT")
     fact = fact.withColumn("sentiment_score", F.col("sentiment_score").cast("decimal(5,2)"))
