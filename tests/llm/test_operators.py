@@ -572,6 +572,53 @@ def test_seating_is_kept_whole():
             assert (np.bincount(seats.seat[own] - seats.start[k], minlength=seats.size[k]) == table).all()
 
 
+def test_every_customer_is_seated(monkeypatch):
+    """One after the other at first, all of them again in a sweep, whether their cell is among the largest or not."""
+    count, opening, d = np.array([3, 2000, 500]), np.array([0.4, 5.0, 0.9]), 0.6
+    plain = []
+    for c, o in zip(count, opening, strict=True):
+        t = 1.0
+        for n in range(1, c):
+            t += o / (o + n - d * t)
+        plain.append(t)
+    for few in (0, 1, 64):
+        monkeypatch.setattr(lm, "FEW", few)
+        rng = np.random.default_rng(few)
+        assert lm.expected_tables(count, opening, d) == pytest.approx(plain)
+        drawn = np.mean([lm.expected_tables(count, opening, d, rng) for _ in range(200)], axis=0)
+        assert drawn == pytest.approx(plain, rel=0.1)
+        seats = lm.Seats(count, count, rng)  # everybody alone
+        weight = opening[seats.cell]
+        seats.sweep(lambda k: weight[k:], lambda k, change: None, lambda k: lambda change: weight[k], d, rng)  # noqa: B023
+        assert (seats.tables < 0.5 * seats.size + 2).all()
+        again = lm.Seats(count, None, rng, seats.packed())
+        assert again.tables.tolist() == seats.tables.tolist() and len(again.seat) == len(seats.seat)
+        for k, begin in enumerate(seats.start):
+            sizes = [sorted(n for n in x.at_table[begin : begin + x.size[k]] if n) for x in (seats, again)]
+            assert sizes[0] == sizes[1] and np.bincount(again.seat)[again.seat].tolist() == again.at_table[again.seat].tolist()
+
+        # the chances of 1 to 5 tables: opening ** tables times a generalised Stirling number
+        ways = [1.0]
+        for n in range(1, 5):
+            ways = [(ways[k - 1] if k else 0) + ((n - d * (k + 1)) * ways[k] if k < n else 0) for k in range(n + 1)]
+        chance = np.array([w * 0.7 ** (k + 1) for k, w in enumerate(ways)])
+        cells = 400 if few != 64 else 40
+        seats, told = lm.Seats(np.full(cells, 5), np.full(cells, 2), rng), np.zeros(cells, np.int64)
+        found = np.zeros(6)
+
+        def add_table(begin, change):
+            told[begin:] += change  # noqa: B023
+
+        def weight_after(cell):
+            return lambda change: add_table(cell, np.eye(1, cells - cell, dtype=int)[0] * change) or 0.7  # noqa: B023
+
+        for _ in range(300):
+            seats.sweep(lambda k: np.full(cells - k, 0.7), add_table, weight_after, d, rng)  # noqa: B023
+            found += np.bincount(seats.tables, minlength=6)
+        assert (seats.tables == 2 + told).all()
+        assert found[1:] / found.sum() == pytest.approx(chance / chance.sum(), abs=0.015)
+
+
 def test_digest_columns(spark):
     got = {r.doc_id: r for r in QUERIES["op9_pii"](spark, DIR).collect()}
     none = hashlib.sha256(b"").hexdigest()
