@@ -3,12 +3,17 @@
 Centres are fitted on a bounded sample. Every distinct vector is at home in the cell of its nearest centre, and a guest in
 each cell that could hold a partner: for unit vectors x and y with cosine c their distance is sqrt(2 - 2c), so y can only
 have a partner at home in cell a while y.(b - a) <= sqrt(2 - 2c) * |b - a|, b being y's own centre. No link is lost by the
-cells, for any centres. Cells are compared in blocks, home against home and guests; large cells are many block pairs in
-many tasks. A task returns link counts and a spanning forest of its links, not the pairs.
+cells, for any centres.
+
+Vectors lie once, in blocks of whole cells or of parts of a large one, a file each in the work folder. A task reads the files of
+a pair of blocks, each pair once, and compares the cells of one with their guests in the other, so no vector is copied for
+the cells that it visits. It returns link counts and a spanning forest of its links, not the pairs. Files go through pyarrow's
+file systems; what counts are the names that Spark has stored, so a repeated task leaves at most a file that nobody reads.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmart.llm.graphs import components
+from newsmart.llm.tokens import _open
 from newsmart.llm.words import mix
-from newsmart.sources.versions import durable, few_rows
+from newsmart.sources.versions import durable, few_rows, new_folder
 
-#: Vectors that centres are fitted on, at most, and rows of a block.
+#: Vectors that centres are fitted on, at most, and vectors of a cell, about.
 SAMPLE = 20_000
 BLOCK = 1024
+#: Bytes of a block of cells, at most (a few cells more or less), and blocks of one length, where a block holds a cell at least.
+BLOCK_BYTES = 8 << 20
+LEAST_BLOCKS = 32
+MOST_TASKS = 4096
 MOST_CELLS = 1024
 #: Lengths that get centres of their own, the most frequent ones; vectors of the others are compared in blocks all the same.
 MOST_LENGTHS = 64
@@ -66,17 +76,24 @@ class _Cells:
 
     def __init__(self, centres: dict[int, np.ndarray], threshold: float):
         self.centres, self.reach = centres, np.sqrt(2 - 2 * threshold) + 1e-9
-        self.apart = {size: np.linalg.norm(c[:, None] - c[None], axis=2) for size, c in centres.items()}
+        self.apart = {size: np.stack([np.linalg.norm(c - x, axis=1) for x in c]) for size, c in centres.items()}
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's own cell."""
+        size = x.shape[1]
+        return np.argmax(x @ self.centres[size].T, axis=1) if size in self.centres else np.zeros(len(x), np.int64)
 
-    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, home): each vector's own cell and all others that could hold a partner of it."""
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """Whether a vector's own cell, or another that could hold a partner of it: a row a vector, a column a cell."""
         size = x.shape[1]
         if size not in self.centres:
-            return np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
-        dots = x @ self.centres[size].T
-        own = np.argmax(dots, axis=1)
-        row, cell = np.nonzero(dots[np.arange(len(x)), own][:, None] - dots <= self.reach * self.apart[size][own])
-        return row, cell, cell == own[row]
+            return np.ones((len(x), 1), bool)
+        out = np.empty((len(x), len(self.centres[size])), bool)
+        for at in range(0, len(x), 2048):
+            dots = x[at : at + 2048] @ self.centres[size].T
+            own = np.argmax(dots, axis=1)
+            out[at : at + 2048] = dots[np.arange(len(dots)), own][:, None] - dots <= self.reach * self.apart[size][own]
+        return out
 
 
 def _by_length(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -89,45 +106,65 @@ def _by_length(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[i
 
 
 def _count(cells: _Cells):
-    """Rows (size, cell, homes, all): how many vectors of a batch are at home in a cell, and how many visit it."""
+    """Rows (size, cell, homes): how many vectors of a batch are at home in a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size, batch in _by_length(batches, 2048):
-            _, cell, home = cells.of(_matrix(batch.column("unit"), size))
-            every, homes = np.bincount(cell), np.bincount(cell[home], minlength=cell.max() + 1)
-            some = np.flatnonzero(every)
+            homes = np.bincount(cells.home(_matrix(batch.column("unit"), size)))
+            some = np.flatnonzero(homes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), size), pa.int32()), pa.array(some, pa.int32()), pa.array(homes[some], pa.int64()), pa.array(every[some], pa.int64())],
-                ["size", "cell", "homes", "all"],
+                [pa.array(np.full(len(some), size), pa.int32()), pa.array(some, pa.int32()), pa.array(homes[some], pa.int64())], ["size", "cell", "homes"]
             )
 
     return run
 
 
-def _deal(cells: _Cells, blocks: dict[tuple[int, int], tuple[int, int]]):
-    """Rows (size, cell, i, j, data): packed vectors of block i at home in a cell and of block j among all its vectors, in
-    every pair of blocks. Data begins with whether they are at home; node, n and components follow, vector by vector."""
+def blocks_of(homes: list[tuple[int, int, int]], block: int = BLOCK) -> tuple[dict[tuple[int, int], tuple[int, int]], int]:
+    """Of rows (size, cell, homes): to each cell its first block and the number of blocks it is cut into, and how many blocks
+    there are. Small cells share a block with their neighbours, so one length's blocks lie side by side."""
+    total: dict[int, int] = {}
+    for size, _, n in homes:
+        total[size] = total.get(size, 0) + n
+    places, at, load = {}, 0, 0.0
+    for size, cell, n in sorted(homes):
+        most = max(block, min(BLOCK_BYTES // (8 * (size + 2)), total[size] // LEAST_BLOCKS))
+        pieces = -(-n // most)
+        if load and (pieces > 1 or load + n / most > 1):
+            at, load = at + 1, 0.0
+        places[size, cell] = at, pieces
+        if pieces > 1:
+            at += pieces
+        else:
+            load += n / most
+    return places, at + (load > 0)
+
+
+def _place(cells: _Cells, blocks: dict[tuple[int, int], tuple[int, int]]):
+    """Vectors with their block, length and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, batch in _by_length(batches, 256):
-            x = _matrix(batch.column("unit"), size)
-            row, cell, home = cells.of(x)
-            node = batch.column("node").to_numpy()
-            packed = np.concatenate([np.stack([node, batch.column("n").to_numpy()], axis=1), x.view(np.int64)], axis=1)
-            homes, every = np.array([blocks[size, c] for c in cell.tolist()], np.int64).reshape(-1, 2).T
-            place = (mix(node.view(np.uint64))[row] >> np.uint64(1)).astype(np.int64)
-            out = []
-            for left, own, count in ((True, np.flatnonzero(home), every), (False, np.arange(len(row)), homes)):
-                take = np.repeat(own, count[own])
-                other = np.arange(len(take)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
-                i = place[take] % homes[take] if left else other
-                j = other if left else place[take] % every[take]
-                order = np.lexsort((j, i, cell[take]))
-                take, i, j = take[order], i[order], j[order]
-                new = np.flatnonzero(np.diff(cell[take], prepend=-1) | np.diff(i, prepend=-1) | np.diff(j, prepend=-1))
-                for lo, hi in zip(new, np.append(new[1:], len(take)), strict=True):
-                    out.append((size, int(cell[take[lo]]), int(i[lo]), int(j[lo]), bytes([left]) + packed[row[take[lo:hi]]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["size", "cell", "i", "j", "data"])
+        for size, batch in _by_length(batches, 2048):
+            cell = cells.home(_matrix(batch.column("unit"), size))
+            first, pieces = np.array([blocks[size, c] for c in cell.tolist()], np.int64).T
+            number = (mix(batch.column("node").to_numpy().view(np.uint64)) >> np.uint64(1)).astype(np.int64) % pieces
+            own = [pa.array(first + number), pa.array(np.full(len(cell), size), pa.int32()), pa.array(cell, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*own, *(batch.column(c) for c in ("node", "n", "unit"))], ["block", "size", "cell", "node", "n", "unit"])
+
+    return run
+
+
+def _store(folder: str):
+    """Writes a block by length and cell to a file of its own. Rows (block, size, name), one a length."""
+
+    def run(group: pa.Table) -> pa.Table:
+        files, root = _open(folder)
+        files.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.arrow"
+        rows = group.sort_by([("size", "ascending"), ("cell", "ascending"), ("node", "ascending")])
+        with files.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_file(out, rows.schema) as file:
+            file.write_table(rows)
+        sizes = pc.unique(rows["size"])
+        return pa.table({"block": rows["block"][:1].take([0] * len(sizes)), "size": sizes, "name": [name] * len(sizes)})
 
     return run
 
@@ -145,34 +182,67 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare(threshold: float):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        size = key[0].as_py()
-        data = [raw.as_buffer() for raw in group.column("data")]
-        rows = [np.frombuffer(d, np.int64, (len(d) - 1) // 8, 1).reshape(-1, size + 2) for d in data]
-        at_home = np.repeat([memoryview(d)[0] == 1 for d in data], [len(r) for r in rows])
-        left, right = np.flatnonzero(at_home), np.flatnonzero(~at_home)
-        whole = np.concatenate(rows)
-        node, n, unit = whole[:, 0].copy(), whole[:, 1].copy(), np.ascontiguousarray(whole[:, 2:]).view(np.float64)
-        links = np.zeros(len(node), np.int64)
-        a, b = [], []
-        for at in range(0, len(left), 256):
-            some = left[at : at + 256]
-            i, j = np.nonzero(unit[some] @ unit[right].T >= threshold)
-            i, j = some[i], right[j]
-            other = node[i] != node[j]
-            i, j = i[other], j[other]
-            np.add.at(links, i, n[j])
-            a.append(i)
-            b.append(j)
-        names, place = np.unique(node, return_inverse=True)
-        root = forest(place[np.concatenate(a)], place[np.concatenate(b)], len(names)) if a else np.arange(len(names))
-        tied = np.flatnonzero(root != np.arange(len(names)))
-        linked = left[links[left] > 0]
-        return pa.table({
-            "node": np.concatenate([node[linked], names[tied]]), "links": np.concatenate([links[linked], np.zeros(len(tied), np.int64)]),
-            "root": pa.array(np.concatenate([node[linked], names[root[tied]]])),
-        })
+class _Block:
+    """A block's vectors; those of one length lie side by side, and among them those of one cell."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.node, self.n = rows["node"].to_numpy(), rows["n"].to_numpy()
+        self.cell, size = rows["cell"].to_numpy(), rows["size"].to_numpy()
+        begin = np.flatnonzero(np.diff(size, prepend=-1))
+        self.lengths = {int(size[lo]): (lo, _matrix(rows["unit"].slice(lo, hi - lo).combine_chunks(), int(size[lo]))) for lo, hi in zip(begin, np.append(begin[1:], len(size)), strict=True)}
+
+
+def _links(left: _Block, right: _Block | None, cells: _Cells, threshold: float) -> pa.RecordBatch:
+    """Rows (node, links, root) of the links between two blocks, or within one if there is no other."""
+    there = left if right is None else right
+    node, n = left.node, left.n
+    if right is not None:
+        node, n = np.concatenate([node, right.node]), np.concatenate([n, right.n])
+    shift = len(node) - len(there.node)
+    links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    for size, (begin, x) in left.lengths.items():
+        if size not in there.lengths:
+            continue
+        other, y = there.lengths[size]
+        visits = cells.visits(y)
+        cell = left.cell[begin : begin + len(x)]
+        heads = np.flatnonzero(np.diff(cell, prepend=-1))
+        for lo, hi in zip(heads, np.append(heads[1:], len(x)), strict=True):
+            guests = np.flatnonzero(visits[:, cell[lo]])
+            if not len(guests):
+                continue
+            z = y[guests].T
+            for at in range(lo, hi, 256):
+                i, j = np.nonzero(x[at : min(hi, at + 256)] @ z >= threshold)
+                i, j = i + (at + begin), guests[j] + (other + shift)
+                if right is None:
+                    i, j = i[i != j], j[i != j]
+                if len(i):
+                    np.add.at(links, i, n[j])
+                    if right is not None:
+                        np.add.at(links, j, n[i])
+                    label = forest(label[i], label[j], len(node))[label]
+    linked, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(c)) for c in ((node[linked], node[tied]), (links[linked], np.zeros(len(tied), np.int64)), (node[linked], node[label[tied]]))],
+        ["node", "links", "root"],
+    )
+
+
+def _compare(folder: str, cells: _Cells, threshold: float):
+    """The links of pairs of blocks, given by the names of their files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _open(folder)
+
+        def read(name: str) -> _Block:
+            with files.open_input_file(f"{root}/{name}") as f:
+                return _Block(pa.ipc.open_file(f).read_all())
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                yield _links(read(a), None if a == b else read(b), cells, threshold)
 
     return run
 
@@ -203,11 +273,16 @@ def near_vectors(
         fit = few_rows(fit, sample)["unit"].combine_chunks().flatten().to_numpy().reshape(-1, size)
         centres[size] = fit_centres(fit, min(cells or min(MOST_CELLS, large["count"] // block), len(fit)))
     places, vectors_ = _Cells(centres, threshold), nodes.select("node", "n", "unit")
-    counts = vectors_.mapInArrow(_count(places), "size int, cell int, homes long, all long").groupBy("size", "cell").agg(F.sum("homes").alias("homes"), F.sum("all").alias("all"))
-    cut = lambda n: max(1, -(-n // block))
-    blocks = {(r["size"], r["cell"]): (cut(r["homes"]), cut(r["all"])) for r in few_rows(counts, MOST_LENGTHS * MOST_CELLS + FURTHER_LENGTHS).to_pylist()}
-    dealt = vectors_.mapInArrow(_deal(places, blocks), "size int, cell int, i long, j long, data binary")
-    found = durable(dealt.groupBy("size", "cell", "i", "j").applyInArrow(_compare(threshold), "node long, links long, root long"))
+    counts = vectors_.mapInArrow(_count(places), "size int, cell int, homes long").groupBy("size", "cell").agg(F.sum("homes").alias("homes"))
+    homes = [(r["size"], r["cell"], r["homes"]) for r in few_rows(counts, MOST_LENGTHS * MOST_CELLS + FURTHER_LENGTHS).to_pylist()]
+    blocks, n_blocks = blocks_of(homes, block)
+    folder = new_folder(vectors.sparkSession, "vectors")
+    placed = vectors_.mapInArrow(_place(places, blocks), "block long, size int, cell int, node long, n long, unit array<double>")
+    stored = durable(placed.groupBy("block").applyInArrow(_store(folder), "block long, size int, name string"))
+    others = stored.select("size", F.col("block").alias("_block"), F.col("name").alias("b"))
+    pairs = stored.join(others, "size").filter(F.col("block") <= F.col("_block")).select(F.col("name").alias("a"), "b").distinct()
+    pairs = pairs.repartition(min(MOST_TASKS, 1 + n_blocks * (n_blocks + 1) // 4))  # some two pairs a task
+    found = durable(pairs.mapInArrow(_compare(folder, places, threshold), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(links, "node", "left").join(groups, "node", "left").select("hash", F.col("unit").alias("_u"), F.col("node").alias("_node"), "n", "links", "component")

@@ -453,6 +453,29 @@ def test_vectors_edges(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_a_vector_lies_in_one_block(monkeypatch):
+    """Whatever cells it visits; the pairs of blocks find every link once, in large cells cut into blocks as well."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cells = embeddings._Cells({4: embeddings.fit_centres(x, 6)}, 0.9)
+    assert cells.visits(x).sum() > 2 * len(x) and cells.visits(x)[np.arange(len(x)), cells.home(x)].all()
+    batch = pa.RecordBatch.from_pydict({"node": list(range(300)), "n": [1 + i % 3 for i in range(300)], "unit": x.tolist()})
+    counted = pa.Table.from_batches(list(embeddings._count(cells)(iter([batch])))).to_pylist()
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 0)
+    blocks, n = embeddings.blocks_of([(r["size"], r["cell"], r["homes"]) for r in counted], 40)
+    placed = pa.Table.from_batches(list(embeddings._place(cells, blocks)(iter([batch]))))
+    assert placed.num_rows == 300 and max(placed["block"].to_pylist()) < n and max(p for _, p in blocks.values()) > 1
+    own = [embeddings._Block(placed.filter(pc.equal(placed["block"], b)).sort_by([("size", "ascending"), ("cell", "ascending")])) for b in range(n)]
+    links = Counter()
+    for a in range(n):
+        for b in range(a, n):
+            for row in embeddings._links(own[a], None if a == b else own[b], cells, 0.9).to_pylist():
+                links[row["node"]] += row["links"]
+    near = (x @ x.T >= 0.9) & ~np.eye(300, dtype=bool)
+    assert [links[i] for i in range(300)] == (near @ batch["n"].to_numpy()).tolist()
+
+
 @pytest.mark.parametrize("block,cells", [(16, None), (1024, None), (8, 3)])
 def test_vectors_of_several_lengths(spark, block, cells):
     """Every length is compared within itself, the most frequent one or not, with centres or without."""
