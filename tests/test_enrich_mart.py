@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -315,6 +317,23 @@ def test_payload_of_packed_bodies(spark):
     assert got.dtypes == want.dtypes and set(got.collect()) == set(want.collect()) and got.count() == 243
 
 
+def test_payload_of_parked_bodies(spark):
+    """Only places move; a text is written once a task, however many articles have it."""
+    from newsmart.sources.texts import Texts
+
+    rows = [("e", n // 5, f"{n * 7919 % 1000:03d}", ["", None, "Tä"][n % 3], [None, "", "ü\n" * (n % 40) + "x" * 3001][n % 3]) for n in range(1205)]
+    rows += [("f", 0, "a", "T", "1"), ("f", 0, "a", "S", "2"), ("f", 0, None, "S", "3"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "execution_id STRING, batch_no LONG, article_id STRING, title STRING, content_snippet STRING")
+    body, texts = E.article_body(F.col("title"), F.col("content_snippet")), Texts(spark)
+    moved = texts.park(df.select("execution_id", "batch_no", "article_id", body.alias("body")).coalesce(1), ["body"])
+    got, want = E.batch_payload(moved, body="body", texts=texts), E.batch_payload(df)
+    assert got.dtypes == want.dtypes and set(got.collect()) == set(want.collect()) and got.count() == 243
+    bodies = {r.b for r in df.select(body.alias("b")).collect()}
+    assert sum(f.stat().st_size for f in Path(texts.folder).iterdir()) == sum(len(zlib.compress(b.encode())) for b in bodies)
+    got = texts.fetch(texts.park(df, ["title", "content_snippet"]).repartition(5), ["title", "content_snippet"])
+    assert got.schema == df.schema and sorted(map(repr, got.collect())) == sorted(map(repr, df.collect()))
+
+
 def test_facts_take_the_measures_of_results(spark):
     fact = spark.createDataFrame([("a", "e", 1, 1, 1), ("b", "e", 2, 2, 2)], "article_id STRING, execution_id STRING, word_count INT, entity_count INT, sentiment_score INT")
     fact = fact.withColumn("sentiment_score", F.col("sentiment_score").cast("decimal(5,2)"))
