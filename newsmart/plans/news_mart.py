@@ -414,9 +414,8 @@ def enrich_batches(spark, sf):
     """The whole flow with the offline model, called once per batch of five in Arrow batches."""
     places = region_names(region_table(spark, sf))
     batched = with_text(batched_articles(spark, sf), spark, sf).select(
-        "execution_id", "batch_no", "article_id", "title",
-        F.concat_ws(" ", "content_snippet", F.array_join("places", ", ")).alias("content_snippet"))
-    done = E.enrich(batched, E.lexicon_model(places))
+        "execution_id", "batch_no", "article_id", "title", "content_snippet", F.array_join("places", ", ").alias("place_names"))
+    done = E.enrich(batched, E.lexicon_model(places), beside="place_names")
     return done.select(
         "article_id", "execution_id", "outcome", F.col("sentiment_score").cast("double").alias("sentiment_score"),
         F.array_join(F.array_sort("locations_list"), ",").alias("locations"))

@@ -108,6 +108,24 @@ def test_only_retried_articles_are_written_again(spark, monkeypatch):
     assert [w.count() for w in written] == [2, 2]  # batches, articles that were missed
 
 
+def test_texts_of_requests_are_parked(spark, monkeypatch):
+    """Batches and retries are written without their texts; the model and the result have them whole."""
+
+    def model(rows):
+        return json.dumps({"results": [{"article_id": r["article_id"], "sentiment_score": 0, "summary": f"{r['title']}|{r['text']}", "entities_list": [],
+                                        "locations_list": []} for r in rows if len(rows) == 1 or not r["article_id"].startswith("late")]})
+
+    written, durable = [], E.durable
+    monkeypatch.setattr(E, "durable", lambda df: written.append(durable(df)) or written[-1])
+    rows = [("e", "a", "t", "x" * 5000, "m", 0), ("e", "b", None, None, "n", 0), ("e", "late", "ü", "y", None, 0), ("e", "d", None, None, None, 0)]
+    batched = spark.createDataFrame(rows, "execution_id STRING, article_id STRING, title STRING, content_snippet STRING, more STRING, batch_no LONG")
+    done = {r.article_id: (r.outcome, r.title, r.content_snippet, r.more, r.summary) for r in E.enrich(batched, model, beside="more").collect()}
+    assert done == {"a": ("valid", "t", "x" * 5000, "m", f"t|{'x' * 5000} m"), "b": ("valid", None, None, "n", "|n"),
+                    "late": ("recovered", "ü", "y", None, "ü|y"), "d": ("valid", None, None, None, "|")}
+    for kept, articles in zip(written, ("articles.content_snippet", "array(content_snippet)"), strict=True):
+        assert "x" * 100 not in str(kept.selectExpr(articles).collect()) and "binary" in str(kept.selectExpr(articles).dtypes)
+
+
 def test_batches_of_five_in_a_hot_run(spark):
     rows = [("hot", f"{i * 7919 % 4096:03x}{i:05d}") for i in range(503)] + [("small", "a")]
     df = spark.createDataFrame(rows, "execution_id STRING, article_id STRING")
