@@ -214,6 +214,19 @@ def test_articles_that_are_not_loaded_again_stay(spark, monkeypatch, key_bits):
     assert "FullOuter" not in merged._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_of_a_merge_do_not_move(spark, monkeypatch):
+    """Incoming snippets are read where the rows have met; what meets holds their places."""
+    parked, park = [], M.Texts.park
+    monkeypatch.setattr(M.Texts, "park", lambda self, df, columns: parked.append(park(self, df, columns)) or parked[-1])
+    ddl = "article_id STRING, execution_id STRING, title STRING, url STRING, date STRING, source STRING, geodata STRING, image_url STRING, content_snippet STRING"
+    row = lambda i, k: (f"a{i}", "1", f"t{k}", "u", "d", "s", k, f"i{k}", None if i % 9 == 0 else f"{k}{i}ü" * 500)
+    old, new = [row(i, "o") for i in range(60)], [row(i, "n") for i in range(40, 90)]
+    got = M.merge_articles(spark.createDataFrame(old, ddl), spark.createDataFrame(new, ddl))
+    want = [*old[:40], *((*o[:7], *n[7:]) for o, n in zip(old[40:], new)), *((*n[:6], None, *n[7:]) for n in new[20:])]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert [dict(p.dtypes)["content_snippet"] for p in parked] == ["binary"] and parked[0].count() == 50
+
+
 def test_updates_add_no_rows(spark):
     arts = spark.createDataFrame([("a", "1", None), ("a", "2", '["X"]')], "article_id STRING, execution_id STRING, geodata STRING")
     new = spark.createDataFrame([("a", "1", ["J"]), ("zz", "1", ["K"])], "article_id STRING, execution_id STRING, locations_list ARRAY<STRING>")
